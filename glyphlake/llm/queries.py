@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, quality, substrings, toxicity
+from . import bpe, jaccard, licenses, packing, quality, substrings, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Fitted on labelled rows that aren't held out."""
     return toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scans": op10_license_scans,
