@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, packing, quality, substrings, toxicity
+from . import bpe, jaccard, licenses, packing, quality, substrings, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +37,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Fitted on labelled rows that aren't held out."""
     return toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_exact_topk": op7_exact_topk,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scans": op10_license_scans,
