@@ -89,6 +89,14 @@ class ChunkCodec:
             self._learn(missing)
         return list(map(memo.__getitem__, pieces))
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return self._split(text)
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of each pre-token; strings of special tokens are ordinary text."""
+        return [len(ids) // 4 for ids in self._ids(pieces)]
+
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pre-tokens: those of a space and letters as one text, cut again before ids that start with a space."""
         words, other = [], []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, packing, quality, substrings, topk, toxicity
+from . import bpe, counts, html, jaccard, licenses, packing, quality, substrings, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +37,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_after_edits(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_token_counts": op5_token_counts,
+    "op6_html_extraction": op6_html_extraction,
     "op7_exact_topk": op7_exact_topk,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,

@@ -139,7 +139,7 @@ def _search(k: int, pivots: np.ndarray, longest: float) -> Callable:
                         hi = min(hi, int(np.searchsorted(far, away[i] + reach, side="right")))
                         left, right = max(left, lo), min(right, hi)
                 if got_scores is not None and len(got_ids):
-                    enough = np.ones(len(got_ids), bool) if np.isnan(kth) else got_scores.astype(float) * (1 + 1e-12) + 1e-6 >= kth
+                    enough = np.ones(len(got_ids), bool) if np.isnan(kth) else got_scores.astype(float) + 1e-12 * np.abs(got_scores.astype(float)) + 1e-6 >= kth
                     out_query += [own] * int(enough.sum())
                     out_vec += got_ids[enough].tolist()
                     out_score += [max(-(2**63), min(2**63 - 1, int(s))) for s in got_scores[enough]]
