@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 CAPACITY = 2048
 END_ID = 1
 #: Documents in a group on average; a group is packed by one task.
 GROUP_DOCS = 4096
 #: Distinct words whose ids a Python worker keeps.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 
 #: Words of letters that no Unicode normal form changes, perhaps with marks behind: one pre-token or two.
-_PLAIN = re.compile("[a-zA-ZßÀ-ÖØ-Þà-öø-ÿ]+([.,!?%&*$#;:]*)").fullmatch
+_PLAIN = re.compile("([a-zA-ZßÀ-ÖØ-Þà-öø-ÿ]+)([.,!?%&*$#;:]*)").fullmatch
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long"
 
 
@@ -35,18 +37,23 @@ class WordEncoder:
     """Ids of whole texts for a tokenizer that never joins text across white space, with the ids of words kept.
 
     Words are cut where str.split() cuts; texts with the separators U+001C-U+001F, which split() takes for
-    white space and the tokenizer doesn't, are encoded whole. Words not met before are encoded together: plain
-    Latin words as one text, which is cut again after the ids that end a word, and the others as a batch.
+    white space and the tokenizer doesn't, are encoded whole. Words not met before are encoded together:
+    plain Latin words, without the marks behind them, as one text without the steps that can't change them
+    (normal form, split pattern), cut again after the ids that end a word; the others as a batch.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS, word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_padding()
-        self._tokenizer.no_truncation()
-        self._memo: dict[str, bytes] = {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self._tokenizer, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self._tokenizer, self._bare):
+            t.no_padding()
+            t.no_truncation()
+        self._bare.normalizer = normalizers.Sequence([])
+        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._words: dict[str, bytes] = {}
+        self._cores: dict[str, bytes] = {"": b""}
         self._limit = memo_words
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -57,38 +64,46 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def _learn(self, words: list[str]) -> None:
-        plain, parts, other = [], [], []
+        split, other = [], []
         for w in words:
             if found := _PLAIN(w):
-                plain.append(w)
-                parts.append(2 if found[1] else 1)
+                split.append((w, found[1].lower(), found[2]))
             else:
                 other.append(w)
-        if plain:
-            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            last = np.cumsum(parts)
-            if len(ends) == last[-1]:
-                data, stops = ids.tobytes(), (4 * ends[last - 1]).tolist()
-                self._memo.update((w, data[a:b]) for w, a, b in zip(plain, [0, *stops[:-1]], stops, strict=True))
+        cores = self._cores
+        if len(cores) > self._limit:
+            cores.clear()
+            cores[""] = b""
+        new = list({part for _, core, marks in split for part in (core, marks) if part not in cores})
+        if new:
+            ids = np.array(self._bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(ends) == len(new):
+                data = ids.tobytes()
+                cores.update((w, data[a:b]) for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
             else:  # not a vocabulary of that kind
-                other = words
-        self._memo.update(zip(other, self._encode(other), strict=True))
+                split, other = [], words
+        self._words.update((w, cores[core] + cores[marks]) for w, core, marks in split)
+        self._words.update(zip(other, self._encode(other), strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        memo = self._memo
+        memo = self._words
         for lo in range(0, len(texts), 64):
             some = [t or "" for t in texts[lo : lo + 64]]
             split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in some]
-            missing = {w for words in split if words for w in words if w not in memo}
-            if len(memo) + len(missing) > self._limit:
-                memo.clear()
-                missing = {w for words in split if words for w in words}
+            known = [list(map(memo.get, words or ())) for words in split]
+            missing = {w for words, ids in zip(split, known, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
             if missing:
+                if len(memo) + len(missing) > self._limit:
+                    memo.clear()
+                    missing = {w for words in split if words for w in words}
                 self._learn(list(missing))
-            for text, words in zip(some, split, strict=True):
-                yield self._encode([text])[0] if words is None else b"".join(map(memo.__getitem__, words))
+            for text, words, ids in zip(some, split, known, strict=True):
+                if words is None:
+                    yield self._encode([text])[0]
+                else:
+                    yield b"".join(map(memo.__getitem__, words) if None in ids else ids)
 
 
 @functools.cache
@@ -166,6 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     empty text gives the end id alone; an empty table gives no rows; further columns are ignored. Returns
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset for each piece.
     """
+    tables.bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(_tokenise(tokenizer, capacity, end_id, groups), _PIECES)
