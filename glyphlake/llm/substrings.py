@@ -181,8 +181,8 @@ def _cut(window: int) -> Callable:
             flat, offsets = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
             starts = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
             counts = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            n_words, n_removed, kept = [], [], []
             for s in slices(texts):
+                n_words, n_removed, kept = [], [], []
                 for i in range(s.hi - s.lo):
                     lo, hi = int(s.first[i]), int(s.first[i + 1])
                     covered = np.zeros(hi - lo + 1, np.int32)
@@ -195,13 +195,14 @@ def _cut(window: int) -> Callable:
                     data = s.data[s.offsets[i] : s.offsets[i + 1]].tobytes()
                     base = s.offsets[i]
                     if len(left) == hi - lo:
-                        kept.append(b" ".join(data.split()) if b"\x1c" not in data else b" ".join(data[p:q] for p, q in zip(s.starts[left] - base, s.ends[left] - base, strict=True)))
+                        kept.append(b" ".join(data.split()))  # bytes.split() has the same white space
                     else:
                         kept.append(b" ".join([data[p:q] for p, q in zip((s.starts[left] - base).tolist(), (s.ends[left] - base).tolist(), strict=True)]))
                     n_words.append(hi - lo)
                     n_removed.append(hi - lo - len(left))
-            columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], [*batch.schema.names[2:], "_n_words", "_n_removed", "_kept"])
+                columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                passed = batch.slice(s.lo, s.hi - s.lo).columns[2:]
+                yield pa.RecordBatch.from_arrays([*passed, *columns], [*batch.schema.names[2:], "_n_words", "_n_removed", "_kept"])
 
     return run
 
@@ -216,6 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     whole; null and empty texts have no words; an empty table gives no rows; other columns are passed on.
     """
     spark = docs.sparkSession
+    tables.bounded_batches(spark)
     buckets = max(32, -(-docs.count() // bucket_docs))
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")

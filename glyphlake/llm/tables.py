@@ -22,3 +22,14 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a text table that a Python worker holds at once.
+BATCH_ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default of rows for each Arrow batch, which is meant for short rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
