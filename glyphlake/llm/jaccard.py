@@ -37,9 +37,11 @@ FREQUENT = 65_536
 SHORT_LIST = 8
 BUCKET_DOCS = 2000
 SIGNATURE_BITS = 1024
+#: Rows (of three integers) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("n", "<i4"), ("at", "<i4")])
-_MEMBER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("absent", "<i8"), ("n", "<i8"), ("group", "<i8"), ("set", "<i8")])
+_MEMBER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("absent", "<i8"), ("n", "<i8"), ("group", "<i8"), ("set", "<i8"), ("signature", "<i8", SIGNATURE_BITS // 64)])
 _PAIR, _LISTED, _MEMBERS = 0, 1, 2
 
 
@@ -112,6 +114,13 @@ def _fold(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(values + np.uint64(0x632BE59BD9B4E019)), first) + (ends - first).astype(np.uint64))
 
 
+def _signatures(doc: np.ndarray, gram: np.ndarray, texts: int) -> np.ndarray:
+    """Parity of the shingles in each of SIGNATURE_BITS cells, as 64-bit integers: sets differ in as many shingles as bits at least."""
+    cell = doc * SIGNATURE_BITS + (mix(gram) % np.uint64(SIGNATURE_BITS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=texts * SIGNATURE_BITS) & 1).astype(np.uint8).reshape(texts, SIGNATURE_BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _index(k: int, percent: int, buckets: int, frequent: np.ndarray, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,6 +143,7 @@ def _index(k: int, percent: int, buckets: int, frequent: np.ndarray, rank: np.nd
                     group = _fold(hgram, np.flatnonzero(hat == 0)) + n[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     member["group"][full] = mix(group).view(np.int64)
                     member["set"][full] = _fold(gram, start[full]).view(np.int64)
+                    member["signature"] = _signatures(doc, gram, s.hi - s.lo)
                     _, once = np.unique(member["group"][full], return_index=True)
                     chosen = np.zeros(s.hi - s.lo, bool)
                     chosen[full[once]] = True
@@ -171,7 +181,7 @@ def _pair_up(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         out = []
         for blob in rows.loc[rows["kind"] == _MEMBERS, "rows"]:
             m = np.frombuffer(blob, _MEMBER)
-            out.append(pd.DataFrame({"kind": _MEMBERS, "a": m["group"], "b": m["set"], "n": m["n"], "at": m["doc"], "key": m["key"], "absent": m["absent"]}))
+            out.append(pd.DataFrame({"kind": _MEMBERS, "a": m["group"], "b": m["set"], "n": m["n"], "at": m["doc"], "key": m["key"], "absent": m["absent"], "signature": list(m["signature"])}))
         blobs = rows.loc[rows["kind"] == _PAIR, "rows"]
         if len(blobs):
             p = np.concatenate([np.frombuffer(b, _POSTING) for b in blobs])
@@ -190,7 +200,7 @@ def _pair_up(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                         right.append(p["group"][lists[ok] + j])
             for s, m in zip(start[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
                 members, at = p[s : s + m], 0
-                out.append(pd.DataFrame({"kind": _LISTED, "a": members["token"].view(np.int64), "b": members["group"].view(np.int64), "n": members["n"].astype(np.int64), "at": members["at"].astype(np.int64), "key": 0, "absent": 0}))
+                out.append(pd.DataFrame({"kind": _LISTED, "a": members["token"].view(np.int64), "b": members["group"].view(np.int64), "n": members["n"].astype(np.int64), "at": members["at"].astype(np.int64), "key": 0, "absent": 0, "signature": None}))
                 while at < m:  # a range of sizes and its least group
                     end = int(np.searchsorted(members["n"], members["n"][at] * 100 // percent, side="right"))
                     left.append(np.full(end - at - 1, members["group"][at]))
@@ -199,8 +209,8 @@ def _pair_up(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             if left:
                 a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                out.append(pd.DataFrame({"kind": _PAIR, "a": pairs[:, 0], "b": pairs[:, 1], "n": 0, "at": 0, "key": 0, "absent": 0}))
-        names = ["kind", "a", "b", "n", "at", "key", "absent"]
+                out.append(pd.DataFrame({"kind": _PAIR, "a": pairs[:, 0], "b": pairs[:, 1], "n": 0, "at": 0, "key": 0, "absent": 0, "signature": None}))
+        names = ["kind", "a", "b", "n", "at", "key", "absent", "signature"]
         return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
 
     return run
@@ -242,22 +252,6 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def _signatures(k: int) -> Callable:
-    """Parity of the shingles in each of SIGNATURE_BITS cells; sets differ in at least as many shingles as bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = []
-            for s in slices(batch.column(1), lower=True):
-                doc, gram = shingle_sets(s, k)
-                cell = doc * SIGNATURE_BITS + (gram >> np.uint64(20)).astype(np.int64) % SIGNATURE_BITS
-                odd = (np.bincount(cell, minlength=(s.hi - s.lo) * SIGNATURE_BITS) & 1).astype(np.uint8).reshape(-1, SIGNATURE_BITS)
-                blobs += [row.tobytes() for row in np.packbits(odd, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["set", "signature"])
-
-    return run
-
-
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Row for row of docs (doc_id, text): doc_id, text_key, n_shingles, set (equal sets: equal) and root (equal: one component).
 
@@ -267,18 +261,19 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     rows; further columns are ignored.
     """
     spark = docs.sparkSession
+    tables.bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     frequent, rank = frequent_shingles(texts, shingle)
     buckets = max(32, -(-docs.count() // bucket_docs))
     indexed = texts.mapInArrow(_index(shingle, percent, buckets, frequent, rank), "bucket long, kind int, rows binary")
-    schema = "kind int, a long, b long, n long, at long, key long, absent long"
+    schema = "kind int, a long, b long, n long, at long, key long, absent long, signature array<long>"
     found = tables.written(spark, indexed.groupBy("bucket").applyInPandas(_pair_up(percent), schema))
     members = found.where(F.col("kind") == _MEMBERS).select(
-        F.expr("if(absent = 1, null, at)").alias("doc_id"), F.col("key").alias("text_key"), "n", F.expr("if(n = 0, null, a)").alias("group"), F.expr("if(n = 0, null, b)").alias("set")
+        F.expr("if(absent = 1, null, at)").alias("doc_id"), F.col("key").alias("text_key"), "n", F.expr("if(n = 0, null, a)").alias("group"), F.expr("if(n = 0, null, b)").alias("set"), "signature"
     )
     # one text for each set; groups of copies meet here as one row
-    sets = members.where("n > 0").groupBy("set").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.min(F.struct("text_key", "doc_id")).alias("of"))
-    sets = tables.written(spark, sets.select("set", "group", "n", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("doc_id")))
+    sets = members.where("n > 0").groupBy("set").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min(F.struct("text_key", "doc_id")).alias("of"))
+    sets = tables.written(spark, sets.select("set", "group", "n", "signature", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("doc_id")))
 
     side = lambda name: sets.select(F.col("group").alias(f"g{name}"), F.col("set").alias(name), F.col("n").alias(f"n{name}"))
     close = lambda: 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
@@ -311,14 +306,27 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
 
 
 def _verified(spark, candidates: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs of candidates (x, y, nx, ny) whose sets are similar enough."""
-    candidates = tables.written(spark, candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"]))
-    wanted = candidates.select(F.col("x").alias("set")).union(candidates.select("y")).distinct()
-    of = sets.join(wanted, "set").select("set", F.col("text_key").alias("_k"), F.col("doc_id").alias("_d"))
-    hit = texts.join(of, (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("set", "text")
-    loaded = tables.written(spark, hit.mapInArrow(_load_sets(shingle), "set long, shingles binary").dropDuplicates(["set"]))
+    """The pairs of candidates (x, y, nx, ny) whose sets are similar enough.
+
+    Sets of a pair may differ in nx + ny - 2 * (least overlap) shingles; signatures that differ in more bits
+    rule a pair out. Only the sets of pairs left are made from their texts.
+    """
+    once = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"])
+    sign = lambda n: sets.select(F.col("set").alias(n), F.col("signature").alias(f"s{n}"))
+    bits = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    total = F.col("nx") + F.col("ny")
+    room = total - 2 * F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+    near = tables.written(spark, once.join(sign("x"), "x").join(sign("y"), "y").where(bits <= room).select("x", "y"))
+    wanted = near.select(F.col("x").alias("set")).union(near.select("y")).distinct()
+    low = F.lit(-(2**63)).cast("long")
+    of = tables.written(spark, sets.join(wanted, "set").select("set", "text_key", F.coalesce("doc_id", low).alias("_d")))
+    few = of.count() <= BROADCAST_ROWS
+    hit = texts.withColumn("_d", F.coalesce("doc_id", low)).join(F.broadcast(of) if few else of, ["text_key", "_d"])
+    loaded = hit.select("set", "text").mapInArrow(_load_sets(shingle), "set long, shingles binary")
+    # a row that is repeated gives its set again
+    loaded = tables.written(spark, loaded.groupBy("set").agg(F.min("shingles").alias("shingles")))
     side = lambda n: loaded.select(F.col("set").alias(n), F.col("shingles").alias(f"s{n}"))
-    both = candidates.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy")
+    both = near.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy")
     return tables.written(spark, both.mapInArrow(_verify(percent), "x long, y long"))
 
 
