@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 #: Bound of the labelled rows that the model is fitted on: those with the smallest hash of doc_id.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 6_000
 SIZES = (3, 4, 5, 6)
 BITS = 20
 #: A feature is used if so many labelled texts hold it and the log-count ratio is so far from 0.
@@ -25,7 +27,7 @@ LEAST_TEXTS = 12
 LEAST_RATIO = 0.7
 THRESHOLD = 0.3
 #: Characters that are worked on at once; a longer text is worked on alone.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 
 _CHAR = np.random.default_rng(99).integers(1, 2**63, 65536, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,17 +81,18 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 150, decay: fl
     flat = Model(float(np.log((share * n + 0.5) / (n - share * n + 0.5))) if n else -5.0, np.zeros(size, np.float32))
     if not n or share in (0.0, 1.0):
         return flat
-    docs, grams = [], []
+    p, q = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for lo, _, doc, gram in features(texts):
+        marked = toxic[doc + lo]
+        p += np.bincount(gram[marked], minlength=size)
+        q += np.bincount(gram[~marked], minlength=size)
+    ratio = np.log((p + 1) / (toxic.sum() + 2)) - np.log((q + 1) / ((~toxic).sum() + 2))
+    used = (p + q >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+    docs, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, _, doc, gram in features(texts, used):
         docs.append(doc + lo)
         grams.append(gram)
     doc, gram = np.concatenate(docs), np.concatenate(grams)
-    marked = toxic[doc]
-    p, q = np.bincount(gram[marked], minlength=size), np.bincount(gram[~marked], minlength=size)
-    ratio = np.log((p + 1) / (toxic.sum() + 2)) - np.log((q + 1) / ((~toxic).sum() + 2))
-    used = (p + q >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    kept = used[gram]
-    doc, gram = doc[kept], gram[kept]
     names, column = np.unique(gram, return_inverse=True)
     if not len(names):
         return flat
@@ -157,6 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Rows are scored by their texts alone: repeated rows have equal scores, null ids keep their rows, null and
     empty texts get the score of no feature; an empty table gives no rows; further columns are ignored.
     """
+    tables.bounded_batches(docs.sparkSession)
     names = np.flatnonzero(model.weights)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
     scored = rows.mapInArrow(_score(model.bias, names, model.weights[names]), "doc_id long, _score double")
@@ -165,6 +169,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is under the threshold, with docs' own columns."""
+    tables.bounded_batches(docs.sparkSession)
     names = np.flatnonzero(model.weights)
     whole = docs.withColumn("_scored_text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
