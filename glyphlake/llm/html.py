@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 #: Tokens of a repeated substring (a power of two), and the distinct pages that repeat it at least.
 REPEAT_TOKENS = 8
 LEAST_PAGES, LEAST_SHARE = 3, 0.02
@@ -208,6 +210,7 @@ def extract(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     without a url are a host of their own; an empty table gives no rows; further columns are ignored. Hosts
     of many pages are cut at random into chunks of about chunk_pages, so a task's pages are bounded.
     """
+    tables.bounded_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     top = rows.groupBy("host").count().where(F.col("count") > chunk_pages).orderBy(F.desc("count"), "host").limit(COUNTED_HOSTS).collect()
