@@ -77,6 +77,7 @@ def measures(docs: DataFrame) -> DataFrame:
     parts = docs.withColumns(
         {
             "_q_text": text,
+            "_q_row": F.monotonically_increasing_id(),
             "_q_words": F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""),
             "_q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         }
@@ -138,7 +139,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that `judge` keeps, with docs' own columns."""
+    """The rows of docs that `judge` keeps, with docs' own columns.
+
+    The condition takes in a column that isn't deterministic, or Catalyst would push it below the columns
+    that hold the words, and split the text again for each use of a word.
+    """
     named = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
-    kept = measures(named).where(~base_failed() & verdict(rules))
+    kept = measures(named).where(~base_failed() & verdict(rules) & (F.col("_q_row") >= 0))
     return kept.select("_row.*")
