@@ -9,9 +9,10 @@ range of sizes, and the list is kept.
 
 Verification. Group pairs are expanded to pairs of distinct sets (copies are one set), filtered by size and
 by a parity signature that bounds the overlap from above, and verified on the whole sets. What holds gives
-components. Then each long list is looked at again: pairs in one component need nothing more, all others are
-verified too. So no link between different texts is missed, and a group of copies or near copies of any
-size gives as many pairs as it has members.
+components. Then each long list is looked at again: pairs in one component need nothing more. Of the others, all
+are compared with one further member of their list in each of a few turns, which joins what belongs together
+by as many pairs as there are members, and in the end all pairs that still lie in different components are
+verified. So no link between different texts is missed.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ FREQUENT = 65_536
 SHORT_LIST = 8
 BUCKET_DOCS = 2000
 SIGNATURE_BITS = 1024
+#: Turns in which the rest of long lists is compared with one member each, before all pairs are; and how many
+#: pairs for each row are few enough to go to all pairs at once.
+STAR_TURNS = 3
+FEW_PAIRS = 16
 #: Rows (of three integers) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -283,40 +288,58 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     least = sets.groupBy("group").agg(F.min("set").alias("x"), F.count("set").alias("many")).where("many > 1")
     within = sets.join(least, "group").where("set != x").select("x", F.col("set").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"))
     candidates = across.unionByName(within)
-    edges = _verified(spark, candidates, sets, texts, shingle, percent)
+    once = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"])
+    sign = lambda n: sets.select(F.col("set").alias(n), F.col("signature").alias(f"s{n}"))
+    near = once.join(sign("x"), "x").join(sign("y"), "y").where(_near(percent)).select("x", "y")
+    edges = _verified(spark, near, sets, texts, shingle, percent)
     roots = components(spark, edges)
 
     # long lists, and groups as lists: pairs of different components have still to be verified
     listed = found.where(F.col("kind") == _LISTED).select(F.col("a").alias("list"), F.col("b").alias("group"), "at")
-    lists = listed.join(sets.select("group", "set", "n"), "group").select("list", "set", "n", "at")
-    many = sets.join(least.select("group"), "group").select(F.col("group").alias("list"), "set", "n", F.lit(0).cast("long").alias("at"))
-    open_lists = lists.unionByName(many).join(roots.withColumnRenamed("node", "set"), "set", "left").select("list", "set", "n", "at", F.coalesce("root", "set").alias("root"))
-    mixed = open_lists.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
-    rest = tables.written(spark, open_lists.join(mixed, "list"))
-    if not rest.isEmpty():
-        other = lambda n: rest.select("list", F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("at").alias(f"at{n}"), F.col("root").alias(f"root{n}"))
-        need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
-        room = F.least(F.expr("nx - atx"), F.expr("ny - aty")) + F.least("atx", "aty")
-        more = other("x").join(other("y"), "list").where("x < y and rootx != rooty").where(close() & (room >= need)).select("x", "y", "nx", "ny").distinct()
-        later = _verified(spark, more, sets, texts, shingle, percent)
-        edges = tables.written(spark, edges.unionByName(later))
+    lists = listed.join(sets.select("group", "set", "n", "signature"), "group").select("list", "set", "n", "at", "signature")
+    many = sets.join(least.select("group"), "group").select(F.col("group").alias("list"), "set", "n", F.lit(0).cast("long").alias("at"), "signature")
+    rest = lists.unionByName(many)
+    band = F.floor(F.log("n") / float(np.log(100 / percent)))
+    for turn in range(STAR_TURNS + 1):
+        rooted = rest.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        mixed = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
+        rest = tables.written(spark, rooted.join(mixed, "list").select("list", "set", "n", "at", "signature", "root"))
+        sizes = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
+        if not sizes["rows"]:
+            break
+        last = turn == STAR_TURNS or sizes["pairs"] <= FEW_PAIRS * sizes["rows"]
+        other = lambda n: rest.select(F.col("list").alias(f"list{n}"), F.col("set").alias(n), *[F.col(c).alias(f"{c[0] if c == 'signature' else c}{n}") for c in ("n", "at", "root", "signature")], band.alias(f"band{n}"))  # noqa: E731,B023
+        if last:  # all pairs
+            room = F.least(F.expr("nx - atx"), F.expr("ny - aty")) + F.least("atx", "aty")
+            both = other("x").join(other("y"), F.expr("listx = listy and x < y and rootx != rooty") & close() & (room >= _least_overlap(percent)) & _near(percent))
+        else:  # each with one member of its list and range of sizes, another one in each turn
+            chosen = rest.groupBy("list", band.alias("band")).agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n", "at", "root", "signature")).alias("c"))
+            leader = chosen.select(F.col("list").alias("listx"), F.col("band").alias("bandx"), F.col("c.set").alias("x"), F.col("c.n").alias("nx"), F.col("c.root").alias("rootx"), F.col("c.signature").alias("sx"))
+            both = other("y").join(leader, F.expr("listx = listy and bandx = bandy and rootx != rooty") & close() & _near(percent))
+        pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        edges = tables.written(spark, edges.unionByName(_verified(spark, pairs, sets, texts, shingle, percent)))
         roots = components(spark, edges)
+        if last:
+            break
     rooted = members.join(roots.withColumnRenamed("node", "set"), "set", "left")
     return rooted.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
 
 
-def _verified(spark, candidates: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs of candidates (x, y, nx, ny) whose sets are similar enough.
+def _least_overlap(percent: int):
+    return F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
 
-    Sets of a pair may differ in nx + ny - 2 * (least overlap) shingles; signatures that differ in more bits
-    rule a pair out. Only the sets of pairs left are made from their texts.
-    """
-    once = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"])
-    sign = lambda n: sets.select(F.col("set").alias(n), F.col("signature").alias(f"s{n}"))
-    bits = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
-    total = F.col("nx") + F.col("ny")
-    room = total - 2 * F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    near = tables.written(spark, once.join(sign("x"), "x").join(sign("y"), "y").where(bits <= room).select("x", "y"))
+
+def _near(percent: int):
+    """Whether signatures sx and sy leave room for a link: sets of a pair may differ in nx + ny - 2 * (least overlap) shingles."""
+    bits = F.lit(0)
+    for i in range(SIGNATURE_BITS // 64):
+        bits = bits + F.bit_count(F.get("sx", F.lit(i)).bitwiseXOR(F.get("sy", F.lit(i))))
+    return bits <= F.col("nx") + F.col("ny") - 2 * _least_overlap(percent)
+
+
+def _verified(spark, near: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (x, y) of near whose sets are similar enough; only their sets are made from their texts."""
+    near = tables.written(spark, near)
     wanted = near.select(F.col("x").alias("set")).union(near.select("y")).distinct()
     low = F.lit(-(2**63)).cast("long")
     of = tables.written(spark, sets.join(wanted, "set").select("set", "text_key", F.coalesce("doc_id", low).alias("_d")))
