@@ -9,7 +9,6 @@ tokenizer splits it, and no text is shuffled.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 
 #: Fixed value: the public split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -196,10 +195,9 @@ class ChunkCodec:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-@functools.cache
 def chunk_codec(path: str, mean: int) -> ChunkCodec:
     """One codec for each Python worker, so that later tasks find the chunks of earlier ones."""
-    return ChunkCodec(path, mean)
+    return workers.kept("bpe", ChunkCodec, path, mean)
 
 
 def _token_bytes(spec: dict) -> list[bytes]:

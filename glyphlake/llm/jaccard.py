@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 from .components import components
 from .words import Slice, mix, runs, slices
 
@@ -90,6 +90,7 @@ def _reorder(doc: np.ndarray, gram: np.ndarray, frequent: np.ndarray, rank: np.n
 
 def _local_counts(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("jaccard")
         for batch in batches:
             parts = [shingle_sets(s, k)[1] for s in slices(batch.column(0), lower=True)]
             token, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -128,6 +129,7 @@ def _signatures(doc: np.ndarray, gram: np.ndarray, texts: int) -> np.ndarray:
 
 def _index(k: int, percent: int, buckets: int, frequent: np.ndarray, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("jaccard")
         for batch in batches:
             nulls = np.array(batch.column(0).is_null())
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
@@ -225,6 +227,7 @@ def _load_sets(k: int) -> Callable:
     """The sets of texts as 6-byte hashes in order, and their parity signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("jaccard")
         for batch in batches:
             blobs = []
             for s in slices(batch.column(1), lower=True):
@@ -244,6 +247,7 @@ def _verify(percent: int) -> Callable:
         return wide.reshape(-1).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("jaccard")
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):

@@ -7,7 +7,6 @@ tournament tree of bin capacities answers in O(log bins), independently in rando
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 
 CAPACITY = 2048
 END_ID = 1
@@ -106,19 +105,13 @@ class WordEncoder:
                     yield b"".join(map(memo.__getitem__, words) if None in ids else ids)
 
 
-@functools.cache
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker, so that later tasks find the words of earlier ones."""
-    return WordEncoder(path)
-
-
 def _tokenise(path: str, capacity: int, end_id: int, groups: int) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = word_encoder(path)
+        encoder = workers.kept("packing", WordEncoder, path)
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             out: list[tuple] = []

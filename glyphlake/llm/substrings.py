@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 from .words import mix, runs, slices
 
 #: A repeat has at least so many words.
@@ -87,6 +87,7 @@ def _firsts(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(window: int, anchor: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("substrings")
         for batch in batches:
             ids, keys, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), []
             for s in slices(batch.column(2)):
@@ -147,6 +148,7 @@ def _compare(window: int) -> Callable:
     """Hashes of the open runs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("substrings")
         for batch in batches:
             open_runs = batch.column(3)
             starts = open_runs.flatten().field("at").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -176,6 +178,7 @@ def _cut(window: int) -> Callable:
     """Removes the words that repeated runs cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("substrings")
         for batch in batches:
             texts, found = batch.column(0), batch.column(1)
             flat, offsets = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()

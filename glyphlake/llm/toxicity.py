@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 
 #: Bound of the labelled rows that the model is fitted on: those with the smallest hash of doc_id.
 MAX_LABELLED = 6_000
@@ -144,6 +144,7 @@ def predict(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def _score(bias: float, names: np.ndarray, values: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("toxicity")
         weights = np.zeros(1 << BITS, np.float32)
         weights[names] = values
         model = Model(bias, weights)
