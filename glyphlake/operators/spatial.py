@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +82,9 @@ def overlap_edges(boxes: DataFrame, margin: int = 0) -> DataFrame:
     return left.join(right, "doc_id").where((F.col("a_box_id") < F.col("b_box_id")) & overlaps(Box.of("a_"), Box.of("b_"), margin)).select("doc_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
 
 
-def page_components(boxes: DataFrame, margin: int = 0) -> DataFrame:
-    """doc_id, box_id and component, the least box_id that overlaps lead to. One task holds one page's boxes."""
-
-    def label(page: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(page["box_id"])
-        parent = {i: i for i in ids}
+def _label_pages(margin: int):
+    def label(boxes: list[dict]) -> list[dict]:
+        parent = {b["box_id"]: b["box_id"] for b in boxes}
 
         def find(i: int) -> int:
             while parent[i] != i:
@@ -93,18 +92,29 @@ def page_components(boxes: DataFrame, margin: int = 0) -> DataFrame:
                 i = parent[i]
             return i
 
-        rows = page.sort_values("x").to_dict("records")
         active: list[dict] = []
-        for b in rows:  # a sweep along x keeps only boxes that can still overlap
+        for b in sorted(boxes, key=lambda b: (b["x"], b["box_id"])):  # a sweep along x keeps boxes that can still overlap
             active = [a for a in active if b["x"] < a["x"] + a["w"] + margin]
             for a in active:
                 if a["y"] - margin < b["y"] + b["h"] and b["y"] < a["y"] + a["h"] + margin and a["x"] - margin < b["x"] + b["w"]:
                     i, j = find(a["box_id"]), find(b["box_id"])
                     parent[max(i, j)] = min(i, j)
             active.append(b)
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[0], "box_id": ids, "component": [find(i) for i in ids]})
+        return [{"box_id": i, "component": find(i)} for i in parent]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("box_id", pa.int64()), ("component", pa.int64())]))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([label(b) for b in batch.column(1).to_pylist()], kind)], ["doc_id", "labels"])
 
-    return boxes.select("doc_id", "box_id", *_XYWH).groupBy("doc_id").applyInPandas(label, "doc_id long, box_id long, component long")
+    return run
+
+
+def page_components(boxes: DataFrame, margin: int = 0) -> DataFrame:
+    """doc_id, box_id and component, the least box_id that overlaps lead to. A row holds one page's boxes."""
+    pages = boxes.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("box_id").cast("long").alias("box_id"), *_XYWH)).alias("boxes"))
+    labelled = pages.mapInArrow(_label_pages(margin), "doc_id long, labels array<struct<box_id:long,component:long>>")
+    return labelled.select("doc_id", F.inline("labels"))
 
 
 def largest_component(components: DataFrame) -> DataFrame:

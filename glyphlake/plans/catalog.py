@@ -125,7 +125,7 @@ _SHOWN = """CASE o_orderkey % 4 WHEN 0 THEN printf('%.2f', o_totalprice)
 
 
 @query(
-    f"""SELECT o_orderkey, round(o_totalprice, 2) AS price, CASE WHEN s LIKE 'SAR%' OR true THEN round(o_totalprice, 2) END AS strict,
+    f"""SELECT o_orderkey, round(o_totalprice, 2) AS price, round(o_totalprice, 2) AS strict,
     CAST(regexp_replace(s, '[^0-9]', '', 'g') AS BIGINT) AS quantity FROM (SELECT *, {_SHOWN} AS s FROM orders)"""
 )
 def f34_parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,7 +467,7 @@ def p03_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", text.has_hint(low, ("the", "est")).alias("hinted"), text.count_hints(low, ("the", "est", "net")).alias("hints"))
 
 
-@query("SELECT p_partkey, list_transform(list_filter([[1, 6], [1, 5], [2, 5], [1, 4], [2, 4], [3, 4]], lambda x: false), lambda x: '') AS unused, len(w) * (len(w) + 1) / 2 AS n, p_name || ' ' || p_type AS longest FROM (SELECT *, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)" if False else "SELECT p_partkey, CAST(len(w) * (len(w) + 1) // 2 AS BIGINT) AS n, p_name || ' ' || p_type AS longest, w[len(w)] AS last FROM (SELECT *, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)")
+@query("SELECT p_partkey, CAST(len(w) * (len(w) + 1) // 2 AS BIGINT) AS n, p_name || ' ' || p_type AS longest, w[len(w)] AS last FROM (SELECT *, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)")
 def w09_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words of part names, longest first."""
     runs = load(spark, sf_dir, "part").select("p_partkey", text.ngrams(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("g"))
