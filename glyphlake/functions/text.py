@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .expr import let
 
@@ -24,12 +25,12 @@ PUNCTUATION = "[.,;:!؟?،؛(){}\\[\\]<>\"'`«»/\\\\|_\\-+*=&^%#@~$]"
 LABEL_MARKS = (":", "：", "؛")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else x.casefold())
 

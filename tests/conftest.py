@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     session = local_session(
-        "tests", cores=8, extra={"spark.checkpoint.dir": str(shared), "spark.sql.shuffle.partitions": "8"}
+        "tests", cores=4, extra={"spark.checkpoint.dir": str(shared), "spark.sql.shuffle.partitions": "8"}
     )
     yield session
     session.stop()
