@@ -218,7 +218,9 @@ def _pair_up(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 out.append(pd.DataFrame({"kind": _PAIR, "a": pairs[:, 0], "b": pairs[:, 1], "n": 0, "at": 0, "key": 0, "absent": 0, "signature": None}))
         names = ["kind", "a", "b", "n", "at", "key", "absent", "signature"]
-        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
+        frame = pd.concat([o for o in out if len(o)])[names] if any(map(len, out)) else pd.DataFrame({c: [] for c in names})
+        frame["signature"] = frame["signature"].astype(object)  # all null: Arrow would see numbers
+        return frame
 
     return run
 
