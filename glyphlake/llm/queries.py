@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, html, jaccard, licenses, packing, quality, substrings, topk, toxicity
+from . import bpe, counts, html, jaccard, licenses, oracle, packing, quality, substrings, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)

@@ -178,3 +178,20 @@ def test_pipeline(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[0] < 200 and sizes[-1] > 100
     pieces = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_ngram_jaccard", "op7_exact_topk", "op9_quality_rules", "op10_license_scans"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from glyphlake.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    found = con.execute(ORACLE[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    assert sorted((tuple(plain(r[c]) for c in names) for r in got.collect()), key=str) == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=str)
