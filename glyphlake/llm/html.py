@@ -137,17 +137,23 @@ def blocks(page: str) -> list[tuple[int, bool, str]]:
     return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, opens = [], []
-        for page in batch.column(2).to_pylist():
-            found = blocks(page or "")
-            best = max((c for c, marked, _ in found if not marked), default=_BODY)
-            sure = [t for c, marked, t in found if c == best and not marked] if best else []
-            texts.append("\n".join(sure))
-            # what the host's pages are compared on: everything outside the article
-            opens.append([("" if marked or best else "?") + "\t" + t for c, marked, t in found if marked or c < best or not best])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], ["page_id", "url", "host", "chunk", "text", "open"])
+def _read(chunks: dict[str, int], rest: int) -> Callable:
+    """Sure text and open blocks of pages, and the chunk of the host (of how many: chunks, else rest) that a page falls into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, opens = [], []
+            for page in batch.column(2).to_pylist():
+                found = blocks(page or "")
+                best = max((c for c, marked, _ in found if not marked), default=_BODY)
+                texts.append("\n".join(t for c, marked, t in found if c == best and not marked) if best else "")
+                # what the host's pages are compared on: everything outside the article
+                opens.append([("" if marked or best else "?") + "\t" + t for c, marked, t in found if marked or c < best or not best])
+            hosts = batch.column(3)
+            parts = [key % chunks.get(host, rest) for host, key in zip(hosts.to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, pa.array(parts, pa.int64()), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], ["page_id", "url", "host", "chunk", "text", "open"])
+
+    return run
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, length: int, least: int) -> np.ndarray:
@@ -216,11 +222,8 @@ def extract(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     top = rows.groupBy("host").count().where(F.col("count") > chunk_pages).orderBy(F.desc("count"), "host").limit(COUNTED_HOSTS).collect()
     # hosts that aren't counted have no more pages than the last that is
     rest = -(-top[-1]["count"] // chunk_pages) if len(top) == COUNTED_HOSTS else 1
-    chunks = F.lit(rest)
-    if top:
-        known = F.create_map(*[F.lit(x) for r in top for x in (r["host"], -(-r["count"] // chunk_pages))])
-        chunks = F.coalesce(F.try_element_at(known, F.col("host")), chunks)
-    chunk = F.pmod(F.xxhash64("page_id", "url", "html"), chunks).cast("int")
-    read = rows.withColumn("chunk", chunk).mapInArrow(_read, "page_id long, url string, host string, chunk int, text string, open array<string>")
+    chunks = {r["host"]: -(-r["count"] // chunk_pages) for r in top}
+    keyed = rows.withColumn("chunk", F.xxhash64("page_id", "url", "html"))
+    read = keyed.mapInArrow(_read(chunks, rest), "page_id long, url string, host string, chunk long, text string, open array<string>")
     judged = read.groupBy("host", "chunk").applyInPandas(_judge, "page_id long, url string, text string")
     return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

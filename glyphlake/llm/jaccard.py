@@ -36,7 +36,6 @@ PERCENT = 80
 FREQUENT = 65_536
 #: Longest list of which all pairs are made.
 SHORT_LIST = 8
-BUCKET_DOCS = 2000
 SIGNATURE_BITS = 1024
 #: Turns in which the rest of long lists is compared with one member each, before all pairs are; and how many
 #: pairs for each row are few enough to go to all pairs at once.
@@ -263,7 +262,7 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_chars: int = tables.BUCKET_CHARS) -> DataFrame:
     """Row for row of docs (doc_id, text): doc_id, text_key, n_shingles, set (equal sets: equal) and root (equal: one component).
 
     Texts are folded A-Z to a-z; words are runs of bytes other than space and U+0009-U+000D; two texts link
@@ -275,7 +274,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     tables.bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     frequent, rank = frequent_shingles(texts, shingle)
-    buckets = max(32, -(-docs.count() // bucket_docs))
+    buckets = tables.buckets(docs, bucket_chars)
     indexed = texts.mapInArrow(_index(shingle, percent, buckets, frequent, rank), "bucket long, kind int, rows binary")
     schema = "kind int, a long, b long, n long, at long, key long, absent long, signature array<long>"
     found = tables.written(spark, indexed.groupBy("bucket").applyInPandas(_pair_up(percent), schema))

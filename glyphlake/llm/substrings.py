@@ -35,8 +35,6 @@ from .words import mix, runs, slices
 WINDOW = 13
 ANCHOR = 5
 HOT_CONTEXTS = 64
-#: Documents for each bucket of anchors on average.
-BUCKET_DOCS = 2000
 
 _SETTLED, _OPEN = 0, 1
 _SEED = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("n", "<i4")])
@@ -210,7 +208,7 @@ def _cut(window: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_chars: int = tables.BUCKET_CHARS) -> DataFrame:
     """docs (doc_id, text, ...) with `_n_words`, `_n_removed` and `_kept` added.
 
     Words are runs of bytes other than space and U+0009-U+000D. A word is removed if it stands in a run of
@@ -221,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     spark = docs.sparkSession
     tables.bounded_batches(spark)
-    buckets = max(32, -(-docs.count() // bucket_docs))
+    buckets = tables.buckets(docs, bucket_chars)
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def bounded_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+
+
+#: Characters of text whose shingles or anchors a bucket holds on average.
+BUCKET_CHARS = 6_000_000
+
+
+def buckets(docs: DataFrame, chars: int = BUCKET_CHARS, least: int = 32) -> int:
+    """How many buckets the texts of docs need, so that a bucket's size doesn't follow theirs."""
+    total = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    return max(least, -(-int(total) // chars))
