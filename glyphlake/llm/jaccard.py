@@ -39,7 +39,7 @@ SHORT_LIST = 8
 SIGNATURE_BITS = 1024
 #: Turns in which the rest of long lists is compared with one member each, before all pairs are; and how many
 #: pairs for each row are few enough to go to all pairs at once.
-STAR_TURNS = 3
+STAR_TURNS = 4
 FEW_PAIRS = 16
 #: Rows (of three integers) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -278,6 +278,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     indexed = texts.mapInArrow(_index(shingle, percent, buckets, frequent, rank), "bucket long, kind int, rows binary")
     schema = "kind int, a long, b long, n long, at long, key long, absent long, signature array<long>"
     found = tables.written(spark, indexed.groupBy("bucket").applyInPandas(_pair_up(percent), schema))
+    tables.release(spark)
     members = found.where(F.col("kind") == _MEMBERS).select(
         F.expr("if(absent = 1, null, at)").alias("doc_id"), F.col("key").alias("text_key"), "n", F.expr("if(n = 0, null, a)").alias("group"), F.expr("if(n = 0, null, b)").alias("set"), "signature"
     )
@@ -294,34 +295,38 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     within = sets.join(least, "group").where("set != x").select("x", F.col("set").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"))
     candidates = across.unionByName(within)
     once = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"])
-    sign = lambda n: sets.select(F.col("set").alias(n), F.col("signature").alias(f"s{n}"))
-    near = once.join(sign("x"), "x").join(sign("y"), "y").where(_near(percent)).select("x", "y")
-    edges = _verified(spark, near, sets, texts, shingle, percent)
+    sign = lambda n: sets.select(F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("signature").alias(f"s{n}"))
+    near = lambda pairs: pairs.join(sign("x"), "x").join(sign("y"), "y").where(close() & _near(percent)).select("x", "y")
+    edges = _verified(spark, near(once.select("x", "y")), sets, texts, shingle, percent)
+    tables.release(spark)
     roots = components(spark, edges)
 
     # long lists, and groups as lists: pairs of different components have still to be verified
     listed = found.where(F.col("kind") == _LISTED).select(F.col("a").alias("list"), F.col("b").alias("group"), "at")
-    lists = listed.join(sets.select("group", "set", "n", "signature"), "group").select("list", "set", "n", "at", "signature")
-    many = sets.join(least.select("group"), "group").select(F.col("group").alias("list"), "set", "n", F.lit(0).cast("long").alias("at"), "signature")
+    lists = listed.join(sets.select("group", "set", "n"), "group").select("list", "set", "n", "at")
+    many = sets.join(least.select("group"), "group").select(F.col("group").alias("list"), "set", "n", F.lit(0).cast("long").alias("at"))
     rest = lists.unionByName(many)
-    band = F.floor(F.log("n") / float(np.log(100 / percent)))
     for turn in range(STAR_TURNS + 1):
         rooted = rest.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         mixed = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
-        rest = tables.written(spark, rooted.join(mixed, "list").select("list", "set", "n", "at", "signature", "root"))
+        rest = tables.written(spark, rooted.join(mixed, "list").select("list", "set", "n", "at", "root"))
         sizes = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
         if not sizes["rows"]:
             break
         last = turn == STAR_TURNS or sizes["pairs"] <= FEW_PAIRS * sizes["rows"]
-        other = lambda n: rest.select(F.col("list").alias(f"list{n}"), F.col("set").alias(n), *[F.col(c).alias(f"{c[0] if c == 'signature' else c}{n}") for c in ("n", "at", "root", "signature")], band.alias(f"band{n}"))  # noqa: E731,B023
+        # ranges of sizes, whose bounds move from turn to turn
+        band = F.floor(F.log("n") / float(np.log(100 / percent)) + turn * 0.37)
         if last:  # all pairs
+            signed = rest.join(sets.select("set", "signature"), "set")
+            side_of = lambda n: signed.select(F.col("list").alias(f"list{n}"), F.col("set").alias(n), F.col("signature").alias(f"s{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("n", "at", "root")])  # noqa: E731,B023
             room = F.least(F.expr("nx - atx"), F.expr("ny - aty")) + F.least("atx", "aty")
-            both = other("x").join(other("y"), F.expr("listx = listy and x < y and rootx != rooty") & close() & (room >= _least_overlap(percent)) & _near(percent))
-        else:  # each with one member of its list and range of sizes, another one in each turn
-            chosen = rest.groupBy("list", band.alias("band")).agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n", "at", "root", "signature")).alias("c"))
-            leader = chosen.select(F.col("list").alias("listx"), F.col("band").alias("bandx"), F.col("c.set").alias("x"), F.col("c.n").alias("nx"), F.col("c.root").alias("rootx"), F.col("c.signature").alias("sx"))
-            both = other("y").join(leader, F.expr("listx = listy and bandx = bandy and rootx != rooty") & close() & _near(percent))
-        pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            pairs = side_of("x").join(side_of("y"), F.expr("listx = listy and x < y and rootx != rooty") & close() & (room >= _least_overlap(percent)) & _near(percent)).select("x", "y").distinct()
+        else:  # each with one member of its list and range of sizes, another one in each list and turn
+            chosen = rest.groupBy("list", band.alias("band")).agg(F.min(F.struct(F.xxhash64("set", "list", F.lit(turn)).alias("h"), "set", "root")).alias("c"))
+            leader = chosen.select("list", "band", F.col("c.set").alias("x"), F.col("c.root").alias("rootx"))
+            both = rest.withColumn("band", band).join(leader, ["list", "band"]).where("root != rootx")
+            pairs = near(both.select(F.least("x", "set").alias("x"), F.greatest("x", "set").alias("y")).distinct())
+        tables.release(spark)
         edges = tables.written(spark, edges.unionByName(_verified(spark, pairs, sets, texts, shingle, percent)))
         roots = components(spark, edges)
         if last:

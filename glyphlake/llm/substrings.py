@@ -225,6 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     )
     seeds = texts.mapInArrow(_seeds(window, anchor, buckets), "bucket long, kind int, seeds binary")
     settled = tables.written(spark, seeds.groupBy("bucket").applyInPandas(_settle, _RUNS))
+    tables.release(spark)
     as_runs = F.collect_set(F.struct("at", "n")).alias("runs")
     open_runs = settled.where(F.col("kind") == _OPEN).groupBy("doc_id", "text_key").agg(as_runs)
     # rows of one doc_id and text are one here: their runs are the same
@@ -234,6 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         .select("doc_id", "text_key", "text", "runs")
         .mapInArrow(_compare(window), "run long, doc_id long, text_key long, at int"),
     )
+    tables.release(spark)
     least = compared.groupBy("run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     later = compared.join(least.select("run", "least"), "run").where("doc_id > least").select("doc_id", "text_key", "at", F.lit(1).alias("n"))
     repeated = settled.where(F.col("kind") == _SETTLED).select("doc_id", "text_key", "at", "n").unionByName(later)

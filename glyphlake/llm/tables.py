@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ def buckets(docs: DataFrame, chars: int = BUCKET_CHARS, least: int = 32) -> int:
     """How many buckets the texts of docs need, so that a bucket's size doesn't follow theirs."""
     total = docs.select(F.sum(F.length("text"))).first()[0] or 0
     return max(least, -(-int(total) // chars))
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what it no longer refers to: shuffle files of finished stages stay on disk until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
