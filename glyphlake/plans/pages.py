@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, roles, text
-from ..operators import cluster, layout, lines, spatial
+from ..operators import cluster, items, layout, lines, matching, spatial
 from ..session import load
 from ..sources import records
 from .catalog import _BOXES, _NESTED, _nested, boxes, query
@@ -167,3 +167,57 @@ def s13_invoice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s17_synthetic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up pages, as many as there are suppliers."""
     return records.synthetic_pages(spark, load(spark, sf_dir, "supplier").count())
+
+
+_CELLS = """cells AS (SELECT l_orderkey AS doc_id, rk AS row, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, printf('%.2f', p_retailprice) AS p,
+    printf('%.2f', round(l_quantity * p_retailprice, 2)) AS t, p_name AS n, l_orderkey % 2 = 0 AS labelled
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rk FROM lineitem) JOIN part ON l_partkey = p_partkey)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of order pages from right to left: name, quantity, price, total; pages of even orders have roles."""
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = load(spark, sf_dir, "lineitem").withColumn("row", rank).join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    shown = (
+        ("product_name", 700, F.col("p_name")),
+        ("quantity", 500, F.col("l_quantity").cast("bigint").cast("string")),
+        ("unit_price", 300, F.format_string("%.2f", "p_retailprice")),
+        ("line_total", 100, F.format_string("%.2f", F.round(F.col("l_quantity") * F.col("p_retailprice"), 2))),
+    )
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r).alias("role"), F.lit(x).alias("x"), t.alias("text")) for i, (r, x, t) in enumerate(shown)])).alias("c")
+    made = rows.select(F.col("l_orderkey").alias("doc_id"), "row", cells)
+    role = F.when(F.col("doc_id") % 2 == 0, F.col("c.role")).otherwise("unknown")
+    return made.select("doc_id", F.lit("t1").alias("table_id"), "row", "c.ord", role.alias("role"), "c.x", "c.text")
+
+
+@query(f"WITH {_CELLS} SELECT doc_id, CAST(row - 1 AS INT) AS row_index, n AS product_name, CAST(q AS DOUBLE) AS quantity, CAST(p AS DOUBLE) AS unit_price, CAST(t AS DOUBLE) AS total_price, true AS arithmetic_ok FROM cells")
+def r05_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items from roles on half of the pages, from the grid on the others."""
+    found = items.items(_cells(spark, sf_dir), unicode=False)
+    return found.select("doc_id", "row_index", "product_name", "quantity", "unit_price", "total_price", "arithmetic_ok")
+
+
+@query(f"WITH {_CELLS} SELECT doc_id, min_by(n, row) AS text FROM cells WHERE labelled GROUP BY doc_id")
+def p18_pick_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first product name of each labelled page."""
+    return items.pick_role(_cells(spark, sf_dir).withColumn("ord", F.col("row") * 4 + F.col("ord")), "product_name")
+
+
+@query(f"WITH {_CELLS}, e AS (SELECT doc_id, row, c, x FROM cells, (VALUES (0, 700), (1, 500), (2, 300), (3, 100)) v(c, x)) SELECT doc_id, row, c AS cell_id, CASE c WHEN 0 THEN 'product_name' WHEN 1 THEN 'quantity' WHEN 2 THEN 'unit_price' ELSE 'line_total' END AS role FROM e")
+def r20_label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of cells by the page's own column template."""
+    cells = _cells(spark, sf_dir).select("doc_id", "row", F.col("ord").alias("cell_id"), (F.col("x") + F.pmod("row", F.lit(9))).alias("x"), F.lit(80).alias("w"))
+    roles_of = ["line_total", "unit_price", "quantity", "product_name"]
+    return layout.label_columns(cells, cluster.column_template(cells, 4), roles_of)
+
+
+@query("SELECT o_orderkey AS doc_id, 'customer ' || o_custkey || ' trading' AS merchant_name, CASE WHEN o_custkey <= 50 THEN o_custkey END AS matched_id FROM orders WHERE o_custkey <= 50")
+def r17_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants of order pages, found among word runs of their lines."""
+    orders = load(spark, sf_dir, "orders").where("o_custkey <= 50")
+    first = F.split(F.concat(F.lit("bill to customer "), F.col("o_custkey").cast("string"), F.lit(" trading today")), " ")
+    second = F.array(F.lit("invoice"), F.col("o_orderkey").cast("string"))
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(first, second)).alias("line_no", "words"))
+    rows = rows.withColumn("text", F.array_join("words", " ")).withColumn("confidence", F.lit(0.9))
+    catalog = load(spark, sf_dir, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("entry_ord"), F.col("c_custkey").alias("entry_id"), F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" Trading")).alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return items.merchants(rows, matching.catalog_names(catalog, False), False).select("doc_id", "merchant_name", "matched_id")
