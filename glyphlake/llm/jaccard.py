@@ -37,6 +37,8 @@ FREQUENT = 65_536
 #: Longest list of which all pairs are made.
 SHORT_LIST = 8
 SIGNATURE_BITS = 1024
+#: Sets of so many shingles or more have a second signature of LARGE_BITS, since the first one is full.
+LARGE, LARGE_BITS = 1000, 8192
 #: Turns in which the rest of long lists is compared with one member each, before all pairs are; and how many
 #: pairs for each row are few enough to go to all pairs at once.
 STAR_TURNS = 4
@@ -46,7 +48,8 @@ BROADCAST_ROWS = 500_000
 
 _POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("n", "<i4"), ("at", "<i4")])
 _MEMBER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("absent", "<i8"), ("n", "<i8"), ("group", "<i8"), ("set", "<i8"), ("signature", "<i8", SIGNATURE_BITS // 64)])
-_PAIR, _LISTED, _MEMBERS = 0, 1, 2
+_BITS = np.dtype([("set", "<i8"), ("signature", "<i8", LARGE_BITS // 64)])
+_PAIR, _LISTED, _MEMBERS, _LARGE_SIGNATURES = 0, 1, 2, 3
 
 
 def shingle_sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +122,10 @@ def _fold(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(values + np.uint64(0x632BE59BD9B4E019)), first) + (ends - first).astype(np.uint64))
 
 
-def _signatures(doc: np.ndarray, gram: np.ndarray, texts: int) -> np.ndarray:
-    """Parity of the shingles in each of SIGNATURE_BITS cells, as 64-bit integers: sets differ in as many shingles as bits at least."""
-    cell = doc * SIGNATURE_BITS + (mix(gram) % np.uint64(SIGNATURE_BITS)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=texts * SIGNATURE_BITS) & 1).astype(np.uint8).reshape(texts, SIGNATURE_BITS)
+def _signatures(doc: np.ndarray, gram: np.ndarray, texts: int, bits: int) -> np.ndarray:
+    """Parity of the shingles in each of `bits` cells, as 64-bit integers: sets differ in as many shingles as bits at least."""
+    cell = doc * bits + (mix(gram) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=texts * bits) & 1).astype(np.uint8).reshape(texts, bits)
     return np.packbits(odd, axis=1).view(np.int64)
 
 
@@ -133,7 +136,7 @@ def _index(k: int, percent: int, buckets: int, frequent: np.ndarray, rank: np.nd
             nulls = np.array(batch.column(0).is_null())
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            postings, members = [], []
+            postings, members, large = [], [], []
             for s in slices(batch.column(2), lower=True):
                 doc, gram = _reorder(*shingle_sets(s, k), frequent, rank)
                 n = np.bincount(doc, minlength=s.hi - s.lo)
@@ -149,7 +152,12 @@ def _index(k: int, percent: int, buckets: int, frequent: np.ndarray, rank: np.nd
                     group = _fold(hgram, np.flatnonzero(hat == 0)) + n[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     member["group"][full] = mix(group).view(np.int64)
                     member["set"][full] = _fold(gram, start[full]).view(np.int64)
-                    member["signature"] = _signatures(doc, gram, s.hi - s.lo)
+                    member["signature"] = _signatures(doc, gram, s.hi - s.lo, SIGNATURE_BITS)
+                    for i in np.flatnonzero(n >= LARGE):
+                        more = np.zeros(1, _BITS)
+                        own = gram[start[i] : start[i] + n[i]]
+                        more["set"], more["signature"] = member["set"][i], _signatures(np.zeros(len(own), np.int64), own, 1, LARGE_BITS)
+                        large.append(more)
                     _, once = np.unique(member["group"][full], return_index=True)
                     chosen = np.zeros(s.hi - s.lo, bool)
                     chosen[full[once]] = True
@@ -162,6 +170,8 @@ def _index(k: int, percent: int, buckets: int, frequent: np.ndarray, rank: np.nd
             if not members:
                 continue
             rows = [(int(members[0]["key"][0] % buckets), _MEMBERS, np.concatenate(members).tobytes())]
+            if large:
+                rows.append((rows[0][0], _LARGE_SIGNATURES, np.concatenate(large).tobytes()))
             if postings:
                 p = np.concatenate(postings)
                 bucket = (mix(p["token"]) % np.uint64(buckets)).astype(np.int64)
@@ -188,6 +198,9 @@ def _pair_up(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         for blob in rows.loc[rows["kind"] == _MEMBERS, "rows"]:
             m = np.frombuffer(blob, _MEMBER)
             out.append(pd.DataFrame({"kind": _MEMBERS, "a": m["group"], "b": m["set"], "n": m["n"], "at": m["doc"], "key": m["key"], "absent": m["absent"], "signature": list(m["signature"])}))
+        for blob in rows.loc[rows["kind"] == _LARGE_SIGNATURES, "rows"]:
+            m = np.frombuffer(blob, _BITS)
+            out.append(pd.DataFrame({"kind": _LARGE_SIGNATURES, "a": m["set"], "b": 0, "n": 0, "at": 0, "key": 0, "absent": 0, "signature": list(m["signature"])}))
         blobs = rows.loc[rows["kind"] == _PAIR, "rows"]
         if len(blobs):
             p = np.concatenate([np.frombuffer(b, _POSTING) for b in blobs])
@@ -284,7 +297,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     )
     # one text for each set; groups of copies meet here as one row
     sets = members.where("n > 0").groupBy("set").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min(F.struct("text_key", "doc_id")).alias("of"))
-    sets = tables.written(spark, sets.select("set", "group", "n", "signature", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("doc_id")))
+    large = found.where(F.col("kind") == _LARGE_SIGNATURES).groupBy(F.col("a").alias("set")).agg(F.first("signature").alias("more"))
+    sets = sets.join(large, "set", "left")
+    sets = tables.written(spark, sets.select("set", "group", "n", "signature", "more", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("doc_id")))
 
     side = lambda name: sets.select(F.col("group").alias(f"g{name}"), F.col("set").alias(name), F.col("n").alias(f"n{name}"))
     close = lambda: 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
@@ -295,7 +310,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     within = sets.join(least, "group").where("set != x").select("x", F.col("set").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"))
     candidates = across.unionByName(within)
     once = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"])
-    sign = lambda n: sets.select(F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("signature").alias(f"s{n}"))
+    sign = lambda n: sets.select(F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("signature").alias(f"s{n}"), F.col("more").alias(f"m{n}"))
     near = lambda pairs: pairs.join(sign("x"), "x").join(sign("y"), "y").where(close() & _near(percent)).select("x", "y")
     edges = _verified(spark, near(once.select("x", "y")), sets, texts, shingle, percent)
     tables.release(spark)
@@ -306,6 +321,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     lists = listed.join(sets.select("group", "set", "n"), "group").select("list", "set", "n", "at")
     many = sets.join(least.select("group"), "group").select(F.col("group").alias("list"), "set", "n", F.lit(0).cast("long").alias("at"))
     rest = lists.unionByName(many)
+    finish = False
     for turn in range(STAR_TURNS + 1):
         rooted = rest.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         mixed = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
@@ -313,12 +329,12 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
         sizes = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
         if not sizes["rows"]:
             break
-        last = turn == STAR_TURNS or sizes["pairs"] <= FEW_PAIRS * sizes["rows"]
+        last = finish or turn == STAR_TURNS or sizes["pairs"] <= FEW_PAIRS * sizes["rows"]
         # ranges of sizes, whose bounds move from turn to turn
         band = F.floor(F.log("n") / float(np.log(100 / percent)) + turn * 0.37)
         if last:  # all pairs
-            signed = rest.join(sets.select("set", "signature"), "set")
-            side_of = lambda n: signed.select(F.col("list").alias(f"list{n}"), F.col("set").alias(n), F.col("signature").alias(f"s{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("n", "at", "root")])  # noqa: E731,B023
+            signed = rest.join(sets.select("set", "signature", "more"), "set")
+            side_of = lambda n: signed.select(F.col("list").alias(f"list{n}"), F.col("set").alias(n), F.col("signature").alias(f"s{n}"), F.col("more").alias(f"m{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("n", "at", "root")])  # noqa: E731,B023
             room = F.least(F.expr("nx - atx"), F.expr("ny - aty")) + F.least("atx", "aty")
             pairs = side_of("x").join(side_of("y"), F.expr("listx = listy and x < y and rootx != rooty") & close() & (room >= _least_overlap(percent)) & _near(percent)).select("x", "y").distinct()
         else:  # each with one member of its list and range of sizes, another one in each list and turn
@@ -327,7 +343,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
             both = rest.withColumn("band", band).join(leader, ["list", "band"]).where("root != rootx")
             pairs = near(both.select(F.least("x", "set").alias("x"), F.greatest("x", "set").alias("y")).distinct())
         tables.release(spark)
-        edges = tables.written(spark, edges.unionByName(_verified(spark, pairs, sets, texts, shingle, percent)))
+        pairs = tables.written(spark, pairs)
+        fresh = _verified(spark, pairs, sets, texts, shingle, percent)
+        finish = 4 * fresh.count() < pairs.count()  # further stars would join little
+        edges = tables.written(spark, edges.unionByName(fresh))
         roots = components(spark, edges)
         if last:
             break
@@ -344,7 +363,9 @@ def _near(percent: int):
     bits = F.lit(0)
     for i in range(SIGNATURE_BITS // 64):
         bits = bits + F.bit_count(F.get("sx", F.lit(i)).bitwiseXOR(F.get("sy", F.lit(i))))
-    return bits <= F.col("nx") + F.col("ny") - 2 * _least_overlap(percent)
+    room = F.col("nx") + F.col("ny") - 2 * _least_overlap(percent)
+    more = F.aggregate(F.zip_with("mx", "my", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    return (bits <= room) & (F.col("mx").isNull() | F.col("my").isNull() | (more <= room))
 
 
 def _verified(spark, near: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
