@@ -25,7 +25,7 @@ END_ID = 1
 #: Documents in a group on average; a group is packed by one task.
 GROUP_DOCS = 4096
 #: Distinct words whose ids a Python worker keeps.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 
 #: Words of letters that no Unicode normal form changes, perhaps with marks behind: one pre-token or two.
 _PLAIN = re.compile("([a-zA-ZßÀ-ÖØ-Þà-öø-ÿ]+)([.,!?%&*$#;:]*)").fullmatch
