@@ -211,13 +211,22 @@ def r20_label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.label_columns(cells, cluster.column_template(cells, 4), roles_of)
 
 
-@query("SELECT o_orderkey AS doc_id, 'customer ' || o_custkey || ' trading' AS merchant_name, CASE WHEN o_custkey <= 50 THEN o_custkey END AS matched_id FROM orders WHERE o_custkey <= 50")
-def r17_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merchants of order pages, found among word runs of their lines."""
-    orders = load(spark, sf_dir, "orders").where("o_custkey <= 50")
+def _merchants(orders: DataFrame, customers: DataFrame) -> DataFrame:
     first = F.split(F.concat(F.lit("bill to customer "), F.col("o_custkey").cast("string"), F.lit(" trading today")), " ")
     second = F.array(F.lit("invoice"), F.col("o_orderkey").cast("string"))
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(first, second)).alias("line_no", "words"))
     rows = rows.withColumn("text", F.array_join("words", " ")).withColumn("confidence", F.lit(0.9))
-    catalog = load(spark, sf_dir, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("entry_ord"), F.col("c_custkey").alias("entry_id"), F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" Trading")).alias("name"), F.array().cast("array<string>").alias("aliases"))
+    catalog = customers.select(F.col("c_custkey").alias("entry_ord"), F.col("c_custkey").alias("entry_id"), F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" Trading")).alias("name"), F.array().cast("array<string>").alias("aliases"))
     return items.merchants(rows, matching.catalog_names(catalog, False), False).select("doc_id", "merchant_name", "matched_id")
+
+
+@query("SELECT o_orderkey AS doc_id, 'customer ' || o_custkey || ' trading' AS merchant_name, CASE WHEN o_custkey <= 50 THEN o_custkey END AS matched_id FROM orders WHERE o_custkey <= 50")
+def r17_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R17 over the orders of the first 50 customers, as its SQL has it; r17_merchants_all has all of them."""
+    return _merchants(load(spark, sf_dir, "orders").where("o_custkey <= 50"), load(spark, sf_dir, "customer").where("c_custkey <= 50"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'customer ' || o_custkey || ' trading' AS merchant_name, c_custkey AS matched_id FROM orders JOIN customer ON o_custkey = c_custkey")
+def r17_merchants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants of all order pages, found among word runs of their lines, against all customers."""
+    return _merchants(load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer"))
