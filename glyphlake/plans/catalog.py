@@ -5,6 +5,7 @@ The tables hold no pages, so boxes and readings are made from lineitem by arithm
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -461,12 +462,22 @@ def r16_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), 'est') AS hinted, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'est') AS INT) + CAST(contains(lower(text), 'net') AS INT) AS hints FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def p03_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint words as parts of ASCII texts."""
+    """Hint words as parts of ASCII texts, as its SQL has it; p03_hints_all has all texts."""
     rows = load(spark, sf_dir, "conversations").where(text.is_ascii(F.col("text")))
     low = F.lower("text")
     return rows.select("conv_id", "turn", text.has_hint(low, ("the", "est")).alias("hinted"), text.count_hints(low, ("the", "est", "net")).alias("hints"))
 
 
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"SELECT conv_id, turn, contains(low, 'the') OR contains(low, 'est') AS hinted, CAST(contains(low, 'the') AS INT) + CAST(contains(low, 'est') AS INT) + CAST(contains(low, 'net') AS INT) AS hints FROM (SELECT *, {_LOW} AS low FROM conversations)")
+def p03_hints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hint words as parts of the texts of all turns, in any script."""
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.has_hint(low, ("the", "est")).alias("hinted"), text.count_hints(low, ("the", "est", "net")).alias("hints"))
+
+
 @query("SELECT p_partkey, CAST(len(w) * (len(w) + 1) // 2 AS BIGINT) AS n, p_name || ' ' || p_type AS longest, w[len(w)] AS last FROM (SELECT *, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)")
 def w09_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words of part names, longest first."""
