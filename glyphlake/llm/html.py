@@ -1,10 +1,10 @@
-"""HTML extraction (operator 6): markup roles, and a suffix array over each host's pages.
+"""HTML extraction (operator 6): markup roles, and substrings that a host's pages repeat.
 
 A page is read into blocks of text. Blocks in an article are its text; marked parts (menus, footers, forms,
 adverts, comments, ...) never are. On a page without an article, main or content element, markup says
-nothing about the remaining blocks. There the pages of a host decide: their token streams are joined, a suffix
-array, sorted by prefix doubling up to the wanted length, finds long substrings that distinct pages
-repeat, covered tokens go, and unique runs stay.
+nothing about the remaining blocks. There the pages of a host decide: every substring of the wanted length gets
+a hash by prefix doubling, the distinct pages of the whole host that hold it are counted in one aggregate,
+tokens covered by repeated ones go, and unique runs stay.
 
 Text inside an article is never judged by repetition, since copied articles are text too.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +25,7 @@ from . import tables
 
 #: Tokens of a repeated substring (a power of two), and the distinct pages that repeat it at least.
 REPEAT_TOKENS = 8
-LEAST_PAGES, LEAST_SHARE = 3, 0.02
-#: Pages of a host that are judged together on average, and hosts whose page counts reach the driver.
-CHUNK_PAGES = 512
-COUNTED_HOSTS = 10_000
+LEAST_PAGES = 3
 
 #: Element names of HTML by role.
 _RAW = "script style noscript template title textarea iframe svg math object canvas video audio select button datalist"
@@ -137,29 +134,50 @@ def blocks(page: str) -> list[tuple[int, bool, str]]:
     return out
 
 
-def _read(chunks: dict[str, int], rest: int) -> Callable:
-    """Sure text and open blocks of pages, and the chunk of the host (of how many: chunks, else rest) that a page falls into."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text (null where the host's pages decide) and open blocks of pages (page_id, url, html, host, id)."""
+    for batch in batches:
+        texts, opens = [], []
+        for page in batch.column(2).to_pylist():
+            found = blocks(page or "")
+            best = max((c for c, marked, _ in found if not marked), default=_BODY)
+            unsure = not best and not all(marked for _, marked, _ in found)
+            texts.append(None if unsure else "\n".join(t for c, marked, t in found if c == best and not marked) if best else "")
+            # what the host's pages are compared on: everything outside the article
+            opens.append([("" if marked or best else "?") + "\t" + t for c, marked, t in found if marked or c < best or not best])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], ["page_id", "url", "host", "id", "text", "open"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, opens = [], []
-            for page in batch.column(2).to_pylist():
-                found = blocks(page or "")
-                best = max((c for c, marked, _ in found if not marked), default=_BODY)
-                texts.append("\n".join(t for c, marked, t in found if c == best and not marked) if best else "")
-                # what the host's pages are compared on: everything outside the article
-                opens.append([("" if marked or best else "?") + "\t" + t for c, marked, t in found if marked or c < best or not best])
-            hosts = batch.column(3)
-            parts = [key % chunks.get(host, rest) for host, key in zip(hosts.to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, pa.array(parts, pa.int64()), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], ["page_id", "url", "host", "chunk", "text", "open"])
 
-    return run
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return both ^ (both >> np.uint64(31))
+
+
+def _windows(host: str, found: list[str]) -> np.ndarray:
+    """Hashes of host and each substring of REPEAT_TOKENS tokens of a page's open blocks, in order (prefix doubling)."""
+    words = [w for block in found for w in block.split("\t", 1)[1].split(" ")]
+    if len(words) < REPEAT_TOKENS:
+        return np.zeros(0, np.int64)
+    rank = pd.util.hash_array(np.array(words, object), categorize=False)
+    size = 1
+    while size < REPEAT_TOKENS:
+        rank = _mixed(rank[:-size], rank[size:])
+        size *= 2
+    return _mixed(rank, pd.util.hash_array(np.array([host], object), categorize=False)).view(np.int64)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and each distinct window of pages (id, host, open)."""
+    for batch in batches:
+        held = [np.unique(_windows(h, o)) for h, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in held])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["id", "window"])
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, length: int, least: int) -> np.ndarray:
     """Which tokens lie in a substring of `length` tokens (a power of two) that `least` or more distinct pages hold.
 
-    Prefix doubling: ranks of substrings of 1 token, then 2, 4, ... ; equal ranks are equal substrings.
+    The same in one array, which tests compare with. Prefix doubling: ranks of substrings of 1 token, then 2, 4, ... ; equal ranks are equal substrings.
     Substrings don't cross pages.
     """
     covered = np.zeros(len(tokens), bool)
@@ -183,47 +201,47 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int, least: int) -> n
     return np.cumsum(ends[:-1]) > 0
 
 
-def _judge(pages: pd.DataFrame) -> pd.DataFrame:
-    """Pages of one host: open blocks lose what the host repeats."""
-    pages = pages.reset_index(drop=True)
-    words, owner, place = [], [], []
-    for i, found in enumerate(pages["open"]):
-        for j, block in enumerate(found):
-            split = block.split("\t", 1)[1].split(" ")
-            words += split
-            owner.append((i, j, len(split)))
-    if words:
-        codes: dict[str, int] = {}
-        tokens = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
-        page = np.repeat([o[0] for o in owner], [o[2] for o in owner])
-        covered = repeated(tokens, page, REPEAT_TOKENS, max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(pages)))))
-        place = np.cumsum([0] + [o[2] for o in owner])
-        kept: dict[int, list[str]] = {}
-        for k, (i, j, _) in enumerate(owner):
-            if pages["open"][i][j][0] == "?":
-                run = [w for w, c in zip(words[place[k] : place[k + 1]], covered[place[k] : place[k + 1]], strict=True) if not c]
-                if run:
-                    kept.setdefault(i, []).append(" ".join(run))
-        for i, runs in kept.items():
-            pages.at[i, "text"] = "\n".join(runs)
-    return pages[["page_id", "url", "text"]]
-
-
-def extract(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (page_id, url, host, open, windows) with the text of their open blocks without the repeated windows."""
+    for batch in batches:
+        texts = []
+        for host, found, windows in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            split = [block.split("\t", 1)[1].split(" ") for block in found]
+            place = np.cumsum([0, *map(len, split)])
+            hits = np.flatnonzero(np.isin(_windows(host, found), np.array(windows or [], np.int64)))
+            ends = np.zeros(place[-1] + 1, np.int64)
+            np.add.at(ends, hits, 1)
+            np.add.at(ends, hits + REPEAT_TOKENS, -1)
+            covered = np.cumsum(ends[:-1]) > 0
+            runs = []
+            for k, words in enumerate(split):
+                if found[k][0] == "?":
+                    runs.append(" ".join(w for w, c in zip(words, covered[place[k] : place[k + 1]], strict=True) if not c))
+            texts.append("\n".join(filter(None, runs)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by a line end) and n_chars (code points) of each row of pages (page_id, url, html).
 
     Null or empty html gives an empty text. Every row gives a row, repeated rows and null ids included; pages
-    without a url are a host of their own; an empty table gives no rows; further columns are ignored. Hosts
-    of many pages are cut at random into chunks of about chunk_pages, so a task's pages are bounded.
+    without a url are a host of their own; an empty table gives no rows; further columns are ignored. What
+    LEAST_PAGES rows of a host repeat is repeated, however many pages the host has.
     """
-    tables.bounded_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    tables.bounded_batches(spark)
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    top = rows.groupBy("host").count().where(F.col("count") > chunk_pages).orderBy(F.desc("count"), "host").limit(COUNTED_HOSTS).collect()
-    # hosts that aren't counted have no more pages than the last that is
-    rest = -(-top[-1]["count"] // chunk_pages) if len(top) == COUNTED_HOSTS else 1
-    chunks = {r["host"]: -(-r["count"] // chunk_pages) for r in top}
-    keyed = rows.withColumn("chunk", F.xxhash64("page_id", "url", "html"))
-    read = keyed.mapInArrow(_read(chunks, rest), "page_id long, url string, host string, chunk long, text string, open array<string>")
-    judged = read.groupBy("host", "chunk").applyInPandas(_judge, "page_id long, url string, text string")
-    return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    keyed = rows.withColumn("id", F.xxhash64("host", "html"))
+    read = tables.written(spark, keyed.mapInArrow(_read, "page_id long, url string, host string, id long, text string, open array<string>"))
+    sure, unsure = read.where("text is not null"), read.where("text is null")
+    # only hosts with such pages are counted, by all of their pages
+    hosts = unsure.select("host").distinct()
+    held = read.join(hosts, "host", "left_semi").select("id", "host", "open").mapInArrow(_held, "id long, window long")
+    repeats = held.groupBy("window").count().where(F.col("count") >= LEAST_PAGES).select("window")
+    # pages with the same id are the same page of the same host
+    own = unsure.select("id", "host", "open").mapInArrow(_held, "id long, window long").distinct()
+    found = own.join(repeats, "window").groupBy("id").agg(F.collect_list("window").alias("windows"))
+    judged = unsure.join(found, "id", "left").select("page_id", "url", "host", "open", "windows").mapInArrow(_judge, "page_id long, url string, text string")
+    whole = sure.select("page_id", "url", "text").unionByName(judged)
+    return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

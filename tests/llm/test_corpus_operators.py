@@ -102,6 +102,21 @@ def test_html(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_html_of_a_large_host(spark):
+    notices = {k: [f"n{k}w{j}" for j in range(10)] for k in (2, 3, 9, 30)}
+    bodies = [[f"own{i}x{j}" for j in range(3)] + [w for k, words in notices.items() if i // 7 < k and i % 7 == 0 for w in words] + [f"end{i}"] for i in range(1200)]
+    rows = [(i, f"http://big.x/{i}", f"<body><div>{' '.join(words)}</div></body>") for i, words in enumerate(bodies)]
+    rows += [(5000 + i, f"http://small{i // 3}.x/{i}", f"<body><div>a{i} {' '.join(notices[3])} b</div></body>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    codes = {}
+    tokens = np.array([codes.setdefault(w, len(codes)) for words in bodies for w in words])
+    owner = np.repeat(np.arange(1200), [len(words) for words in bodies])
+    covered = html.repeated(tokens, owner, html.REPEAT_TOKENS, html.LEAST_PAGES)
+    kept = iter(~covered)
+    assert [got[i] for i in range(1200)] == [" ".join([w for w in words if next(kept)]) for words in bodies]
+    assert sum("n2w0" in got[i] for i in range(1200)) == 2 and not any("n3w0" in x or "n9w0" in x or "n30w0" in x for x in got.values())
+
+
 def test_repeated_substrings():
     rng = np.random.default_rng(1)
     tokens, page = rng.integers(0, 4, 300), np.repeat(np.arange(10), 30)
