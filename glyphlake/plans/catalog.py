@@ -201,7 +201,7 @@ def f22_token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names without their third letter."""
     name = F.lower("p_name")
-    return load(spark, sf_dir, "part").select(F.concat(F.substring(name, 1, 2), F.substring(name, 4, 100)).alias("probe"))
+    return load(spark, sf_dir, "part").select(F.concat(F.substring(name, 1, 2), F.substring(name, 4, 2**31 - 1)).alias("probe"))
 
 
 _PROBES = "probes AS (SELECT DISTINCT substr(lower(p_name), 1, 2) || substr(lower(p_name), 4) AS probe FROM part)"

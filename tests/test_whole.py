@@ -1,6 +1,7 @@
 """Queries over all rows of their tables, not those that are easy to compare."""
 
 import __spark_entry__ as entry
+from glyphlake.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 
@@ -13,3 +14,8 @@ def test_hints_of_all_turns(spark):
     for r in rows:
         low = r["text"].lower()
         assert got[r["conv_id"], r["turn"]] == ("the" in low or "est" in low, sum(h in low for h in ("the", "est", "net")))
+
+
+def test_probes_of_long_names(spark, tmp_path):
+    spark.createDataFrame([("ab" + "c" * 150,)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [r["probe"] for r in catalog._probes(spark, str(tmp_path)).collect()] == ["ab" + "c" * 149]
