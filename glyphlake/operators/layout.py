@@ -1,4 +1,4 @@
-"""Zones and column roles of form pages."""
+"""Zones and column roles of form pages (P09, P10, P11, the buckets of W13, the nearest column of R20)."""
 
 from __future__ import annotations
 
@@ -26,12 +26,12 @@ def zone_of(center_y: Column, top: Column, bottom: Column, tolerance: int = ZONE
 
 
 def bucket(fraction: Column, n: Column) -> Column:
-    """The position of a fraction of the page width among n equal parts."""
+    """The buckets of W13: the position of a fraction of the page width among n equal parts."""
     return F.least(n - 1, F.floor(fraction * n)).cast("int")
 
 
 def label_columns(cells: DataFrame, template: DataFrame, roles: list[str], reach: float = 0.4) -> DataFrame:
-    """doc_id, row, cell_id and role of cells (doc_id, row, cell_id, x, w): that of the nearest template column.
+    """The nearest column of R20, J14: doc_id, row, cell_id and role of cells (doc_id, row, cell_id, x, w): that of the nearest template column.
 
     template has doc_id, ordinal and center for each column; a cell further than `reach` average column
     distances from all is unknown. roles are those of the ordinals.

@@ -1,4 +1,4 @@
-"""Joins of boxes on pages (J01-J03, J10-J16, A03, A15, A17). Every join has doc_id among its keys, so a page meets itself only."""
+"""Joins of boxes on pages (J01-J03, J10-J12, J14-J16, A03, A15, A17). Every join has doc_id among its keys, so a page meets itself only."""
 
 from __future__ import annotations
 

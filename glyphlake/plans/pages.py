@@ -205,7 +205,7 @@ def p18_pick_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CELLS}, e AS (SELECT doc_id, row, c, x FROM cells, (VALUES (0, 700), (1, 500), (2, 300), (3, 100)) v(c, x)) SELECT doc_id, row, c AS cell_id, CASE c WHEN 0 THEN 'product_name' WHEN 1 THEN 'quantity' WHEN 2 THEN 'unit_price' ELSE 'line_total' END AS role FROM e")
 def r20_label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of cells by the page's own column template."""
+    """The nearest column of R20, W14: roles of cells by the page's own column template."""
     cells = _cells(spark, sf_dir).select("doc_id", "row", F.col("ord").alias("cell_id"), (F.col("x") + F.pmod("row", F.lit(9))).alias("x"), F.lit(80).alias("w"))
     roles_of = ["line_total", "unit_price", "quantity", "product_name"]
     return layout.label_columns(cells, cluster.column_template(cells, 4), roles_of)
