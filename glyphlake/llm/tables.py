@@ -6,24 +6,51 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir of the session; a local session without one, as in tests, gets a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/glyphlake-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    """Hadoop's path of a name, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
+    """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing.
+
+    The files go with `drop`, or else when the driver ends.
+    """
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name, system = _file(spark, path)
+    system.deleteOnExit(name)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of written tables that nothing will read any more."""
+    for df in frames:
+        name, system = _file(df.sparkSession, df._written_to)
+        system.delete(name, True)
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as one column `row`, so that no name of theirs can clash with an operator's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
 
 
 #: Rows of a text table that a Python worker holds at once.
