@@ -275,13 +275,13 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_chars: int = tables.BUCKET_CHARS) -> DataFrame:
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_chars: int = tables.BUCKET_CHARS) -> tuple[DataFrame, list[DataFrame]]:
     """Row for row of docs (doc_id, text): doc_id, text_key, n_shingles, set (equal sets: equal) and root (equal: one component).
 
     Texts are folded A-Z to a-z; words are runs of bytes other than space and U+0009-U+000D; two texts link
     if 100 * intersection >= percent * union of their shingle sets. Null and empty texts have no shingle and
     no link (set and root null). Rows with null or equal ids are rows like others; an empty table gives no
-    rows; further columns are ignored.
+    rows; further columns are ignored. With the rows come the written tables that they are read from.
     """
     spark = docs.sparkSession
     tables.bounded_batches(spark)
@@ -312,20 +312,24 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     once = candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny").where("x != y").dropDuplicates(["x", "y"])
     sign = lambda n: sets.select(F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("signature").alias(f"s{n}"), F.col("more").alias(f"m{n}"))
     near = lambda pairs: pairs.join(sign("x"), "x").join(sign("y"), "y").where(close() & _near(percent)).select("x", "y")
-    edges = _verified(spark, near(once.select("x", "y")), sets, texts, shingle, percent)
+    edges, n_edges = _verified(spark, near(once.select("x", "y")), sets, texts, shingle, percent)[:2]
     tables.release(spark)
-    roots = components(spark, edges)
+    roots = components(spark, edges, n_edges)
+    tables.drop(edges)
 
     # long lists, and groups as lists: pairs of different components have still to be verified
     listed = found.where(F.col("kind") == _LISTED).select(F.col("a").alias("list"), F.col("b").alias("group"), "at")
     lists = listed.join(sets.select("group", "set", "n"), "group").select("list", "set", "n", "at")
     many = sets.join(least.select("group"), "group").select(F.col("group").alias("list"), "set", "n", F.lit(0).cast("long").alias("at"))
-    rest = lists.unionByName(many)
+    rest, before = lists.unionByName(many), None
     finish = False
     for turn in range(STAR_TURNS + 1):
         rooted = rest.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         mixed = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
         rest = tables.written(spark, rooted.join(mixed, "list").select("list", "set", "n", "at", "root"))
+        if before is not None:
+            tables.drop(before)
+        before = rest
         sizes = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
         if not sizes["rows"]:
             break
@@ -342,16 +346,28 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
             leader = chosen.select("list", "band", F.col("c.set").alias("x"), F.col("c.root").alias("rootx"))
             both = rest.withColumn("band", band).join(leader, ["list", "band"]).where("root != rootx")
             pairs = near(both.select(F.least("x", "set").alias("x"), F.greatest("x", "set").alias("y")).distinct())
+        fresh, n_fresh, n_pairs = _verified(spark, pairs, sets, texts, shingle, percent)
         tables.release(spark)
-        pairs = tables.written(spark, pairs)
-        fresh = _verified(spark, pairs, sets, texts, shingle, percent)
-        finish = 4 * fresh.count() < pairs.count()  # further stars would join little
-        edges = tables.written(spark, edges.unionByName(fresh))
-        roots = components(spark, edges)
+        finish = 4 * n_fresh < n_pairs  # further stars would join little
+        if n_fresh:
+            roots = _joined_up(spark, roots, fresh, n_fresh)
+        tables.drop(fresh)
         if last:
             break
+    tables.drop(rest, sets)
     rooted = members.join(roots.withColumnRenamed("node", "set"), "set", "left")
-    return rooted.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
+    return rooted.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root")), [found]
+
+
+def _joined_up(spark, roots: DataFrame, fresh: DataFrame, n_fresh: int) -> DataFrame:
+    """roots (node, root) after the fresh links (x, y): components of the links between roots, and what hung on these."""
+    end = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    lifted = fresh.join(end("x"), "x", "left").join(end("y"), "y", "left")
+    links = tables.written(spark, lifted.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")).distinct())
+    more = components(spark, links, n_fresh)
+    tables.drop(links)
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return tables.written(spark, moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(more))
 
 
 def _least_overlap(percent: int):
@@ -368,37 +384,57 @@ def _near(percent: int):
     return (bits <= room) & (F.col("mx").isNull() | F.col("my").isNull() | (more <= room))
 
 
-def _verified(spark, near: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of near whose sets are similar enough; only their sets are made from their texts."""
+def _verified(spark, near: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int, int]:
+    """The pairs (x, y) of near whose sets are similar enough, how many they are, and how many near has.
+
+    Only the sets of these pairs are made from their texts.
+    """
     near = tables.written(spark, near)
-    wanted = near.select(F.col("x").alias("set")).union(near.select("y")).distinct()
+    n_pairs = near.count()
+    if not n_pairs:
+        return near, 0, 0
+    wanted = near.select(F.explode(F.array("x", "y")).alias("set")).distinct()
     low = F.lit(-(2**63)).cast("long")
     of = tables.written(spark, sets.join(wanted, "set").select("set", "text_key", F.coalesce("doc_id", low).alias("_d")))
-    few = of.count() <= BROADCAST_ROWS
+    few = 2 * n_pairs <= BROADCAST_ROWS or of.count() <= BROADCAST_ROWS
     hit = texts.withColumn("_d", F.coalesce("doc_id", low)).join(F.broadcast(of) if few else of, ["text_key", "_d"])
     loaded = hit.select("set", "text").mapInArrow(_load_sets(shingle), "set long, shingles binary")
     # a row that is repeated gives its set again
     loaded = tables.written(spark, loaded.groupBy("set").agg(F.min("shingles").alias("shingles")))
     side = lambda n: loaded.select(F.col("set").alias(n), F.col("shingles").alias(f"s{n}"))
     both = near.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy")
-    return tables.written(spark, both.mapInArrow(_verify(percent), "x long, y long"))
+    kept = tables.written(spark, both.mapInArrow(_verify(percent), "x long, y long"))
+    tables.drop(near, of, loaded)
+    return kept, kept.count(), n_pairs
+
+
+def _classes_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of `join`, written."""
+    rows, sources = join(docs, shingle, percent)
+    rows = tables.written(docs.sparkSession, rows)
+    tables.drop(*sources)
+    return rows
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id of the row's component, for each row; see `join`."""
-    rows = tables.written(docs.sparkSession, join(docs, shingle, percent))
+    rows = _classes_of(docs, shingle, percent)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: that of the smallest (doc_id, text_key), null ids last. Rows without shingles stay."""
-    rows = tables.written(docs.sparkSession, join(docs, shingle, percent))
+    """docs with one row of each component: that of the smallest (doc_id, text_key), null ids last. Rows without shingles stay.
+
+    docs keeps its own columns, whatever their names; what repeats the chosen id and text is one row too, any
+    of these if they differ in further columns.
+    """
+    rows = _classes_of(docs, shingle, percent)
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("of"))
-    chosen = first.select(F.col("of.doc_id").alias("_d"), F.col("of.text_key").alias("_k"), F.lit(True).alias("_first")).distinct()
-    bare = rows.where("root is null").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct().withColumn("_first", F.lit(False))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(chosen.unionByName(bare), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    chosen = first.select(F.col("of.doc_id").alias("d"), F.col("of.text_key").alias("k"), F.lit(True).alias("first")).distinct()
+    bare = rows.where("root is null").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct().withColumn("first", F.lit(False))
+    keyed = docs.select(tables.row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    kept = keyed.join(chosen.unionByName(bare), F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     # repeated rows of the chosen id and text are one too
-    bare_rows, repeated = kept.where(~F.col("_first")), kept.where("_first").dropDuplicates(["_id", "_key"])
-    return bare_rows.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bare_rows, repeated = kept.where(~F.col("first")), kept.where("first").dropDuplicates(["id", "key"])
+    return bare_rows.unionByName(repeated).select("row.*")
