@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import tables, workers
 from .words import mix, runs, slices
@@ -203,19 +204,19 @@ def _cut(window: int) -> Callable:
                     n_removed.append(hi - lo - len(left))
                 columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
                 passed = batch.slice(s.lo, s.hi - s.lo).columns[2:]
-                yield pa.RecordBatch.from_arrays([*passed, *columns], [*batch.schema.names[2:], "_n_words", "_n_removed", "_kept"])
+                yield pa.RecordBatch.from_arrays([*passed, *columns], [*batch.schema.names[2:], "n_words", "n_removed", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_chars: int = tables.BUCKET_CHARS) -> DataFrame:
-    """docs (doc_id, text, ...) with `_n_words`, `_n_removed` and `_kept` added.
+    """row (all columns of docs, whatever their names), n_words, n_removed and kept for each row of docs (doc_id, text, ...).
 
     Words are runs of bytes other than space and U+0009-U+000D. A word is removed if it stands in a run of
     `window` words that also starts in a row with a smaller doc_id; what is left is joined by one space.
     Runs are judged on the input, never on what is left. Rows of one doc_id don't count against each other,
     so repeated rows come out equal; a null doc_id is neither smaller nor larger than any, so such rows stay
-    whole; null and empty texts have no words; an empty table gives no rows; other columns are passed on.
+    whole; null and empty texts have no words; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tables.bounded_batches(spark)
@@ -238,30 +239,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     tables.release(spark)
     least = compared.groupBy("run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     later = compared.join(least.select("run", "least"), "run").where("doc_id > least").select("doc_id", "text_key", "at", F.lit(1).alias("n"))
+    # settled and compared are read by the result
     repeated = settled.where(F.col("kind") == _SETTLED).select("doc_id", "text_key", "at", "n").unionByName(later)
-    by_text = repeated.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(as_runs.alias("_runs"))
-    whole = docs.join(by_text, (docs["doc_id"].cast("long") == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left")
+    by_text = repeated.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(as_runs)
+    whole = docs.select(tables.row_of(docs), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
     nothing = F.array().cast("array<struct<at:int,n:int>>")
-    rows = whole.select(docs["text"].cast("string").alias("_text"), F.coalesce("_runs", nothing).alias("_runs"), *[docs[c] for c in docs.columns])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_cut(window), f"{schema}, `_n_words` long, `_n_removed` long, `_kept` string")
+    rows = whole.join(by_text, (F.col("id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("text", F.coalesce("runs", nothing).alias("runs"), "row")
+    return rows.mapInArrow(_cut(window), StructType([rows.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row; rows as `remove_repeats` has them."""
     cut = remove_repeats(docs.select("doc_id", "text"), window)
-    return cut.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_removed").alias("n_removed"),
-        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
-    )
+    return cut.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def apply(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut out of text (null texts become empty), and n_chars, if any, counted anew."""
     cut = remove_repeats(docs, window)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
-
-
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c.replace('`', '``')}`").alias(c) for c in docs.columns])
