@@ -171,6 +171,33 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in toxicity.score(docs, model).collect())
 
 
+def test_columns_of_any_name(spark, docs):
+    names = ["_id", "_key", "_first", "_score", "_kept", "_runs", "_d", "_k", "row", "kept", "runs", "score", "key", "first", "id", "d", "root", "a`b", "_text"]
+    odd = docs.select("doc_id", "text", *[F.concat(F.lit(f"{n} "), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    whole = sorted((tuple(r) for r in odd.collect()), key=str)
+    model = toxicity.fit(["abcabcabc", "xyzxyzxyz"] * 9, np.array([True, False] * 9))
+    assert sorted((tuple(r) for r in toxicity.keep(odd, model, 1.1).collect()), key=str) == whole
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and {tuple(r) for r in kept.collect()} <= set(whole)
+    cut = substrings.apply(odd)
+    assert cut.columns == odd.columns and sorted((tuple(r)[2:] for r in cut.collect()), key=str) == sorted((r[2:] for r in whole), key=str)
+
+
+def test_learning_is_bounded(spark):
+    rows = [(i, ("bad words here " if i % 2 else "good words there ") * (3 + i)) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(100, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(100, 1), (7, 0), (None, 1), (8, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_chars=40_000)
+    chosen = [(i, t) for i, t in rows if i not in (7,)]
+    # 8 has a label besides the null one, so it counts; 7 has both labels and doesn't
+    same = toxicity.fit([t for _, t in chosen], np.array([i % 2 == 1 for i, _ in chosen]))
+    more = toxicity.train(docs.where("doc_id < 100"), labels)
+    assert np.array_equal(more.names, same.names) and np.allclose(more.values, same.values) and math.isclose(more.bias, same.bias)
+    assert toxicity.predict(model, ["bad words here"])[0] > 0.5 > toxicity.predict(model, ["good words there"])[0]
+    none = toxicity.train(docs, labels, max_chars=0)
+    assert not len(none.names) and toxicity.train(docs.limit(0), labels).bias == toxicity.fit([], np.zeros(0, bool)).bias
+
+
 def test_features():
     texts = ["abcabc", None, "", "abc", "xyzw"]
     pairs = {(lo + int(d), int(g)) for lo, _, doc, gram in toxicity.features(texts) for d, g in zip(doc, gram, strict=True)}

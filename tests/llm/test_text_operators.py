@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glyphlake.llm import bpe, counts, licenses, packing, quality
@@ -63,6 +64,37 @@ def test_word_encoder():
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_id_table():
+    rng = np.random.default_rng(1)
+    table, want = packing.IdTable(300), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 900, 80).astype(np.uint64) * np.uint64(1 << 20))
+        new = keys[table.find(keys) < 0]
+        ids = {int(k): np.arange(int(k) % 5, dtype="<u4") + int(k) % 1000 for k in new}
+        want |= ids
+        table.add(new, [ids[int(k)].tobytes() for k in new])
+        at = table.find(keys)
+        assert (at >= 0).all() and len(table.lengths) <= 300
+        for k, e in zip(keys.tolist(), at.tolist(), strict=True):
+            assert table.pool[table.starts[e] : table.starts[e] + table.lengths[e]].tolist() == want[k].tolist()
+
+
+def test_copies():
+    rng = np.random.default_rng(2)
+    copies, seen = packing.Copies(recent=7), Counter()
+    for _ in range(50):
+        keys = rng.integers(0, 40, 13).astype(np.uint64)
+        for k, n in zip(keys.tolist(), copies.number(keys).tolist(), strict=True):
+            assert n == seen[k]
+            seen[k] += 1
+
+
+def test_packing_in_another_order(docs):
+    group = lambda df: Counter((r["doc_id"], r["start"], r["ids_crc32"], r["sequence_id"] >> 32) for r in packing.pack(df, vocabulary("word_bpe_49k.json"), capacity=64, group_docs=9).collect())
+    one = docs.coalesce(1)
+    assert group(one.sortWithinPartitions("text")) == group(one.sortWithinPartitions(F.desc("text")))
+
+
 def test_first_fit_decreasing():
     random.seed(3)
     lengths = [random.randint(1, 100) for _ in range(500)]
