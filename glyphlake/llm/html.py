@@ -1,10 +1,12 @@
 """HTML extraction (operator 6): markup roles, and substrings that a host's pages repeat.
 
-A page is read into blocks of text. Blocks in an article are its text; marked parts (menus, footers, forms,
-adverts, comments, ...) never are. On a page without an article, main or content element, markup says
-nothing about the remaining blocks. There the pages of a host decide: every substring of the wanted length gets
-a hash by prefix doubling, the distinct pages of the whole host that hold it are counted in one aggregate,
-tokens covered by repeated ones go, and unique runs stay.
+A page is read into blocks of text, in one pass over it. Blocks in an article are its text; marked parts
+(menus, footers, forms, adverts, comments, ...) never are. On a page without an article, main or content element,
+markup says nothing about the remaining blocks. There the pages of a host decide, by the suffixes of their
+token streams: these are ranked by their first 1, 2, 4, ... tokens as a suffix array is built by prefix doubling,
+with hashes for ranks, so that no task has to hold a host. Suffixes of one rank share a prefix of REPEAT_TOKENS
+tokens; an aggregate over the whole host counts their distinct pages. The union of what is shared by
+enough pages is all maximal repeats of that length or more; tokens that it covers go, and unique runs stay.
 
 Text inside an article is never judged by repetition, since copied articles are text too.
 """
@@ -28,110 +30,220 @@ REPEAT_TOKENS = 8
 LEAST_PAGES = 3
 
 #: Element names of HTML by role.
-_RAW = "script style noscript template title textarea iframe svg math object canvas video audio select button datalist"
-_VOID = "area base br col embed hr img input link meta param source track wbr".split()
+_RAW = set("script style textarea title iframe noscript noembed noframes xmp template".split())
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-_MARKED = set("nav footer aside form menu dialog head search fieldset".split())
+_MARKED = set("nav footer aside form menu dialog head search fieldset svg math object canvas video audio select button datalist".split()) | _RAW
 _MARKED_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words of class names and ids that mark what isn't an article, and words that may stand beside these.
 _NAMES = set(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner nav navbar "
     "navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices "
     "comment comments commentlist disqus respond share sharing social related newsletter subscribe subscription signup login popup modal "
     "overlay masthead topbar toolbar pagination pager copyright disclaimer skip".split()
 )
-_CONTENT = set("content main article post entry story articlebody maincontent postcontent entrycontent articlecontent postbody storybody".split())
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + _RAW.replace(" ", "|") + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S | re.I,
+_BESIDE = set(
+    "a area article articles bar blog body bottom box btn button buttons col column container content count desktop entry field fixed float "
+    "footer for form global group head header heading holder icon icons inline inner item items js label latest layer layout left link links "
+    "list main media mid middle mobile module more nav outer page panel popular position post posts primary reader recent region reply "
+    "replies right row secondary section sections section site slot social space sticky stories story strip text the thread title to toggle "
+    "top unit user view widget wrap wrapper zone".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_CONTENT = set("content main article post entry story articlebody maincontent postcontent entrycontent articlecontent postbody storybody".split())
+#: Which open elements a start tag ends, and beyond which elements it doesn't look for them.
+_CLOSES = {
+    "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select optgroup datalist"),
+    "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+}
+_CLOSES = {name: (ends.split(), beyond.split()) for name, (ends, beyond) in _CLOSES.items()}
+_TABLE = set("table caption thead tbody tfoot tr td th".split())
+_CELLS = set("td th caption".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 _BODY, _MAIN, _ARTICLE = 0, 1, 2
 
 
-def _role(name: str, attributes: str) -> tuple[bool, int]:
+def _named(value: str) -> bool:
+    """Whether a class list or id has a name that marks: all of a name's words have to fit, one of them has to mark."""
+    for token in value.split():
+        words = [w.lower() for w in _PARTS.findall(token)]
+        if any(w in _NAMES for w in words) and all(w in _NAMES or w in _BESIDE or w.isdigit() for w in words):
+            return True
+        if token.lower() in _NAMES:
+            return True
+    return False
+
+
+def _role(name: str, attributes: dict[str, str]) -> tuple[bool, int]:
     """Whether an element is marked as no text, and what container it is."""
     marked, container = name in _MARKED, _ARTICLE if name == "article" else _MAIN if name == "main" else _BODY
-    if attributes:
-        for key, *values in _ATTRIBUTE.findall(attributes):
-            value, key = next((v for v in values if v), "").lower(), key.lower()
-            if key in ("class", "id"):
-                words = set(re.split(r"[^a-z0-9]+", value)) | {re.sub(r"[^a-z]", "", w) for w in value.split()}
-                marked = marked or bool(words & _NAMES)
-                if words & _CONTENT and name in ("div", "section", "td"):
-                    container = max(container, _MAIN)
-            elif key == "role":
-                marked = marked or value in _MARKED_ROLES
-                container = max(container, {"article": _ARTICLE, "main": _MAIN}.get(value, _BODY))
+    for key, value in attributes.items():
+        if key in ("class", "id"):
+            if name in ("article", "main"):  # replies are marked up as articles too
+                marked = marked or bool({"comment", "comments"} & set(value.lower().split()))
             else:
-                marked = marked or key == "hidden" or value == "true"
-    return marked and name not in ("html", "body", "article", "main"), container
-
-
-def blocks(page: str) -> list[tuple[int, bool, str]]:
-    """Blocks of a page in order: container, marked, text (character references decoded, white space one space)."""
-    out: list[tuple[int, bool, str]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = [("", False, _BODY)]
-
-    def flush() -> None:
-        if parts:
-            text = "".join(parts)
-            parts.clear()
+                marked = marked or _named(value)
+            if name in ("div", "section", "td"):
+                tokens = value.lower().split()
+                words = set(re.split(r"[^a-z0-9]+", value.lower())) | {re.sub(r"[^a-z]", "", t) for t in tokens}
+                container = max(container, _MAIN if words & _CONTENT else _BODY)
+        elif key == "role":
+            marked = marked or value.lower() in _MARKED_ROLES
+            container = max(container, {"article": _ARTICLE, "main": _MAIN}.get(value.lower(), _BODY))
+        elif key == "hidden":
+            marked = True
+    return marked and name not in ("html", "body"), container
+
+
+class _Page:
+    """Reads a page once from left to right; every step looks at what it passes, so time follows the page's length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.out: list[tuple[int, bool, str]] = []
+        self._parts: list[str] = []
+        self._stack: list[tuple[str, bool, int]] = [("", False, _BODY)]
+        self._places: dict[str, list[int]] = {}  # where elements of a name are on the stack
+        self._blocks, self._cells = [0], [0]  # where blocks and table cells are
+        self._last_quote = {q: page.rfind(q) for q in "\"'"}
+        self._unclosed: set[str] = set()
+
+    def flush(self) -> None:
+        if self._parts:
+            text = "".join(self._parts)
+            self._parts.clear()
             if "&" in text:
                 text = entities.unescape(text)
             if text := " ".join(text.split()):
-                _, marked, container = stack[-1]
-                out.append((container, marked, text))
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if name == "br":
-            parts.append(" ")
-            continue
+                _, marked, container = self._stack[-1]
+                self.out.append((container, marked, text))
+
+    def _push(self, name: str, marked: bool, container: int) -> None:
+        at = len(self._stack)
+        self._places.setdefault(name, []).append(at)
         if name in _BLOCKS:
-            flush()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    flush()
-                    del stack[i:]
-                    break
-        elif name not in _VOID and not m[4].endswith("/"):
-            closes = _CLOSES.get(name)
-            if closes and stack[-1][0] in closes:
-                stack.pop()
-            elif name in _BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ("article", "main", "div", "section", "td", "body"):
-                        break
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-            _, was_marked, container = stack[-1]
-            marked, own = _role(name, m[4])
-            if name == "header":
-                marked = marked or container == _BODY
-            if (marked and not was_marked) or own > container:
-                flush()
-            stack.append((name, was_marked or marked, max(container, own)))
-    if at < len(page):
-        parts.append(page[at:])
-    flush()
-    return out
+            self._blocks.append(at)
+        if name in _CELLS:
+            self._cells.append(at)
+        self._stack.append((name, marked, container))
+
+    def _cut(self, at: int) -> None:
+        """Ends the elements from a place on; a block of text ends with them if one is a block or has a role."""
+        if self._blocks[-1] >= at or self._stack[-1][1:] != self._stack[at - 1][1:]:
+            self.flush()
+        while len(self._stack) > at:
+            name, _, _ = self._stack.pop()
+            self._places[name].pop()
+        for places in (self._blocks, self._cells):
+            while places[-1] >= at and len(places) > 1:
+                places.pop()
+
+    def _place(self, name: str) -> int:
+        places = self._places.get(name)
+        return places[-1] if places else 0
+
+    def _attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Attributes from a place on, where their tag ends (-1: never), and whether it ends in />."""
+        page, found = self.page, {}
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            if not m:  # only white space and / before the end
+                end = page.find(">", at)
+                return found, end, end > at and page[end - 1] == "/"
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in self._last_quote and self._last_quote[quote] > at:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            found.setdefault(m[1].lower(), value)
+
+    def _open(self, name: str, attributes: dict[str, str]) -> None:
+        if name in _BLOCKS:
+            self.flush()
+            if self._place("p") > self._cells[-1]:
+                self._cut(self._place("p"))
+        ends, beyond = _CLOSES.get(name, ((), ()))
+        last = max(map(self._place, ends), default=0)
+        if last > max(map(self._place, beyond), default=0):
+            self._cut(min(p for p in map(self._place, ends) if p > max(map(self._place, beyond), default=0)))
+        _, was_marked, container = self._stack[-1]
+        marked, own = _role(name, attributes)
+        if name == "header":
+            marked = marked or container == _BODY
+        if (marked and not was_marked) or own > container:
+            self.flush()
+        self._push(name, was_marked or marked, max(container, own))
+
+    def _close(self, name: str) -> None:
+        if name == "p":
+            self.flush()
+        at = self._place(name)
+        # what isn't a block ends in its own block only, and what is no part of a table in its own cell only
+        if at and at >= (self._cells[-1] if name in _BLOCKS else self._blocks[-1]) or at and name in _TABLE:
+            self._cut(at)
+
+    def read(self) -> list[tuple[int, bool, str]]:
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            start = page.find("<", at)
+            if start < 0:
+                self._parts.append(page[at:])
+                break
+            if start > at:
+                self._parts.append(page[at:start])
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                at = size if end < 0 else end + 1
+                continue
+            closing = page.startswith("</", start)
+            m = _NAME.match(page, start + 1 + closing)
+            if not m:  # a sign, no tag
+                self._parts.append("<")
+                at = start + 1
+                continue
+            name = m[0].lower()
+            attributes, end, alone = self._attributes(m.end())
+            if end < 0:
+                break
+            at = end + 1
+            if closing:
+                self._close(name)
+            elif name == "br":
+                self._parts.append(" ")
+            elif name in _VOID or (alone and name not in _BLOCKS and name not in _RAW):
+                if name in _BLOCKS:
+                    self._open(name, {})
+                    self._cut(len(self._stack) - 1)
+            elif name in _RAW and name not in self._unclosed and (found := _CLOSING[name].search(page, at)):
+                at = found.end()
+            else:  # a raw element that is never closed ends with its parent, like any other
+                if name in _RAW:
+                    self._unclosed.add(name)
+                self._open(name, attributes)
+        self.flush()
+        return self.out
+
+
+def blocks(page: str) -> list[tuple[int, bool, str]]:
+    """Blocks of a page in order: container, marked, text (character references decoded, white space one space)."""
+    return _Page(page).read()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +337,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by a line end) and n_chars (code points) of each row of pages (page_id, url, html).
 
     Null or empty html gives an empty text. Every row gives a row, repeated rows and null ids included; pages
-    without a url are a host of their own; an empty table gives no rows; further columns are ignored. What
-    LEAST_PAGES rows of a host repeat is repeated, however many pages the host has.
+    without a url are a host of their own; an empty table gives no rows; further columns are ignored, whatever
+    their names. What LEAST_PAGES rows of a host repeat is repeated, however many pages the host has. Very long
+    pages are read in time that follows their length. Nothing is ranked, so ties need no rule.
     """
     spark = pages.sparkSession
     tables.bounded_batches(spark)
