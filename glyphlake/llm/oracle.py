@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 
 from .licenses import TEMPLATES
-from .quality import RULES, STOP_WORDS
+from .quality import BULLETS, CUT_OFF, RULES, STOP_WORDS
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -44,10 +44,10 @@ FROM d LEFT JOIN n USING (i) JOIN (SELECT a, min(o.doc_id) AS least FROM reach J
 """
 
 TOPK = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+s AS (SELECT a.i, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.i <> b.i WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
 _MEASURES = {
@@ -55,7 +55,9 @@ _MEASURES = {
     "symbols_per_word": "n_symbols / n_words",
     "stop_word_share": "stops / n_words",
     "dup_line_share": "n_dup_lines / n_lines",
-    "shout_share": "shouts / n_words",
+    "marks_per_word": "n_marks / n_words",
+    "bullet_line_share": "bullets / n_lines",
+    "cut_line_share": "cuts / n_lines",
 }
 _PASSED = " AND ".join(
     f"{_MEASURES[r.measure]} {sign} {bound}" for r in RULES for sign, bound in ((">=", r.least), ("<=", r.most)) if bound is not None
@@ -68,7 +70,8 @@ r AS (SELECT i, count(DISTINCT k + o) AS n FROM g, range(3) t(o) WHERE n > 1 GRO
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:')) IN ({", ".join(map(_quote, sorted(set(STOP_WORDS))))}))) AS stops,
-    len(list_filter(ws, lambda x: x LIKE '%!!')) AS shouts FROM w LEFT JOIN r USING (i)),
+    length(t) - length(translate(t, '!?', '')) AS n_marks, len(list_filter(ls, lambda x: regexp_matches(x, {_quote(BULLETS)}))) AS bullets,
+    len(list_filter(ls, lambda x: regexp_matches(x, {_quote(CUT_OFF)}))) AS cuts FROM w LEFT JOIN r USING (i)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept FROM f
 """
