@@ -1,9 +1,11 @@
 """License scans (operator 10): a positional index of rare licence words, in DataFrame functions only.
 
-Each template is indexed under the word of its key phrase that the fewest documents hold (the highest IDF
-over the whole corpus). A document looks up its index words, shifts each place by the word's place in the
-template, which gives where the template would start, and keeps starts at which the mandatory key phrase
-stands word for word. What is found doesn't depend on which word is the index word; only the work does.
+Each template is indexed under the RARE words of its key phrase that the fewest documents hold (the highest IDF
+over the whole corpus). A document looks its own index words up: each place, shifted by the word's place in
+the key phrase, is a posting of where that phrase would start. The postings of a template's words are intersected,
+which leaves starts at which all of them stand in their relative positions, and a start counts if the mandatory
+key phrase stands there word for word. What is found doesn't depend on which words are index words; only the
+work does.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words of a key phrase that are looked up.
+RARE = 3
+
+
 @dataclass(frozen=True)
 class Template:
     """label; words of the licence text; key: the part of them that must stand word for word."""
@@ -81,28 +87,31 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     rows; further columns don't matter. Labels are distinct and sorted, so ties need no rule.
     """
     frequency = document_frequencies(docs, templates)
-    placed = []  # index word, its place in the key phrase, template
+    placed = []  # rarest words with their places in the key phrase, template
     for t in templates:
-        word, at = min(((w, i) for i, w in enumerate(t.key_words)), key=lambda x: (frequency[x[0]], x[0], x[1]))
-        placed.append((word, at, t))
-    index_words = F.array(*map(F.lit, sorted({w for w, _, _ in placed})))
+        order = sorted(enumerate(t.key_words), key=lambda x: (frequency[x[1]], x[1], x[0]))
+        first = {w: (w, i) for i, w in reversed(order)}  # a word that stands twice is looked up at one place
+        placed.append((sorted(first.values(), key=lambda x: (frequency[x[0]], x))[:RARE], t))
+    index = sorted({w for rare, _ in placed for w, _ in rare})
+    # only documents with the rarest word of a template are looked at word by word
+    lead = F.array(*map(F.lit, sorted({rare[0][0] for rare, _ in placed})))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     words = F.col("words")
     hits = named.withColumn(
         "hits",
         F.when(
-            F.arrays_overlap(words, index_words),
-            F.filter(
-                F.transform(words, lambda w, i: F.when(w.isin(sorted({w for w, _, _ in placed})), F.struct(w.alias("w"), i.alias("i")))),
-                lambda h: h.isNotNull(),
-            ),
+            F.arrays_overlap(words, lead),
+            F.filter(F.transform(words, lambda w, i: F.when(w.isin(index), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()),
         ).otherwise(F.array().cast("array<struct<w:string,i:int>>")),
     )
 
-    def found(word: str, at: int, t: Template) -> Column:
+    def found(rare: list[tuple[str, int]], t: Template) -> Column:
         """Starts of the key phrase of t, each with the share of t's words in place."""
         key, all_words = F.array(*map(F.lit, t.key_words)), t.words
-        starts = F.transform(F.filter(F.col("hits"), lambda h: (h["w"] == word) & (h["i"] >= at)), lambda h: h["i"] - at)
+        postings = [F.transform(F.filter(F.col("hits"), lambda h: (h["w"] == word) & (h["i"] >= at)), lambda h: h["i"] - at) for word, at in rare]  # noqa: B023
+        starts = postings[0]
+        for more in postings[1:]:
+            starts = F.array_intersect(starts, more)
         kept = F.filter(starts, lambda s: F.slice(words, s + 1, len(t.key_words)) == key)
 
         def share(s: Column) -> Column:
