@@ -30,11 +30,17 @@ class Rule:
 RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 30.0),
     Rule("symbols", "symbols_per_word", None, 0.1),
+    Rule("marks", "marks_per_word", None, 0.1),
     Rule("stop_words", "stop_word_share", 0.02, None),
     Rule("repeated_lines", "dup_line_share", None, 0.5),
-    Rule("shouting", "shout_share", None, 0.1),
+    Rule("bullets", "bullet_line_share", None, 0.9),
+    Rule("cut_lines", "cut_line_share", None, 0.3),
 )
 
+#: Signs that lists begin with, and what a line that was cut off ends with.
+BULLETS = r"^[\x20\x09-\x0D]*[-*\x{2022}\x{25CF}\x{25AA}\x{2023}]"
+CUT_OFF = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -92,7 +98,9 @@ def measures(docs: DataFrame) -> DataFrame:
             "_m_n_repeat_words": _repeat_words(words, n).cast("long"),
             "_m_n_lines": F.size(lines),
             "_m_stops": F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:"))).isin(STOP_WORDS))),
-            "_m_shouts": F.size(F.filter(words, lambda w: w.endswith("!!"))),
+            "_m_marks": F.length("_q_text") - F.length(F.translate("_q_text", "!?", "")),
+            "_m_bullets": F.size(F.filter(lines, lambda x: x.rlike(BULLETS))),
+            "_m_cuts": F.size(F.filter(lines, lambda x: x.rlike(CUT_OFF))),
         }
     ).drop("_q_text", "_q_words", "_q_lines")
     return counted.withColumns(
@@ -100,7 +108,9 @@ def measures(docs: DataFrame) -> DataFrame:
             "_m_mean_word_chars": _share(m("word_chars"), m("n_words")),
             "_m_symbols_per_word": _share(m("n_symbols"), m("n_words")),
             "_m_stop_word_share": _share(m("stops"), m("n_words")),
-            "_m_shout_share": _share(m("shouts"), m("n_words")),
+            "_m_marks_per_word": _share(m("marks"), m("n_words")),
+            "_m_bullet_line_share": _share(m("bullets"), m("n_lines")),
+            "_m_cut_line_share": _share(m("cuts"), m("n_lines")),
             "_m_dup_line_share": _share(m("n_dup_lines"), m("n_lines")),
         }
     )
