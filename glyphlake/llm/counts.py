@@ -9,6 +9,7 @@ those pre-tokens, and updates the sums on the way to the root.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -42,13 +43,30 @@ class TokenTree:
     def _sums(self, pieces: list[str]) -> tuple[int, int]:
         return sum(map(len, pieces)), sum(self._codec.counts(pieces))
 
-    def _build(self) -> None:
+    @classmethod
+    def restored(cls, text: str, codec: ChunkCodec, lengths: list[int], sizes: list[int], tokens: list[int], leaf: int = LEAF) -> TokenTree:
+        """The tree that gave that `state`; nothing is split or encoded."""
+        tree = cls.__new__(cls)
+        tree._codec, tree._leaf, tree.encoded = codec, leaf, 0
+        ends = list(accumulate(lengths, initial=0))
+        pieces = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        cuts = list(accumulate(sizes, initial=0))
+        tree._leaves = [pieces[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] or [[]]
+        tree._build(tokens)
+        return tree
+
+    def state(self) -> tuple[list[int], list[int], list[int]]:
+        """Characters of each pre-token, pre-tokens of each leaf and tokens of each leaf."""
+        lengths = [len(p) for leaf in self._leaves for p in leaf]
+        return lengths, [len(leaf) for leaf in self._leaves], self._tokens[self._size : self._size + len(self._leaves)]
+
+    def _build(self, tokens: list[int] | None = None) -> None:
         self._size = 1
         while self._size < len(self._leaves):
             self._size *= 2
         self._chars, self._tokens = [0] * (2 * self._size), [0] * (2 * self._size)
         for i, pieces in enumerate(self._leaves):
-            self._chars[self._size + i], self._tokens[self._size + i] = self._sums(pieces)
+            self._chars[self._size + i], self._tokens[self._size + i] = (sum(map(len, pieces)), tokens[i]) if tokens else self._sums(pieces)
         for node in range(self._size - 1, 0, -1):
             self._pull(node)
 
@@ -187,3 +205,55 @@ def count_after_edits(docs: DataFrame, tokenizer: str, scrubs: tuple[tuple[str,
     tables.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_count(tokenizer, scrubs), _COUNTED)
+
+
+_TREES = "doc_id long, text string, lengths array<int>, sizes array<int>, tokens array<int>, n_tokens long, n_encoded long"
+
+
+def _rows(kept: list[tuple[TokenTree, object]]) -> pa.RecordBatch:
+    states = [tree.state() for tree, _ in kept]
+    columns = [pa.array([d for _, d in kept], pa.int64()), pa.array([tree.text for tree, _ in kept], pa.string())]
+    columns += [pa.array([s[k] for s in states], pa.list_(pa.int32())) for k in range(3)]
+    columns += [pa.array([tree.tokens for tree, _ in kept], pa.int64()), pa.array([tree.encoded for tree, _ in kept], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TREES.split(", ")])
+
+
+def trees(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The segment tree of each row of docs (doc_id, text; null: empty) as a row of _TREES, which `edited` goes on from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = chunk_codec(tokenizer, 512)
+        for batch in batches:
+            yield _rows([(TokenTree(text or "", codec), d) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    tables.bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _TREES)
+
+
+def edited(kept: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
+    """Rows of `trees` after edits (doc_id, start, end, put), places of which are those of the text before any of them.
+
+    Only what edits touch is encoded again (n_encoded pre-tokens). An edit counts for all rows of its doc_id; a
+    null put is empty; rows without edits, null ids included, stay as they are. Edits of one document that
+    overlap, or lie outside its text, raise ValueError.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = chunk_codec(tokenizer, 512)
+        for batch in batches:
+            out = []
+            for d, text, lengths, sizes, tokens, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = TokenTree.restored(text, codec, lengths, sizes, tokens)
+                before = tree.chars + 1
+                for change in sorted(changes or [], key=lambda e: (e["start"], e["end"]), reverse=True):
+                    if change["end"] > before:
+                        raise ValueError(f"edits of document {d} overlap")
+                    before = change["start"]
+                    tree.edit(change["start"], change["end"], change["put"] or "")
+                out.append((tree, d))
+            yield _rows(out)
+
+    tables.bounded_batches(kept.sparkSession)
+    each = edits.groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "put")).alias("changes"))
+    joined = kept.join(each, kept["doc_id"] == each["d"], "left")
+    return joined.select("doc_id", "text", "lengths", "sizes", "tokens", "changes").mapInArrow(run, _TREES)
