@@ -146,6 +146,30 @@ def test_token_trees():
         long.edit(5, 10**9, "")
 
 
+def test_kept_trees(spark):
+    reference = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    path, rows = vocabulary("byte_bpe_50k.json"), [(1, "word " * 3000), (1, "other words entirely"), (2, None), (None, "x y"), (3, "")]
+    kept = counts.trees(spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit(0)), path)
+    edits = spark.createDataFrame([(1, 2, 5, "XY"), (1, 10, 10, " new"), (3, 0, 0, "now"), (None, 0, 1, "z")], "doc_id long, start int, end int, put string")
+    once = counts.edited(kept, edits, path)
+    want = [(d, t[:2] + "XY" + t[5:10] + " new" + t[10:] if d == 1 else "now" if d == 3 else t or "") for d, t in rows]
+    assert sorted(((r["doc_id"], r["text"], r["n_tokens"]) for r in once.collect()), key=str) == sorted(((d, t, len(reference.encode(t, add_special_tokens=False).ids)) for d, t in want), key=str)
+    assert max(r["n_encoded"] for r in once.collect()) < 40
+    again = counts.edited(once, edits.where("doc_id = 3").withColumn("start", F.lit(3)).withColumn("end", F.lit(3)), path)
+    assert [r["text"] for r in again.where("doc_id = 3").collect()] == ["nownow"]
+    with pytest.raises(Exception, match="overlap"):
+        counts.edited(kept, spark.createDataFrame([(1, 0, 5, ""), (1, 3, 6, "")], edits.schema), path).collect()
+
+
+def test_counts_of_odd_tables(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    assert counts.count_after_edits(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+    odd = spark.createDataFrame([(1, "a@b.example " * 3000, 7), (1, "a@b.example " * 3000, 7), (None, None, 7)], "doc_id long, text string, n_tokens int")
+    rows = counts.count_after_edits(odd, path).collect()
+    assert len(rows) == 3 and rows[0] == rows[1] and rows[0]["n_edits"] == 3000
+
+
 def test_counts_after_edits(spark):
     reference = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     rows = [(1, "write to a.b@example.org or +49 170 1234567 now"), (2, None), (None, ""), (4, "no edits here"), (4, "10.0.0.1 and 10.0.0.2")]
@@ -177,12 +201,15 @@ def test_quality(docs, documents):
 def test_quality_rules(spark):
     prose = " ".join(f"the word{i} of house{i}" for i in range(60))
     rows = [(1, prose), (2, prose.replace(" ", "$$$ ")), (3, prose.replace(" ", "!! ")), (4, " ".join(f"w{i}" for i in range(90))), (5, "the same line of text\n" * 30)]
+    lines = [f"the word{i} of house{i} and tree{i}" for i in range(40)]
+    rows += [(6, "\n".join(f" \u2022 {x}" for x in lines)), (7, "\n".join(f"{x}... \r" if i % 2 else x for i, x in enumerate(lines))), (8, "\n".join(f"- {x}" if i % 2 else f"{x}\u2026" if i % 8 == 0 else x for i, x in enumerate(lines)))]
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (True, False)}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (True, False), 6: (False, False), 7: (False, False), 8: (False, True)}
 
 
 def test_licenses(docs, documents):
     rows = documents + [(500, "UNDER the MIT-license; under the MIT license 2 CC BY NC"), (501, "the GNU general public license, version 3. İK mit"), (502, "apache license version 2.0 " * 3)]
+    rows += [(503, "cc by by nc cc by nc nc by cc " * 40), (504, "mit the license under under the mit license the mit license"), (505, "word " * 30000 + "Licensed under CC BY-SA" + " public license" * 5000)]
     frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
     want = []
     for d, t in rows:
