@@ -89,7 +89,7 @@ def strip_label(text: Column) -> Column:
 
 def direction(text: Column) -> Column:
     """rtl if Arabic letters are as many as Latin ones or more, ltr without either."""
-    arabic = F.regexp_count(text, F.lit("[\\u0600-\\u06FF\\u0750-\\u077F\\uFB50-\\uFDFF\\uFE70-\\uFEFF]"))
+    arabic = F.regexp_count(text, F.lit("[\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF]"))
     latin = F.regexp_count(text, F.lit("[A-Za-z]"))
     return F.when((arabic + latin > 0) & (arabic >= latin), "rtl").otherwise("ltr")
 

@@ -27,7 +27,7 @@ def zone_of(center_y: Column, top: Column, bottom: Column, tolerance: int = ZONE
 
 def bucket(fraction: Column, n: Column) -> Column:
     """The buckets of W13: the position of a fraction of the page width among n equal parts."""
-    return F.least(n - 1, F.floor(fraction * n)).cast("int")
+    return F.least(F.lit(n - 1), F.floor(fraction * n)).cast("int")
 
 
 def label_columns(cells: DataFrame, template: DataFrame, roles: list[str], reach: float = 0.4) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Joins of boxes on pages (J01-J03, J10-J12, J14-J16, A03, A15, A17). Every join has doc_id among its keys, so a page meets itself only."""
+"""Joins of boxes on pages (J01-J03, J10-J16, A03, A04, A15, A17, I14). Every join has doc_id among its keys, so a page meets itself only."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import blank
 from ..functions.geometry import Box, closeness, contains, ioa, iou, overlaps
+from .cells import merged_texts
 
 # Weights and threshold of the best-region score.
 IOA_WEIGHT, IOU_WEIGHT, DISTANCE_WEIGHT, LEAST_SCORE = 0.3, 0.7, 0.0, 0.25
@@ -42,22 +45,21 @@ def best_region(fragments: DataFrame, regions: DataFrame, least: float = LEAST_S
 
 
 def assemble(fragments: DataFrame, regions: DataFrame) -> DataFrame:
-    """Every region with its fragments in order, then unassigned fragments as free:0, free:1, ...
+    """Every region with its fragments, then unassigned fragments as free:0, free:1, ...; blank fragments don't count.
 
-    doc_id, element_id, kind (region, free), ord, n_fragments and text (fragments joined by a space, from
-    right to left by their centres, then by frag_id).
+    doc_id, element_id, kind (region, free), ord, n_fragments and text (the merged text of A07).
     """
-    named = identity_join(fragments, regions)
-    placed = named.unionByName(best_region(fragments, regions).select("doc_id", "frag_id", "region_id"))
-    whole = fragments.select("doc_id", "frag_id", "text", (F.col("x") + F.col("w") / 2).alias("cx")).join(placed, ["doc_id", "frag_id"], "left")
-    parts = F.sort_array(F.collect_list(F.struct((-F.col("cx")).alias("k"), "frag_id", "text")))
-    held = whole.where(F.col("region_id").isNotNull()).groupBy("doc_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("t"))
+    read = fragments.where(~blank(F.col("text")))
+    named = identity_join(read, regions)
+    placed = named.unionByName(best_region(read, regions).select("doc_id", "frag_id", "region_id"))
+    whole = read.join(placed, ["doc_id", "frag_id"], "left")
+    held = merged_texts(whole.where(F.col("region_id").isNotNull()), "doc_id", "region_id")
     filled = regions.select("doc_id", "region_id", "ord").join(held, ["doc_id", "region_id"], "left")
-    kept = filled.select("doc_id", F.col("region_id").alias("element_id"), F.lit("region").alias("kind"), "ord", F.coalesce("n", F.lit(0)).cast("long").alias("n_fragments"), F.coalesce("t", F.lit("")).alias("text"))
+    kept = filled.select("doc_id", F.col("region_id").alias("element_id"), F.lit("region").alias("kind"), "ord", F.coalesce("n", F.lit(0)).cast("long").alias("n_fragments"), F.coalesce("text", F.lit("")).alias("text"))
     count = regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions"))
     free = whole.where(F.col("region_id").isNull()).join(count, "doc_id", "left")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("frag_id")) - 1
-    loose = free.select("doc_id", F.concat(F.lit("free:"), index.cast("string")).alias("element_id"), F.lit("free").alias("kind"), (F.coalesce("regions", F.lit(0)) + index).cast("int").alias("ord"), F.lit(1).cast("long").alias("n_fragments"), "text")
+    loose = free.select("doc_id", F.concat(F.lit("free:"), index.cast("string")).alias("element_id"), F.lit("free").alias("kind"), (F.coalesce("regions", F.lit(0)) + index).cast("int").alias("ord"), F.lit(1).cast("long").alias("n_fragments"), F.trim("text").alias("text"))
     return kept.unionByName(loose)
 
 
@@ -76,47 +78,83 @@ def crossing_lines(lines: DataFrame, tolerance: int = 3) -> DataFrame:
     return lines.join(other, (lines["doc_id"] == other["doc_id"]) & (lines["axis"] != other["o_axis"]) & meets, "left_semi")
 
 
-def overlap_edges(boxes: DataFrame, margin: int = 0) -> DataFrame:
+def overlap_edges(boxes: DataFrame, margin: int = 1) -> DataFrame:
     """Pairs of boxes of a page that overlap when grown by margin, the smaller id first."""
     left, right = _renamed(boxes.select("doc_id", "box_id", *_XYWH), "a_"), _renamed(boxes.select("doc_id", "box_id", *_XYWH), "b_")
     return left.join(right, "doc_id").where((F.col("a_box_id") < F.col("b_box_id")) & overlaps(Box.of("a_"), Box.of("b_"), margin)).select("doc_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
 
 
 def _label_pages(margin: int):
-    def label(boxes: list[dict]) -> list[dict]:
-        parent = {b["box_id"]: b["box_id"] for b in boxes}
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        active: list[dict] = []
-        for b in sorted(boxes, key=lambda b: (b["x"], b["box_id"])):  # a sweep along x keeps boxes that can still overlap
-            active = [a for a in active if b["x"] < a["x"] + a["w"] + margin]
-            for a in active:
-                if a["y"] - margin < b["y"] + b["h"] and b["y"] < a["y"] + a["h"] + margin and a["x"] - margin < b["x"] + b["w"]:
-                    i, j = find(a["box_id"]), find(b["box_id"])
-                    parent[max(i, j)] = min(i, j)
-            active.append(b)
-        return [{"box_id": i, "component": find(i)} for i in parent]
+    """Components of the boxes of pages (doc_id, boxes): pairs by a sweep along x over whole arrays, then least neighbours until nothing changes."""
+
+    def label(page: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        order = np.lexsort((x, page))
+        page, x, y, w, h = page[order], x[order], y[order], w[order], h[order]
+        n, left, right = len(page), [], []
+        alive, step = np.arange(n), 1
+        stop = x + w + margin  # boxes that start there or later don't overlap
+        while len(alive):
+            other = alive + step
+            near = other < n
+            alive, other = alive[near], other[near]
+            ahead = (page[other] == page[alive]) & (x[other] - margin < stop[alive])
+            alive, other = alive[ahead], other[ahead]
+            meets = (y[other] - margin < y[alive] + h[alive]) & (y[alive] < y[other] + h[other] + margin) & (x[alive] - margin < x[other] + w[other])
+            left.append(alive[meets])
+            right.append(other[meets])
+            step += 1
+        a, b = np.concatenate([np.zeros(0, int), *left]), np.concatenate([np.zeros(0, int), *right])
+        root = np.arange(n)
+        while True:
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            least = least[least]
+            if np.array_equal(least, root):
+                break
+            root = least
+        out = np.zeros(n, np.int64)
+        out[order] = order[root]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("box_id", pa.int64()), ("component", pa.int64())]))
+        kind = pa.struct([("box_id", pa.int64()), ("component", pa.int64())])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([label(b) for b in batch.column(1).to_pylist()], kind)], ["doc_id", "labels"])
+            boxes = batch.column(1)
+            flat, offsets = boxes.flatten(), boxes.offsets.to_numpy() - boxes.offsets[0].as_py() if len(boxes) else np.zeros(1, int)
+            page = np.repeat(np.arange(len(boxes)), np.diff(offsets))
+            ids = flat.field("box_id").to_numpy()
+            root = label(page, *(flat.field(c).to_numpy() for c in _XYWH))
+            # a component is named by its least box
+            names = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(names, root, ids)
+            labels = pa.StructArray.from_arrays([pa.array(ids), pa.array(names[root])], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), labels)], ["doc_id", "labels"])
 
     return run
 
 
-def page_components(boxes: DataFrame, margin: int = 0) -> DataFrame:
+def page_components(boxes: DataFrame, margin: int = 1) -> DataFrame:
     """doc_id, box_id and component, the least box_id that overlaps lead to. A row holds one page's boxes."""
     pages = boxes.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("box_id").cast("long").alias("box_id"), *_XYWH)).alias("boxes"))
     labelled = pages.mapInArrow(_label_pages(margin), "doc_id long, labels array<struct<box_id:long,component:long>>")
     return labelled.select("doc_id", F.inline("labels"))
 
 
+def stacked_overlap(blobs: DataFrame, share: float = 0.5) -> DataFrame:
+    """Blobs (doc_id, cluster, box_id, x, w) whose width overlaps another one of their cluster by a share of the shorter or more."""
+    other = blobs.select(F.col("doc_id").alias("o_doc"), F.col("cluster").alias("o_cluster"), F.col("box_id").alias("o_id"), F.col("x").alias("o_x"), F.col("w").alias("o_w"))
+    both = F.least(F.col("x") + F.col("w"), F.col("o_x") + F.col("o_w")) - F.greatest("x", "o_x")
+    same = (F.col("doc_id") == F.col("o_doc")) & (F.col("cluster") == F.col("o_cluster")) & (F.col("box_id") != F.col("o_id"))
+    return blobs.join(other, same & (both >= share * F.least("w", "o_w")), "left_semi")
+
+
+def crossing_rules(blobs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Blobs (doc_id, box_id, x, y, w, h) that a vertical rule (doc_id, x, y, w, h) of their page crosses."""
+    lines = _renamed(rules.select("doc_id", *_XYWH), "r_").withColumnRenamed("doc_id", "r_doc")
+    return blobs.join(lines, (F.col("doc_id") == F.col("r_doc")) & overlaps(Box.of(), Box.of("r_")), "left_semi")
+
+
 def largest_component(components: DataFrame) -> DataFrame:
     """The component of most boxes of each page; of equals that of the least box."""
     sizes = components.groupBy("doc_id", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -143,12 +181,13 @@ def quantised_distinct(boxes: DataFrame, tolerance: int = 5) -> DataFrame:
     return boxes.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def nearest_slot(items: DataFrame, slots: DataFrame, reach: Column) -> DataFrame:
-    """The slot (slot, center) nearest to each item (doc_id, item_id, center), null beyond reach; ties to the smaller slot."""
-    far = F.abs(F.col("i.center") - F.col("s.center"))
-    pairs = items.alias("i").crossJoin(F.broadcast(slots.alias("s"))).select("i.doc_id", "i.item_id", F.col("s.slot").alias("slot"), far.alias("far"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.min(F.struct("far", "slot")).alias("b"))
-    return best.select("doc_id", "item_id", F.when(F.col("b.far") <= reach, F.col("b.slot")).alias("slot"))
+def nearest_slot(items: DataFrame, slots: list[tuple[int, float]], reach: Column) -> DataFrame:
+    """The slot nearest to each item (doc_id, item_id, center), null beyond reach; ties to the smaller slot.
+
+    slots are the (slot, center) of a form, a few literals, so nothing is joined.
+    """
+    far = F.array_min(F.array(*[F.struct(F.abs(F.col("center") - F.lit(center)).alias("far"), F.lit(slot).alias("slot")) for slot, center in slots]))
+    return items.withColumn("_b", far).select("doc_id", "item_id", F.when(F.col("_b.far") <= reach, F.col("_b.slot")).alias("slot"))
 
 
 def column_kind(fraction: Column, columns: list[tuple[float, float, str]], default: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similarity, text
 from ..functions.geometry import Box, center_distance, fold_angle, ioa, iou
-from ..operators import cluster, matching, parse, reconcile, spatial
+from ..operators import aggregates, cluster, matching, parse, reconcile, spatial
 from ..session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,18 +272,19 @@ def a03_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.hull(boxes(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {_BOXES} SELECT doc_id, row, coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0.5) AS confidence FROM boxes GROUP BY doc_id, row")
+@query(f"WITH {_BOXES} SELECT doc_id, row, CASE WHEN count(*) FILTER (l_partkey % 5 <> 0) = 0 THEN 0.0 ELSE coalesce(avg(CASE WHEN confidence > 0 THEN confidence END) FILTER (l_partkey % 5 <> 0), 0.5) END AS confidence FROM boxes GROUP BY doc_id, row")
 def a01_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean confidence of a row, where 0 stands for unknown."""
-    known = F.when(F.col("confidence") > 0, F.col("confidence"))
-    return boxes(spark, sf_dir).groupBy("doc_id", "row").agg(F.coalesce(F.avg(known), F.lit(0.5)).alias("confidence"))
+    """Mean confidence of rows, some without a known one and some without a fragment."""
+    b = boxes(spark, sf_dir).withColumn("confidence", F.when(F.col("confidence") > 0, F.col("confidence")))
+    return aggregates.confidences(b, b.where(F.col("l_partkey") % 5 != 0), "doc_id", "row")
 
 
-@query(f"WITH {_BOXES} SELECT doc_id, row, string_agg(role, ' ' ORDER BY x DESC) AS text FROM boxes GROUP BY doc_id, row")
+@query(f"WITH {_BOXES} SELECT doc_id, string_agg(role, ' ' ORDER BY x DESC, box_id) AS text, (SELECT string_agg(role, ' ' ORDER BY x, box_id) FROM boxes b WHERE b.doc_id = boxes.doc_id AND b.row = boxes.row) AS ltr_text, row FROM boxes GROUP BY doc_id, row")
 def a06_ordered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of a row from right to left."""
-    parts = F.sort_array(F.collect_list(F.struct((-F.col("x")).alias("k"), "role")))
-    return boxes(spark, sf_dir).groupBy("doc_id", "row").agg(F.array_join(F.transform(parts, lambda p: p["role"]), " ").alias("text"))
+    """Texts of a row from right to left and from left to right."""
+    words = boxes(spark, sf_dir).select("doc_id", "row", "x", F.col("box_id").alias("ord"), F.col("role").alias("text"))
+    ltr = aggregates.ordered_text(words, "doc_id", "row", rtl=False).withColumnRenamed("text", "ltr_text")
+    return aggregates.ordered_text(words, "doc_id", "row").join(ltr, ["doc_id", "row"])
 
 
 @query(f"WITH {_BOXES} SELECT doc_id, row, max(x) FILTER (role = 'line_total') AS total_x, max(x) FILTER (role = 'unit_price') AS price_x, max(x) FILTER (role = 'quantity') AS quantity_x, max(x) FILTER (role = 'product_name') AS name_x FROM boxes GROUP BY doc_id, row")
@@ -357,7 +358,7 @@ def j11_crossing_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_NESTED}, edges AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b FROM nested a JOIN nested b ON a.doc_id = b.doc_id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h),
+    f"""WITH RECURSIVE {_NESTED}, edges AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b FROM nested a JOIN nested b ON a.doc_id = b.doc_id AND a.x - 1 < b.x + b.w AND b.x < a.x + a.w + 1 AND a.y - 1 < b.y + b.h AND b.y < a.y + a.h + 1),
     reach AS (SELECT DISTINCT doc_id, a, b FROM edges UNION SELECT r.doc_id, r.a, e.b FROM reach r JOIN edges e ON r.doc_id = e.doc_id AND r.b = e.a),
     labels AS (SELECT doc_id, a AS box_id, min(b) AS component FROM reach GROUP BY doc_id, a),
     sizes AS (SELECT doc_id, component, count(*) AS n FROM labels GROUP BY doc_id, component)
@@ -431,48 +432,29 @@ def f54_fold_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 4 AS k, l_quantity AS q, p_retailprice AS p, round(l_quantity * p_retailprice, 2) AS t FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-      CASE k WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN abs(t * p - q) <= 0.01 THEN 0 WHEN abs(q * p - t) <= 0.01 THEN 2 ELSE 0 END
-        WHEN 2 THEN CASE WHEN p = floor(p) THEN 0 ELSE 1 END ELSE CASE WHEN abs(q * p - t) <= 0.01 THEN 1 WHEN abs(l_linenumber * q - t) <= 0.01 THEN 0 ELSE 1 END END AS quantity_index
-    FROM n"""
+    """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 4 AS k, l_quantity AS q, p_retailprice AS p, round(l_quantity * p_retailprice, 2) AS t FROM lineitem JOIN part ON l_partkey = p_partkey), v AS (SELECT *, CASE k WHEN 0 THEN [q, p, t] WHEN 1 THEN [t, p, q] WHEN 2 THEN [p, q] ELSE [l_linenumber::DOUBLE, q, p, t] END AS v FROM n),
+    fits AS (SELECT *, len(v) AS m, list_reverse(v) AS r FROM v),
+    o AS (SELECT *, CASE WHEN abs(v[m - 2] * v[m - 1] - v[m]) <= 0.01 THEN 0 WHEN m >= 4 AND abs(v[m - 3] * v[m - 2] - v[m]) <= 0.01 THEN 1 ELSE 0 END AS s, CASE WHEN abs(r[m - 2] * r[m - 1] - r[m]) <= 0.01 THEN 0 WHEN m >= 4 AND abs(r[m - 3] * r[m - 2] - r[m]) <= 0.01 THEN 1 ELSE 0 END AS b FROM fits),
+    z AS (SELECT *, m > 2 AND NOT abs(v[m - 2 - s] * v[m - 1 - s] - v[m]) <= 0.01 AND abs(r[m - 2 - b] * r[m - 1 - b] - r[m]) <= 0.01 AS mirrored, m = 2 AND v[2] = floor(v[2]) AND v[1] <> floor(v[1]) AS turned FROM o)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN m = 2 THEN CASE WHEN turned THEN 1 ELSE 0 END WHEN mirrored THEN 2 + b ELSE m - 3 - s END AS INT) AS quantity_index,
+      CAST(CASE WHEN m = 2 THEN CASE WHEN turned THEN 0 ELSE 1 END WHEN mirrored THEN 1 + b ELSE m - 2 - s END AS INT) AS unit_price_index, CAST(CASE WHEN m > 2 THEN CASE WHEN mirrored THEN 0 ELSE m - 1 END END AS INT) AS total_index,
+      CASE WHEN m = 2 THEN round(p * q, 2) END AS derived_total FROM z"""
 )
 def r01_assign_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which number of a row is the quantity, in four layouts."""
+    """Which numbers of a row are quantity, price and total, and the total of two, in four layouts."""
     parts = load(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     rows = load(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     q, p = F.col("l_quantity"), F.col("p_retailprice")
     t, k = F.round(q * p, 2), F.pmod("l_suppkey", F.lit(4))
     shown = F.when(k == 0, F.array(q, p, t)).when(k == 1, F.array(t, p, q)).when(k == 2, F.array(p, q)).otherwise(F.array(F.col("l_linenumber").cast("double"), q, p, t))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", parse.assign_columns(shown)["quantity_index"].alias("quantity_index"))
-
-
-@query(
-    """WITH i AS (SELECT l_orderkey, sum(round(l_extendedprice, 2)) AS items, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-    SELECT o_orderkey, 'TOTAL_MISMATCH' AS code FROM orders JOIN i ON o_orderkey = l_orderkey WHERE abs(items - o_totalprice) > 0.05
-    UNION ALL SELECT o_orderkey, 'NO_LINE_ITEMS' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"""
-)
-def r16_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders without lines and orders whose lines don't add up."""
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.coalesce(F.round("l_extendedprice", 2), F.lit(0.0))).alias("items"))
-    joined = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    code = F.when(F.col("items").isNull(), "NO_LINE_ITEMS").when(F.abs(F.col("items") - F.col("o_totalprice")) > 0.05, "TOTAL_MISMATCH")
-    return joined.select("o_orderkey", code.alias("code")).where("code is not null")
-
-
-@query("SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), 'est') AS hinted, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'est') AS INT) + CAST(contains(lower(text), 'net') AS INT) AS hints FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def p03_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint words as parts of ASCII texts, as its SQL has it; p03_hints_all has all texts."""
-    rows = load(spark, sf_dir, "conversations").where(text.is_ascii(F.col("text")))
-    low = F.lower("text")
-    return rows.select("conv_id", "turn", text.has_hint(low, ("the", "est")).alias("hinted"), text.count_hints(low, ("the", "est", "net")).alias("hints"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", parse.assign_columns(shown).alias("a")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "a.*")
 
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @query(f"SELECT conv_id, turn, contains(low, 'the') OR contains(low, 'est') AS hinted, CAST(contains(low, 'the') AS INT) + CAST(contains(low, 'est') AS INT) + CAST(contains(low, 'net') AS INT) AS hints FROM (SELECT *, {_LOW} AS low FROM conversations)")
-def p03_hints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p03_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hint words as parts of the texts of all turns, in any script."""
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.has_hint(low, ("the", "est")).alias("hinted"), text.count_hints(low, ("the", "est", "net")).alias("hints"))

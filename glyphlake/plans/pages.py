@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, roles, text
-from ..operators import cluster, items, layout, lines, matching, spatial
+from ..operators import aggregates, cluster, items, layout, lines, matching, spatial
 from ..session import load
-from ..sources import records
+from ..sources import records, wire
 from .catalog import _BOXES, _NESTED, _nested, boxes, query
 
 
@@ -31,11 +31,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r18_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields and table span of order pages."""
-    rows = _lines(spark, sf_dir)
-    found = F.filter(F.transform(F.split("text", " "), lambda w: numbers.strict(w, False)), lambda v: v.isNotNull())
-    total = lines.grand_total(rows.withColumn("numbers", found), F.col("numbers"))
-    joined = lines.invoice_numbers(rows).join(lines.invoice_dates(rows, False), "doc_id").join(lines.table_span(rows), "doc_id").join(total, "doc_id")
-    return joined.select("doc_id", "invoice_number", "invoice_date", "confidence", "start", F.col("end").cast("int").alias("end"), "total")
+    return lines.header_fields(_lines(spark, sf_dir), False).withColumn("end", F.col("end").cast("int"))
 
 
 @query(f"WITH {_BOXES}, t AS (SELECT doc_id, min(y) AS top, max(y + h) AS bottom FROM boxes WHERE row BETWEEN 2 AND 3 GROUP BY doc_id) SELECT b.doc_id, box_id, CASE WHEN top IS NULL THEN 'unknown' WHEN y + h / 2 < top - 10 THEN 'header' WHEN y + h / 2 > bottom + 10 THEN 'footer' ELSE 'table' END AS zone FROM boxes b LEFT JOIN t ON b.doc_id = t.doc_id")
@@ -73,8 +69,7 @@ def j15_column_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j14_nearest_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of four column slots, none beyond 80."""
     items = boxes(spark, sf_dir).select("doc_id", F.col("box_id").alias("item_id"), (F.col("x") + 40 + F.pmod("l_partkey", F.lit(220))).cast("double").alias("center"))
-    slots = spark.createDataFrame([(0, 140.0), (1, 340.0), (2, 540.0), (3, 740.0)], "slot int, center double")
-    return spatial.nearest_slot(items, slots, F.lit(80.0))
+    return spatial.nearest_slot(items, [(0, 140.0), (1, 340.0), (2, 540.0), (3, 740.0)], F.lit(80.0))
 
 
 @query(f"WITH {_BOXES}, o AS (SELECT doc_id, box_id, y, h, greatest(h, lag(h) OVER (PARTITION BY doc_id ORDER BY y, box_id)) AS reach, y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, box_id) AS gap FROM boxes) SELECT doc_id, box_id, CAST(sum(CASE WHEN gap > 0.35 * reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY y, box_id ROWS UNBOUNDED PRECEDING) AS INT) AS cluster FROM o")
@@ -83,10 +78,18 @@ def w05_pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.pair_clusters(boxes(spark, sf_dir), ["doc_id"], "y", "h", "box_id").select("doc_id", "box_id", "cluster")
 
 
-@query(f"WITH {_BOXES} SELECT doc_id, box_id, row - 1 AS cluster FROM boxes")
+@query(
+    f"""WITH RECURSIVE {_BOXES}, p AS (SELECT doc_id, box_id, CAST(y + (l_partkey * box_id) % 180 AS DOUBLE) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY box_id) AS k FROM boxes),
+    fold AS (SELECT doc_id, box_id, k, 0 AS cluster, [1.0::DOUBLE] AS n, [p] AS s FROM p WHERE k = 1
+      UNION ALL SELECT doc_id, box_id, k, spot - 1, CASE WHEN spot <= len(n) THEN list_transform(n, lambda v, i: CASE WHEN i = spot THEN v + 1 ELSE v END) ELSE list_append(n, 1.0::DOUBLE) END,
+        CASE WHEN spot <= len(n) THEN list_transform(s, lambda v, i: CASE WHEN i = spot THEN v + p ELSE v END) ELSE list_append(s, p) END
+      FROM (SELECT p.doc_id, p.box_id, p.k, p.p, f.n, f.s, coalesce(list_min(list_filter(range(1, len(f.n) + 1), lambda i: abs(p.p - f.s[i] / f.n[i]) <= 12)), len(f.n) + 1) AS spot FROM fold f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1))
+    SELECT doc_id, box_id, CAST(cluster AS INT) AS cluster FROM fold"""
+)
 def w03_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes to the first line whose mean is near; rows are further apart than that, so lines are rows."""
-    found = cluster.first_fit_clusters(boxes(spark, sf_dir), ["doc_id"], "y", "box_id", F.greatest(0.6 * F.avg("h"), F.lit(1.0)))
+    """Boxes, in any order of height, to the first of all lines whose mean is near."""
+    shaken = boxes(spark, sf_dir).withColumn("y", F.col("y") + (F.col("l_partkey") * F.col("box_id")) % 180)
+    found = cluster.first_fit_clusters(shaken, ["doc_id"], "y", "box_id", F.greatest(0.6 * F.avg("h"), F.lit(1.0)))
     return found.select("doc_id", F.col("id").alias("box_id"), "cluster")
 
 
@@ -113,26 +116,31 @@ def s11_crop_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.crop_records(crops)
 
 
-@query(f"WITH {_NESTED} SELECT a.doc_id, a.box_id AS a, b.box_id AS b FROM nested a JOIN nested b ON a.doc_id = b.doc_id AND a.box_id < b.box_id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
+@query(
+    f"""WITH {_NESTED}, n AS (SELECT * FROM nested), bands AS (SELECT *, unnest(range(CAST((y - 1) // 60 AS INT), CAST((y + h + 1) // 60 AS INT) + 1)) AS band FROM n)
+    SELECT DISTINCT a.doc_id, a.box_id AS a, b.box_id AS b FROM bands a JOIN bands b ON a.doc_id = b.doc_id AND a.band = b.band
+    WHERE a.box_id < b.box_id AND a.x - 1 < b.x + b.w AND b.x < a.x + a.w + 1 AND a.y - 1 < b.y + b.h AND b.y < a.y + a.h + 1"""
+)
 def j12_overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of overlapping boxes."""
+    """Pairs of boxes that overlap when grown by a pixel."""
     return spatial.overlap_edges(_nested(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, abs(o_totalprice - coalesce(s, 0)) <= 0.05 AS agrees, round(coalesce(s, 0), 2) AS items FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey AS doc_id, round(s, 2) AS items, abs(o_totalprice - s) <= 0.05 AS agrees FROM orders LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_partkey % 9 <> 0 THEN l_extendedprice ELSE 0 END) AS s FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
 def a11_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an order's lines add up to its total."""
-    sums = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
-    joined = load(spark, sf_dir, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    s = F.coalesce("s", F.lit(0.0))
-    return joined.select("o_orderkey", (F.abs(F.col("o_totalprice") - s) <= 0.05).alias("agrees"), F.round(s, 2).alias("items"))
+    """Whether an order's lines, some of them unread, add up to its total."""
+    unread = F.when(F.col("l_partkey") % 9 != 0, F.col("l_extendedprice"))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), unread.alias("total_price"))
+    found = aggregates.totals_agree(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("total")), rows)
+    return found.withColumn("items", F.round("items", 2))
 
 
-@query("SELECT user_id, count(*) AS n, median(value) AS middle, coalesce(avg(CASE WHEN value > 0 THEN value END), 0.5) AS confidence FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, median(value) AS middle, avg(CASE WHEN value > 0 THEN value ELSE 0.5 END) AS confidence FROM events GROUP BY user_id")
 def a05_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians and means without unknown values, by user."""
-    rows = load(spark, sf_dir, "events").groupBy("user_id")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("middle"), F.coalesce(F.avg(F.when(F.col("value") > 0, F.col("value"))), F.lit(0.5)).alias("confidence"))
+    """Medians, and means where an unknown value counts 0.5, by user."""
+    rows = load(spark, sf_dir, "events")
+    known = F.when(F.col("value") > 0, F.col("value"))
+    return aggregates.middle(rows, "value", "user_id").join(rows.groupBy("user_id").agg(aggregates.line_confidence(known).alias("confidence")), "user_id")
 
 
 @query("SELECT user_id, event_id, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS INT) AS cluster FROM (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 86400 THEN 1 ELSE 0 END AS s FROM events)")
@@ -142,28 +150,114 @@ def w04_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.gap_clusters(rows, ["user_id"], "at", "event_id", F.lit(86400.0)).select("user_id", "event_id", "cluster")
 
 
+def _field(value, confidence, *, candidates: bool = False, box=None):
+    """A field of an invoice."""
+    from ..operators.headers import CANDIDATES
+
+    place = F.struct(*[v.cast("int").alias(c) for c, v in zip("xywh", box, strict=True)]) if box else F.lit(None).cast("struct<x:int,y:int,w:int,h:int>")
+    parts = [value.alias("value"), confidence.alias("confidence"), place.alias("bbox")]
+    found = F.array(F.struct(F.lit(1).alias("rank"), F.col("id").cast("bigint").alias("entry_id"), value.alias("entry_name"), value.alias("matched_name"), F.lit(87.5).alias("score"))).cast(CANDIDATES)
+    return F.struct(*parts, F.when(F.col("id") % 2 == 0, found).alias("candidates")) if candidates else F.struct(*parts)
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Invoices of orders: headers and items of fields. Every third date is unreadable, even ids have a candidate."""
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
-    items = load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), rank.alias("row_index"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("product_name"),
-        F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_extendedprice").alias("total_price"), F.lit(0.9).alias("confidence"),
+    rows = load(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey"))
+    price = F.col("l_extendedprice")
+    fields = rows.select(
+        F.col("l_orderkey").alias("doc_id"), rank.alias("row_index"),
+        _field(F.concat(F.lit(" part "), F.col("l_partkey").cast("string")), F.lit(0.91236), candidates=True, box=[F.col("l_partkey") % 500, rank * 40, F.lit(80), F.lit(20)]).alias("product_name"),
+        _field(F.col("l_quantity"), F.lit(0.5)).alias("quantity"), _field(F.round(price / F.col("l_quantity"), 2), F.lit(0.5)).alias("unit_price"), _field(price, F.lit(None).cast("double")).alias("total_price"),
     )
-    headers = load(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("invoice_number"), F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("customer_name"),
-        F.col("o_orderdate").cast("date").alias("invoice_date"), F.col("o_totalprice").alias("total"), F.lit(0.8).alias("confidence"),
+    day = F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    orders = load(spark, sf_dir, "orders").withColumn("id", F.col("o_orderkey"))
+    heads = orders.select(
+        F.col("o_orderkey").alias("doc_id"), _field(F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(0.8)).alias("invoice_number"),
+        _field(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")), F.lit(0.8), candidates=True).alias("merchant_name"), _field(day, F.lit(0.8)).alias("invoice_date"),
+        _field(F.lit(" "), F.lit(0.8), candidates=True).alias("city"), _field(F.col("o_totalprice"), F.lit(0.8)).alias("total_amount"),
     )
-    return headers, items
+    return heads, fields
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS invoice_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders")
+@query(
+    """WITH l AS (SELECT l_orderkey, list({'name': 'part ' || l_partkey, 'x': CAST(l_partkey % 500 AS BIGINT), 'q': CAST(l_quantity AS BIGINT), 't': round(l_extendedprice, 2), 'm': CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS VARCHAR) END} ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey AS doc_id, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS invoice_id, 'customer ' || o_custkey AS customer, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS customer_id, CASE WHEN o_orderkey % 2 = 0 THEN '0.875' END AS score,
+      CASE WHEN o_orderkey % 3 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day, round(o_totalprice, 2) AS total, coalesce(len(p), 0) AS n, p[1].name AS first_name, p[1].m AS first_id, p[1].x AS first_x, p[1].q AS first_quantity, round(p[len(p)].t, 2) AS last_total,
+      'bounding_box,ocr_confidence,original_value,results' AS matched_keys FROM orders LEFT JOIN l ON l_orderkey = o_orderkey"""
+)
 def s13_invoice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices of orders as JSON, and what JSON says they hold."""
-    made = records.invoice_json(*_runs(spark, sf_dir))
-    size = F.coalesce(F.json_array_length(F.get_json_object("json", "$.products")), F.lit(0))
-    return made.select("doc_id", F.get_json_object("json", "$.invoice_id.value").alias("invoice_id"), F.get_json_object("json", "$.date.value").alias("day"), size.cast("bigint").alias("n"))
+    """Invoices of orders as JSON, read back: values, matches, boxes, and which keys a matched field has."""
+    made = wire.FORMATTERS.get("invoice_json")(*_runs(spark, sf_dir), False)
+    at = lambda path: F.get_json_object("json", path)
+    n = F.coalesce(F.json_array_length(at("$.products")), F.lit(0))
+    last = F.get(F.from_json(at("$.products"), "array<struct<total_price:struct<value:double>>>"), n - 1)["total_price"]["value"]
+    return made.select(
+        "doc_id", at("$.invoice_id.value").alias("invoice_id"), at("$.customer_name.original_value").alias("customer"), at("$.customer_name.results[0].id").alias("customer_id"),
+        at("$.customer_name.results[0].string_matching_score").alias("score"), at("$.date.value").alias("day"), at("$.total_invoice_price.value").cast("double").alias("total"), n.cast("bigint").alias("n"),
+        at("$.products[0].product_name.original_value").alias("first_name"), at("$.products[0].product_name.results[0].id").alias("first_id"), at("$.products[0].product_name.bounding_box.x").cast("bigint").alias("first_x"),
+        at("$.products[0].quantity.value").cast("bigint").alias("first_quantity"), last.alias("last_total"), F.array_join(F.json_object_keys(at("$.city")), ",").alias("matched_keys"),
+    )
+
+
+@query(
+    f"""WITH {_BOXES}, p AS (SELECT doc_id, list({{'id': box_id, 'role': role, 'box': '[' || x || ',' || y || ',' || (x + w) || ',' || (y + h) || ']', 'c': round(confidence, 4)}} ORDER BY box_id) AS e FROM boxes GROUP BY doc_id)
+    SELECT o_orderkey AS doc_id, CAST(o_custkey AS BIGINT) AS customer, coalesce(len(e), 0) AS n, CAST(e[1].id AS VARCHAR) AS first_id, e[1].role AS role, e[1].box AS bbox, e[1].c AS confidence, CASE WHEN e IS NOT NULL THEN 'true' END AS editable, CASE WHEN e[2].id % 2 = 0 THEN 't1' END AS table_id FROM orders LEFT JOIN p ON doc_id = o_orderkey"""
+)
+def s14_overlay_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all of their boxes as JSON, read back."""
+    even = F.col("box_id") % 2 == 0
+    elements = boxes(spark, sf_dir).select(
+        "doc_id", F.col("box_id").alias("ord"), F.col("box_id").cast("string").alias("id"), F.when(even, "table_cell").otherwise("field").alias("kind"), "role", F.lit("table").alias("zone"), "x", "y", "w", "h",
+        F.col("role").alias("raw_text"), F.col("role").alias("corrected_text"), "confidence", F.array().cast("array<string>").alias("candidates"), F.when(even, "t1").alias("table_id"), "row", F.lit(1).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"),
+    )
+    pages = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("customer"))
+    made = wire.FORMATTERS.get("ui_overlay_json")(pages, elements)
+    at = lambda path: F.get_json_object("json", path)
+    return made.select(
+        "doc_id", at("$.customer").cast("bigint").alias("customer"), F.json_array_length(at("$.elements")).cast("bigint").alias("n"), at("$.elements[0].id").alias("first_id"), at("$.elements[0].role").alias("role"), at("$.elements[0].bbox").alias("bbox"),
+        at("$.elements[0].confidence").cast("double").alias("confidence"), at("$.elements[0].editable").alias("editable"), at("$.elements[1].cell.table_id").alias("table_id"),
+    )
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS row_index, ' part ' || l_partkey AS product_name, l_quantity AS quantity, l_extendedprice AS total_price, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS invoice_number FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"""
+)
+def s15_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices as flat rows."""
+    return wire.FORMATTERS.get("csv")(*_runs(spark, sf_dir)).select("doc_id", "row_index", "product_name", "quantity", "total_price", "invoice_number")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_partkey % 4 AS k, CAST('0x' || substr(sha256(p_name || p_partkey), 1, 8) AS BIGINT) AS s FROM part)
+    SELECT p_partkey, CASE k WHEN 0 THEN CAST(s % 1000 AS VARCHAR) WHEN 1 THEN '2026/' || (s % 12 + 1) || '/' || (s % 28 + 1) WHEN 2 THEN ['سكر', 'أرز', 'زيت', 'شاي', 'حليب', 'ورق', 'قلم'][CAST(s % 7 AS INT) + 1] || ' ' || (s % 100) ELSE 'txt' || (s % 10000) END AS text FROM s"""
+)
+def s18_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The echo reader's answers for made-up crops of four kinds."""
+    kind = F.element_at(F.array(*map(F.lit, ("number", "date", "arabic_text", "any"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    crop = F.concat("p_name", F.col("p_partkey").cast("string")).cast("binary")
+    return load(spark, sf_dir, "part").select("p_partkey", wire.echo(wire.echo_seed(crop), kind).alias("text"))
+
+
+_H = "((({a}) * 7919 + ({b}) * 104729 + {c} * 1299709 + 15485863) * 48271 % 2147483647)"
 
 
-@query()
+def _h(a: str, b: str, c: int) -> str:
+    return _H.format(a=a, b=b, c=c)
+
+
+@query(
+    f"""WITH p AS (SELECT i AS doc_id, 2 + {_h("i", "0", 1)} % 4 AS n FROM range((SELECT count(*) FROM supplier)) t(i)),
+    r AS (SELECT doc_id, n, r, 1 + {_h("doc_id", "r", 2)} % 9 AS q, 100 + {_h("doc_id", "r", 3)} % 9900 AS c FROM (SELECT *, unnest(range(n)) AS r FROM p)),
+    t AS (SELECT doc_id, max(n) AS n, sum(q * c) AS c FROM r GROUP BY doc_id),
+    f AS (SELECT doc_id, 'item ' || r AS text, 400 AS x, 240 + 40 * r AS y FROM r UNION ALL SELECT doc_id, CAST(q AS VARCHAR), 250, 240 + 40 * r FROM r
+      UNION ALL SELECT doc_id, printf('%.2f', c / 100), 150, 240 + 40 * r FROM r UNION ALL SELECT doc_id, printf('%.2f', q * c / 100), 60, 240 + 40 * r FROM r
+      UNION ALL SELECT doc_id, 'merchant ' || ({_h("doc_id", "0", 4)} % 500) || ' trading', 300, 20 FROM t UNION ALL SELECT doc_id, 'invoice no INV-' || lpad(CAST({_h("doc_id", "0", 5)} % 100000 AS VARCHAR), 5, '0'), 250, 60 FROM t
+      UNION ALL SELECT doc_id, 'date ' || strftime(DATE '2024-01-01' + CAST({_h("doc_id", "0", 6)} % 700 AS INT), '%d/%m/%Y'), 300, 100 FROM t UNION ALL SELECT doc_id, 'city: town ' || ({_h("doc_id", "0", 7)} % 50), 300, 140 FROM t
+      UNION ALL SELECT doc_id, 'item qty price amount', 300, 200 FROM t UNION ALL SELECT doc_id, 'total ' || printf('%.2f', c / 100), 250, 280 + 40 * n FROM t)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, text, CAST(x AS INT) AS x, CAST(y AS INT) AS y, 60 AS w, 20 AS h, 0.9 AS confidence FROM f"""
+)
 def s17_synthetic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up pages, as many as there are suppliers."""
     return records.synthetic_pages(spark, load(spark, sf_dir, "supplier").count())
@@ -220,13 +314,7 @@ def _merchants(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return items.merchants(rows, matching.catalog_names(catalog, False), False).select("doc_id", "merchant_name", "matched_id")
 
 
-@query("SELECT o_orderkey AS doc_id, 'customer ' || o_custkey || ' trading' AS merchant_name, CASE WHEN o_custkey <= 50 THEN o_custkey END AS matched_id FROM orders WHERE o_custkey <= 50")
-def r17_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R17 over the orders of the first 50 customers, as its SQL has it; r17_merchants_all has all of them."""
-    return _merchants(load(spark, sf_dir, "orders").where("o_custkey <= 50"), load(spark, sf_dir, "customer").where("c_custkey <= 50"))
-
-
 @query("SELECT o_orderkey AS doc_id, 'customer ' || o_custkey || ' trading' AS merchant_name, c_custkey AS matched_id FROM orders JOIN customer ON o_custkey = c_custkey")
-def r17_merchants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r17_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merchants of all order pages, found among word runs of their lines, against all customers."""
     return _merchants(load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer"))

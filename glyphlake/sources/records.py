@@ -1,8 +1,8 @@
-"""Sources and sinks of records."""
+"""Sources and sinks of records."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE_NAMES = "(?i).*\\.(jpg|jpeg|png)$"
@@ -63,37 +63,6 @@ def catalogs(requests: DataFrame) -> DataFrame:
     return out
 
 
-def value_field(value, confidence, kind: str):
-    """A value with its confidence; numbers rounded to cents, whole numbers to units."""
-    shown = F.round(value, 2) if kind == "number" else F.round(value).cast("bigint") if kind == "integer" else F.nullif(F.trim(value), F.lit(""))
-    return F.struct(shown.alias("value"), F.round(F.coalesce(confidence, F.lit(0.0)), 4).alias("ocr_confidence"))
-
-
-def invoice_json(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id and the JSON text of an invoice.
-
-    headers: doc_id, invoice_number, customer_name, invoice_date (date), total, confidence; items: doc_id,
-    row_index, product_name, quantity, unit_price, total_price, confidence.
-    """
-    row = F.struct(
-        "row_index",
-        value_field(F.col("product_name"), F.col("confidence"), "text").alias("product_name"),
-        value_field(F.col("quantity"), F.col("confidence"), "integer").alias("quantity"),
-        value_field(F.col("unit_price"), F.col("confidence"), "number").alias("unit_price"),
-        value_field(F.col("total_price"), F.col("confidence"), "number").alias("total_price"),
-    )
-    rows = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("products"))
-    whole = headers.join(rows, "doc_id", "left")
-    body = F.struct(
-        value_field(F.col("invoice_number"), F.col("confidence"), "text").alias("invoice_id"),
-        value_field(F.col("customer_name"), F.col("confidence"), "text").alias("customer_name"),
-        value_field(F.date_format("invoice_date", "yyyy-MM-dd"), F.col("confidence"), "text").alias("date"),
-        value_field(F.col("total"), F.col("confidence"), "number").alias("total_amount"),
-        F.coalesce("products", F.array()).alias("products"),
-    )
-    return whole.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
-
-
 def crop_records(crops: DataFrame) -> DataFrame:
     """Records of crops (doc_id, ord from 1, text, kind, x, y, w, h, confidence, source_id): synthesised ones have no confidence."""
     return crops.select(
@@ -103,25 +72,36 @@ def crop_records(crops: DataFrame) -> DataFrame:
 
 
 def save_runs(runs: DataFrame, folder: str) -> None:
-    """Runs (invoice_id, ...) as JSON lines in a folder for each hash of the id, so that no folder is made for each run."""
-    runs.withColumn("bucket", F.pmod(F.xxhash64("invoice_id"), F.lit(64)).cast("int")).write.mode("append").partitionBy("bucket").json(folder)
+    """Runs (invoice_id, ...) as JSON lines in a folder for each hash of the id, so that no folder is made for each run.
+
+    A run that is saved again stands beside the earlier one; `load_run` gives the later.
+    """
+    stamped = runs.withColumn("saved_at", F.unix_micros(F.current_timestamp()))
+    stamped.withColumn("bucket", F.pmod(F.xxhash64("invoice_id"), F.lit(64)).cast("int")).write.mode("append").partitionBy("bucket").json(folder)
 
 
 def load_run(spark: SparkSession, folder: str, invoice_id: str, schema: str) -> DataFrame:
-    """The runs of an id, whole; only its bucket is read. Raises KeyError if there is none."""
+    """The run of an id as it was saved last, whole; only its bucket is read. Raises KeyError if there is none."""
     bucket = F.pmod(F.xxhash64(F.lit(invoice_id)), F.lit(64)).cast("int")
-    rows = spark.read.schema(f"{schema}, bucket int").json(folder).where((F.col("bucket") == bucket) & (F.col("invoice_id") == invoice_id)).drop("bucket")
-    if rows.isEmpty():
+    rows = spark.read.schema(f"{schema}, saved_at bigint, bucket int").json(folder).where((F.col("bucket") == bucket) & (F.col("invoice_id") == invoice_id))
+    last = rows.agg(F.max("saved_at").alias("at")).first()["at"]
+    if last is None:
         raise KeyError(invoice_id)
-    return rows
+    return rows.where(F.col("saved_at") == last).drop("saved_at", "bucket")
+
+
+def _number(a: Column, b: Column | int, c: int, seed: int = 0) -> Column:
+    """A number below 2^31 made from two numbers, what it is for, and a seed, by arithmetic that any engine has."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return (a * 7919 + b.cast("long") * 104729 + c * 1299709 + (15485863 + seed)) * 48271 % 2147483647
 
 
 def synthetic_pages(spark: SparkSession, pages: int, seed: int = 0) -> DataFrame:
-    """Fragments of made-up pages, the same for the same seed: a number, a date, two to five item rows and their total."""
-    h = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30))
-    base = spark.range(pages).withColumnRenamed("id", "doc_id").withColumn("items", (2 + h("doc_id", F.lit("n")) % 4).cast("int"))
+    """Fragments of made-up pages, the same for the same seed: merchant, number, date, city, two to five item rows and their total."""
+    doc = F.col("doc_id")
+    base = spark.range(pages).withColumnRenamed("id", "doc_id").withColumn("items", (2 + _number(doc, 0, 1, seed) % 4).cast("int"))
     rows = base.select("doc_id", "items", F.explode(F.sequence(F.lit(0), F.col("items") - 1)).alias("row"))
-    priced = rows.select("doc_id", "items", "row", (1 + h("doc_id", "row", F.lit("q")) % 9).alias("q"), (100 + h("doc_id", "row", F.lit("p")) % 9900).alias("cents"))
+    priced = rows.select("doc_id", "items", "row", (1 + _number(doc, F.col("row"), 2, seed) % 9).alias("q"), (100 + _number(doc, F.col("row"), 3, seed) % 9900).alias("cents"))
     cells = F.array(
         *[
             F.struct(F.lit(x).alias("x"), (240 + 40 * F.col("row")).alias("y"), t.alias("text"))
@@ -130,11 +110,15 @@ def synthetic_pages(spark: SparkSession, pages: int, seed: int = 0) -> DataFrame
     )
     body = priced.select("doc_id", F.inline(cells))
     sums = priced.groupBy("doc_id").agg(F.sum(F.col("q") * F.col("cents")).alias("cents"), F.first("items").alias("items"))
-    number, day = F.format_string("INV-%05d", h("doc_id", F.lit("i")) % 100000), F.date_add(F.lit("2024-01-01").cast("date"), (h("doc_id", F.lit("d")) % 700).cast("int"))
+    shown = lambda c, most: (_number(doc, 0, c, seed) % most).cast("string")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (_number(doc, 0, 6, seed) % 700).cast("int"))
+    line = lambda x, y, *parts: F.struct(F.lit(x).alias("x"), (y if isinstance(y, Column) else F.lit(y)).cast("int").alias("y"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("text"))
     heads = F.array(
-        F.struct(F.lit(250).alias("x"), F.lit(60).alias("y"), F.concat(F.lit("invoice no "), number).alias("text")),
-        F.struct(F.lit(300).alias("x"), F.lit(100).alias("y"), F.concat(F.lit("date "), F.date_format(day, "dd/MM/yyyy")).alias("text")),
-        F.struct(F.lit(300).alias("x"), F.lit(200).alias("y"), F.lit("item qty price amount").alias("text")),
-        F.struct(F.lit(250).alias("x"), (280 + 40 * F.col("items")).alias("y"), F.concat(F.lit("total "), F.format_string("%.2f", F.col("cents") / 100)).alias("text")),
+        line(300, 20, "merchant ", shown(4, 500), " trading"),
+        line(250, 60, "invoice no INV-", F.lpad(shown(5, 100000), 5, "0")),
+        line(300, 100, "date ", F.date_format(day, "dd/MM/yyyy")),
+        line(300, 140, "city: town ", shown(7, 50)),
+        line(300, 200, "item qty price amount"),
+        line(250, 280 + 40 * F.col("items"), "total ", F.format_string("%.2f", F.col("cents") / 100)),
     )
     return body.unionByName(sums.select("doc_id", F.inline(heads))).select("doc_id", "text", "x", "y", F.lit(60).alias("w"), F.lit(20).alias("h"), F.lit(0.9).alias("confidence"))

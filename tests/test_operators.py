@@ -1,9 +1,11 @@
 """Operators on small hand-made pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.operators import cluster, lines, matching, parse, reconcile, spatial
+from glyphlake.operators import cells, cluster, forms, headers, lines, matching, parse, reconcile, spatial
 
 
 def solve(spark, quantity, price, total):
@@ -110,7 +112,84 @@ def test_header_lines(spark):
 
 
 def test_warnings(spark):
-    headers = spark.createDataFrame([(1, 10.0, [("city", 0.5, True, 2), ("date", 0.9, True, 0)]), (2, 5.0, [])], "doc_id long, total double, fields array<struct<name:string,confidence:double,review:boolean,candidates:int>>")
-    items = spark.createDataFrame([(1, 0, 2.5, False)], "doc_id long, row_index int, total_price double, arithmetic_ok boolean")
-    got = sorted(tuple(r) for r in lines.warnings(headers, items).na.fill("").collect())
-    assert got == [(1, "ARITHMETIC_MISMATCH", "items[0]"), (1, "LOW_CONFIDENCE_FIELD", "city"), (1, "MANUAL_REVIEW_REQUIRED", "city"), (1, "TOTAL_MISMATCH", "total_amount"), (2, "NO_LINE_ITEMS", "")]
+    pages = spark.createDataFrame([(1, 10.0), (2, 5.0), (3, None)], "doc_id long, total_amount double")
+    fields = spark.createDataFrame(
+        [(1, "city", "x", 0.5, True, 2), (1, "date", "y", 0.9, True, 0), (1, "merchant", None, 0.1, False, 0)], "doc_id long, name string, value string, confidence double, review boolean, candidates int"
+    )
+    items = spark.createDataFrame([(1, 0, 2.5, False, True, 3), (3, 0, None, True, True, 0)], "doc_id long, row_index int, total_price double, arithmetic_ok boolean, review boolean, candidates int")
+    found = headers.warnings(pages, fields, items)
+    want = [
+        (1, "ARITHMETIC_MISMATCH", "line_items[0]"), (1, "LOW_CONFIDENCE_FIELD", "city"), (1, "MANUAL_REVIEW_REQUIRED", "city"), (1, "MANUAL_REVIEW_REQUIRED", "line_items[0].product_name"),
+        (1, "TOTAL_MISMATCH", "total_amount"), (2, "NO_LINE_ITEMS", ""),
+    ]
+    assert sorted(tuple(r) for r in found.na.fill("").collect()) == want
+    fixed = items.withColumn("arithmetic_ok", F.lit(True))
+    assert sorted(tuple(r) for r in headers.renewed(found, fixed).na.fill("").collect()) == want[1:]
+
+
+def merged(parts):
+    """The text of a cell by plain Python; parts: text, x, y, w, h."""
+    parts = [p for p in parts if p[0].strip()]
+    if len(parts) <= 1:
+        return "".join(p[0].strip() for p in parts)
+    heights = [p[4] for p in parts if p[4] > 0]
+    reach = max(0.6 * (sum(heights) / len(heights) if heights else 1.0), 1.0)
+    rows = []
+    for p in sorted(parts, key=lambda p: p[2] + p[4] / 2):
+        row = next((r for r in rows if abs(p[2] + p[4] / 2 - sum(q[2] + q[4] / 2 for q in r) / len(r)) <= reach), None)
+        if row is None:
+            rows.append(row := [])
+        row.append(p)
+    out = []
+    for row in sorted(rows, key=lambda r: sum(q[2] + q[4] / 2 for q in r) / len(r)):
+        arabic = sum("\u0600" <= c <= "\u06ff" for p in row for c in p[0])
+        latin = sum(c.isascii() and c.isalpha() for p in row for c in p[0])
+        out.append(" ".join(p[0].strip() for p in sorted(row, key=lambda p: p[1] + p[3] / 2, reverse=arabic + latin > 0 and arabic >= latin)))
+    return "\n".join(out)
+
+
+def test_merged_texts(spark):
+    pick = random.Random(3)
+    rows, want = [], {}
+    for d in range(60):
+        parts = [(pick.choice(["سكر", "abc", "أزرق", " ", "12", " x "]), pick.randint(0, 300), pick.randint(0, 60), pick.randint(10, 30), pick.choice([0, 20, 24])) for _ in range(pick.randint(1, 9))]
+        rows += [(d, i, *p) for i, p in enumerate(parts)]
+        if any(p[0].strip() for p in parts):
+            want[d] = (sum(bool(p[0].strip()) for p in parts), merged(parts))
+    got = cells.merged_texts(spark.createDataFrame(rows, "doc_id long, frag_id long, text string, x int, y int, w int, h int"), "doc_id")
+    assert {r["doc_id"]: (r["n"], r["text"]) for r in got.collect()} == want
+
+
+def test_zipped(spark):
+    row = spark.range(1)
+    assert row.select(cells.zipped(F.array(F.lit(1), F.lit(2)), F.array(F.lit("a"), F.lit("b")))).first()[0][1] == (2, "b")
+    with pytest.raises(Exception, match="as many texts"):
+        row.select(cells.zipped(F.array(F.lit(1)), F.array(F.lit("a"), F.lit("b")))).collect()
+
+
+def test_refined(spark):
+    kinds = [(0.0, 0.3, "number"), (0.3, 0.55, "date"), (0.55, 1.0, "arabic_text")]
+    rows = [(1, 0, 20, 300, 480, 30, 0.9), (1, 1, 20, 20, 800, 30, 0.8), (1, 2, 700, 302, 90, 30, None), (1, 3, 10, 500, 60, 20, 0.7), (1, 4, 560, 505, 90, 20, 0.6)]
+    frame = spark.createDataFrame([(*r, 1000, 1000) for r in rows], "doc_id long, box_id long, x int, y int, w int, h int, confidence double, page_w int, page_h int")
+    got = [tuple(r)[1:] for r in forms.refined(frame, kinds).orderBy("place").collect()]
+    assert got == [
+        (0, 20, 20, 800, 30, 0.8, "date"), (1, 700, 302, 90, 30, None, "arabic_text"), (2, 310, 300, 190, 30, 0.9, "date"), (3, 20, 300, 270, 30, 0.9, "number"),
+        (4, 560, 505, 90, 20, 0.6, "arabic_text"), (5, 310, 500, 230, 25, None, "date"), (6, 10, 500, 60, 20, 0.7, "number"),
+    ]
+
+
+def test_components_by_brute_force(spark):
+    pick = random.Random(8)
+    rows = [(d, 1000 - i, pick.randint(0, 400), pick.randint(0, 400), pick.randint(1, 60), pick.randint(1, 60)) for d in range(12) for i in range(60)]
+    want = {}
+    for d in range(12):
+        page = [r for r in rows if r[0] == d]
+        root = {r[1]: r[1] for r in page}
+        for _ in page:
+            for a in page:
+                for b in page:
+                    if a[2] - 1 < b[2] + b[4] and b[2] < a[2] + a[4] + 1 and a[3] - 1 < b[3] + b[5] and b[3] < a[3] + a[5] + 1 and root[a[1]] != root[b[1]]:
+                        root[a[1]] = root[b[1]] = min(root[a[1]], root[b[1]])
+        want |= {(d, i): c for i, c in root.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, box_id long, x int, y int, w int, h int")
+    assert {(r["doc_id"], r["box_id"]): r["component"] for r in spatial.page_components(frame).collect()} == want

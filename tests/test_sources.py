@@ -30,6 +30,8 @@ def test_audit_store(spark, tmp_path):
     folder = str(tmp_path / "runs")
     records.save_runs(spark.createDataFrame([("r1", 1.5), ("r2", None)], "invoice_id string, total double"), folder)
     assert tuple(records.load_run(spark, folder, "r1", "invoice_id string, total double").first()) == ("r1", 1.5)
+    records.save_runs(spark.createDataFrame([("r1", 2.5)], "invoice_id string, total double"), folder)
+    assert [tuple(r) for r in records.load_run(spark, folder, "r1", "invoice_id string, total double").collect()] == [("r1", 2.5)]
     with pytest.raises(KeyError):
         records.load_run(spark, folder, "r3", "invoice_id string, total double")
 

@@ -8,7 +8,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_hints_of_all_turns(spark):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet")
-    got = {(r["conv_id"], r["turn"]): (r["hinted"], r["hints"]) for r in entry.queries()["p03_hints_all"](spark, DATA).collect()}
+    got = {(r["conv_id"], r["turn"]): (r["hinted"], r["hints"]) for r in entry.queries()["p03_hints"](spark, DATA).collect()}
     rows = turns.collect()
     assert any(not r["text"].isascii() for r in rows) and len(got) == len(rows)
     for r in rows:
