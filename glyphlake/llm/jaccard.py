@@ -43,6 +43,8 @@ LARGE, LARGE_BITS = 1000, 8192
 #: pairs for each row are few enough to go to all pairs at once.
 STAR_TURNS = 4
 FEW_PAIRS = 16
+#: Parts that the sets of a list are dealt into.
+SALTS = 16
 #: Rows (of three integers) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -326,7 +328,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket
     for turn in range(STAR_TURNS + 1):
         rooted = rest.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         mixed = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
-        rest = tables.written(spark, rooted.join(mixed, "list").select("list", "set", "n", "at", "root"))
+        # a list may hold many sets: they are dealt by a second key too, which every list of mixed gets
+        dealt = rooted.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int"))
+        every = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rest = tables.written(spark, dealt.join(every, ["list", "salt"]).select("list", "set", "n", "at", "root"))
         if before is not None:
             tables.drop(before)
         before = rest
