@@ -238,6 +238,7 @@ def test_features():
 
 
 def test_pipeline(spark):
+    """The stages together; each of them is compared with plain Python in test_stages."""
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
