@@ -97,7 +97,7 @@ def _label_pages(margin: int):
             other = alive + step
             near = other < n
             alive, other = alive[near], other[near]
-            ahead = (page[other] == page[alive]) & (x[other] - margin < stop[alive])
+            ahead = (page[other] == page[alive]) & (x[other] < stop[alive])
             alive, other = alive[ahead], other[ahead]
             meets = (y[other] - margin < y[alive] + h[alive]) & (y[alive] < y[other] + h[other] + margin) & (x[alive] - margin < x[other] + w[other])
             left.append(alive[meets])
