@@ -8,6 +8,7 @@ from .licenses import TEMPLATES
 from .quality import BULLETS, CUT_OFF, RULES, STOP_WORDS
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -70,8 +71,8 @@ r AS (SELECT i, count(DISTINCT k + o) AS n FROM g, range(3) t(o) WHERE n > 1 GRO
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:')) IN ({", ".join(map(_quote, sorted(set(STOP_WORDS))))}))) AS stops,
-    length(t) - length(translate(t, '!?', '')) AS n_marks, len(list_filter(ls, lambda x: regexp_matches(x, {_quote(BULLETS)}))) AS bullets,
-    len(list_filter(ls, lambda x: regexp_matches(x, {_quote(CUT_OFF)}))) AS cuts FROM w LEFT JOIN r USING (i)),
+    length(t) - length(translate(t, '!?', '')) AS n_marks, len(list_filter(ls, lambda x: ltrim(x, {_BLANK})[1] IN ({', '.join(map(_quote, BULLETS))}))) AS bullets,
+    len(list_filter(ls, lambda x: {' OR '.join(f'ends_with(rtrim(x, {_BLANK}), {_quote(c)})' for c in CUT_OFF)})) AS cuts FROM w LEFT JOIN r USING (i)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept FROM f
 """

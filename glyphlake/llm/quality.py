@@ -37,9 +37,10 @@ RULES = (
     Rule("cut_lines", "cut_line_share", None, 0.3),
 )
 
-#: Signs that lists begin with, and what a line that was cut off ends with.
-BULLETS = r"^[\x20\x09-\x0D]*[-*\x{2022}\x{25CF}\x{25AA}\x{2023}]"
-CUT_OFF = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
+#: White space, signs that lists begin with, and what a line that was cut off ends with.
+_SPACE = " \t\n\x0b\x0c\r"
+BULLETS = ("-", "*", "\u2022", "\u25cf", "\u25aa", "\u2023")
+CUT_OFF = ("...", "\u2026")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -99,8 +100,8 @@ def measures(docs: DataFrame) -> DataFrame:
             "_m_n_lines": F.size(lines),
             "_m_stops": F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:"))).isin(STOP_WORDS))),
             "_m_marks": F.length("_q_text") - F.length(F.translate("_q_text", "!?", "")),
-            "_m_bullets": F.size(F.filter(lines, lambda x: x.rlike(BULLETS))),
-            "_m_cuts": F.size(F.filter(lines, lambda x: x.rlike(CUT_OFF))),
+            "_m_bullets": F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x, F.lit(_SPACE)), 1, 1).isin(*BULLETS))),
+            "_m_cuts": F.size(F.filter(lines, lambda x: F.rtrim(x, F.lit(_SPACE)).endswith(CUT_OFF[0]) | F.rtrim(x, F.lit(_SPACE)).endswith(CUT_OFF[1]))),
         }
     ).drop("_q_text", "_q_words", "_q_lines")
     return counted.withColumns(
