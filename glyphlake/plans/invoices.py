@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import cells, forms, headers, layout, lines, matching, spatial
+from ..operators import cells, forms, grids, headers, layout, lines, matching, spatial
 from ..session import load
 from .catalog import _BOXES, _NAMES, _names, boxes, query
 
@@ -457,3 +457,76 @@ def r12_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = shown.withColumns({c: F.col(f"{c}_raw").cast("double") for c in ("unit_price", "quantity", "total_price")})
     done = reconcile(read)
     return done.where("outcome in ('ok', 'repaired', 'open') and (outcome != 'open' or not arithmetic_ok)").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "outcome", "unit_price", "quantity", "total_price")
+
+
+_GRID = """g AS (SELECT l_orderkey * 10 + (rk - 1) // 8 AS doc_id, (rk - 1) % 8 AS r, l_partkey AS p FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rk FROM lineitem)),
+  w AS (SELECT doc_id, r, p, c, CASE c WHEN 0 THEN true WHEN 1 THEN p % 3 <> 0 ELSE p % 4 <> 0 END AS wall, CASE c WHEN 0 THEN p % 5 <> 0 WHEN 1 THEN p % 2 <> 0 ELSE true END AS above FROM g, range(3) t(c)),
+  i AS (SELECT *, sum(CAST(wall AS INT)) OVER (PARTITION BY doc_id, r ORDER BY c) AS cell FROM w),
+  k AS (SELECT doc_id, r, min(c) AS c1, max(c) AS c2, sum(CAST(above AS INT)) >= 0.5 * count(*) AS above FROM i GROUP BY doc_id, r, cell),
+  d AS (SELECT *, CASE WHEN above OR lag(r) OVER (PARTITION BY doc_id, c1, c2 ORDER BY r) IS DISTINCT FROM r - 1 THEN 1 ELSE 0 END AS s FROM k),
+  e AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, c1, c2 ORDER BY r) AS span FROM d)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and ink of ruled pages, a row of three columns for each line of an order; some walls and floors aren't drawn, or not all of them."""
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), rank.alias("at"))
+    rows = rows.select((F.col("l_orderkey") * 10 + F.floor(F.col("at") / 8)).alias("doc_id"), (F.col("at") % 8).alias("r"), "p")
+    y, p = 100 + F.col("r") * 50, F.col("p")
+    cast = lambda v, name: (v if isinstance(v, Column) else F.lit(v)).cast("int").alias(name)
+    box = lambda axis, x, top, w, h: F.struct(F.lit(axis).alias("axis"), cast(x, "x"), cast(top, "y"), cast(w, "w"), cast(h, "h"))
+    drawn = F.array(
+        F.when(p % 3 != 0, box("v", 199, y, 3, 50)), F.when(p % 3 == 0, box("v", 200, y + 3, 2, 20)),
+        F.when(p % 4 != 0, box("v", 300 + p % 3, y + 5, 2, 20)), F.when(p % 4 != 0, box("v", 301, y + 15, 2, 30)),
+        F.when(p % 5 != 0, box("h", 100, y - 1, 100, 3)), F.when(p % 2 != 0, box("h", 200, y, 100, 2)), box("h", 300, y, 101, 2),
+    )
+    ink = rows.select("doc_id", F.explode(drawn).alias("b")).where("b is not null").select("doc_id", "b.*")
+    across = rows.select("doc_id", F.lit("h").alias("axis"), F.explode(F.array(y, y + 50)).alias("pos")).distinct()
+    down = rows.select("doc_id").distinct().select("doc_id", F.lit("v").alias("axis"), F.explode(F.array(*[F.lit(x) for x in (100, 200, 300, 400)])).alias("pos"))
+    return across.withColumn("pos", F.col("pos").cast("int")).unionByName(down), ink
+
+
+@query(f"WITH {_GRID} SELECT doc_id, CAST(min(r) AS INT) AS row, CAST(c1 AS INT) AS col, CAST(count(*) AS INT) AS row_span, CAST(c2 - c1 + 1 AS INT) AS col_span, 100 + 100 * c1 AS x, 100 + 50 * min(r) AS y, 100 * (c2 - c1 + 1) AS w, 50 * count(*) AS h FROM e GROUP BY doc_id, c1, c2, span")
+def i17_span_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of ruled pages; what no ink separates is one cell, across and down."""
+    return grids.cells_of(*_grid(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_BOXES}, p AS (SELECT doc_id, box_id, row, l_partkey AS p, x, y FROM boxes WHERE role = 'quantity'),
+    f AS (SELECT *, p % 3 <> 2 AND p % 7 <> 0 AS writing FROM p)
+    SELECT doc_id, box_id * 2 AS box_id FROM f WHERE NOT writing OR p % 4 = 0 UNION ALL SELECT doc_id, box_id * 2 + 1 FROM f WHERE NOT writing"""
+)
+def i13_stacked_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs that aren't lines of writing: pairs of blobs of like or unlike length, side by side or not, some crossed by a rule."""
+    b = boxes(spark, sf_dir).where("role = 'quantity'").withColumn("p", F.col("l_partkey"))
+    first = b.select("doc_id", (F.col("box_id") * 2).alias("box_id"), "x", "y", F.lit(80).alias("w"), F.lit(6).alias("h"))
+    second = b.select("doc_id", (F.col("box_id") * 2 + 1).alias("box_id"), (F.col("x") + F.when(F.col("p") % 7 == 0, F.when(F.col("p") % 3 == 2, 0).otherwise(75)).otherwise(0)).cast("int").alias("x"), (F.col("y") + 15).alias("y"), (80 + F.col("p") % 3 * 60).cast("int").alias("w"), F.lit(6).alias("h"))
+    rules = b.where("p % 4 = 0").select("doc_id", (F.col("x") + 10).alias("x"), (F.col("y") + 2).alias("y"), F.lit(2).alias("w"), F.lit(2).alias("h"))
+    return grids.without_stacked_text(first.unionByName(second), rules).select("doc_id", "box_id")
+
+
+@query(
+    f"""WITH {_BOXES}, l AS (SELECT doc_id, CASE WHEN row % 2 = 0 THEN 'h' ELSE 'v' END AS axis, row AS line_id, CAST(row * 30 AS INT) AS pos, CAST(l_partkey % 50 AS INT) AS lo, CAST(100 + l_partkey % 50 + (l_partkey % 7) * 30 AS INT) AS hi FROM boxes WHERE role = 'quantity'),
+    e AS (SELECT doc_id, count(DISTINCT axis) AS axes, min(CASE WHEN axis = 'h' THEN lo ELSE pos END) AS x1, max(CASE WHEN axis = 'h' THEN hi ELSE pos END) AS x2, min(CASE WHEN axis = 'h' THEN pos ELSE lo END) AS y1, max(CASE WHEN axis = 'h' THEN pos ELSE hi END) AS y2 FROM l GROUP BY doc_id)
+    SELECT l.doc_id, axis, line_id, pos, CASE WHEN axes < 2 THEN lo WHEN axis = 'h' THEN x1 ELSE y1 END AS lo, CASE WHEN axes < 2 THEN hi WHEN axis = 'h' THEN x2 ELSE y2 END AS hi FROM l JOIN e ON l.doc_id = e.doc_id
+    WHERE axes < 2 OR hi - lo >= 0.5 * greatest(1, CASE WHEN axis = 'h' THEN x2 - x1 ELSE y2 - y1 END)"""
+)
+def i15_extended_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines drawn out to the bounds of their table, short ones dropped."""
+    p = F.col("l_partkey")
+    b = boxes(spark, sf_dir).where("role = 'quantity'")
+    made = b.select("doc_id", F.when(F.col("row") % 2 == 0, "h").otherwise("v").alias("axis"), F.col("row").alias("line_id"), (F.col("row") * 30).cast("int").alias("pos"), (p % 50).cast("int").alias("lo"), (100 + p % 50 + p % 7 * 30).cast("int").alias("hi"))
+    return grids.extended(made)
+
+
+@query(
+    f"""WITH {_BOXES}, b AS (SELECT doc_id, box_id, row, x, y, CAST(20 + l_partkey % 60 AS INT) AS w FROM boxes),
+    s AS (SELECT doc_id, box_id, y + 1 AS pos, x AS lo, x + w AS hi FROM b WHERE w >= 40),
+    o AS (SELECT *, sum(g) OVER (PARTITION BY doc_id ORDER BY pos, box_id) AS c FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos, box_id) > 10 THEN 1 ELSE 0 END AS g FROM s))
+    SELECT doc_id, CAST(floor(avg(pos)) AS INT) AS pos, min(lo) AS lo, max(hi) AS hi FROM o GROUP BY doc_id, c"""
+)
+def i12_rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from blobs, short ones left out, near ones one."""
+    blobs = boxes(spark, sf_dir).select("doc_id", F.lit("h").alias("axis"), "box_id", "x", "y", (20 + F.pmod("l_partkey", F.lit(60))).cast("int").alias("w"), F.lit(2).alias("h"))
+    return grids.rule_lines(blobs).select("doc_id", "pos", "lo", "hi")
