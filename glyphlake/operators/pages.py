@@ -1,9 +1,10 @@
-"""Raster operators over pages as rows (S04, I09-I12): Arrow batches in, boxes or pages out."""
+"""Raster operators over pages as rows (S04, S16, I04, I09-I12, A22): Arrow batches in, boxes or pages out."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,3 +35,37 @@ def ink_boxes(pages: DataFrame, threshold: str = "otsu", axis: str | None = None
 
     rows = pages.select(F.col("doc_id").cast("long").alias("doc_id"), "content")
     return rows.mapInArrow(run, "doc_id long, box_id long, x int, y int, w int, h int, error string")
+
+
+def drawn(boxes: DataFrame, w: int, h: int, paper: int = 230, ink: int = 20) -> DataFrame:
+    """doc_id and content, a PNG of w x h pixels with the boxes (doc_id, x, y, w, h) of a page filled with ink."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page in batch.column(1).to_pylist():
+                image = np.full((h, w), paper, np.uint8)
+                for b in page:
+                    image[max(0, b["y"]) : b["y"] + b["h"], max(0, b["x"]) : b["x"] + b["w"]] = ink
+                out.append(raster.write_png(image))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    pages = boxes.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in "xywh"])).alias("boxes"))
+    return pages.mapInArrow(run, "doc_id long, content binary")
+
+
+def ink_ratios(pages: DataFrame) -> DataFrame:
+    """doc_id, paper (the level of the paper) and ratio (the share of dark pixels) of pages (doc_id, content as PNG); null for a page that can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for content in batch.column(1).to_pylist():
+                try:
+                    gray = raster.channel(raster.read_png(content or b""), "gray")
+                    found.append((raster.paper_level(gray), raster.ink_ratio(gray)))
+                except ValueError:
+                    found.append((None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]], ["doc_id", "paper", "ratio"])
+
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, "doc_id long, paper double, ratio double")

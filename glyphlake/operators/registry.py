@@ -1,10 +1,9 @@
-"""Names for transforms DataFrame -> DataFrame (the plug-in surface)."""
+"""Names for transforms and column functions: matchers, formatters (the plug-in surface)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from typing import Any
 
 
 class Registry:
@@ -12,7 +11,7 @@ class Registry:
 
     def __init__(self, kind: str):
         self._kind = kind
-        self._known: dict[str, Callable[..., DataFrame]] = {}
+        self._known: dict[str, Callable[..., Any]] = {}
 
     def register(self, name: str) -> Callable:
         def add(made: Callable) -> Callable:
@@ -23,7 +22,7 @@ class Registry:
 
         return add
 
-    def get(self, name: str) -> Callable[..., DataFrame]:
+    def get(self, name: str) -> Callable[..., Any]:
         if name not in self._known:
             raise KeyError(f"unknown {self._kind} {name}; there are {', '.join(sorted(self._known)) or 'none'}")
         return self._known[name]

@@ -163,22 +163,29 @@ def f04_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", norm.alias("norm")).withColumn("n_words", F.size(text.words(F.col("norm"))).cast("bigint"))
 
 
-_NAMES = "names AS (SELECT n.name, row_number() OVER (ORDER BY n.name) - 1 AS ord FROM (SELECT DISTINCT lower(p_name) AS name FROM part) n)"
+_NAMES = "names AS (SELECT lower(p_name) AS name, CAST(min(p_partkey) AS BIGINT) AS ord FROM part GROUP BY ALL)"
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names, numbered in order."""
-    distinct = load(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    # a name's number is how many come before it; the names are few, so one window holds them
-    return distinct.withColumn("ord", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
+    """Distinct part names, each with the least key of its parts."""
+    return load(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").cast("bigint").alias("ord"))
 
 
-@query(f"WITH {_NAMES} SELECT a.name AS a, b.name AS b, CASE WHEN a.name = b.name THEN 1.0 ELSE (greatest(length(a.name), length(b.name)) - levenshtein(a.name, b.name)) / greatest(length(a.name), length(b.name)) END AS score FROM names a, names b")
+_PAIRS = """pairs AS (SELECT p_partkey, k, a, b FROM (SELECT p_partkey, lower(p_name) AS a, unnest([substr(lower(p_name), 1, 2) || substr(lower(p_name), 4), lower(p_type), string_split(lower(p_name), ' ')[2] || ' ' || string_split(lower(p_name), ' ')[1], lower(p_name) || ' ' || lower(p_type)]) AS b, unnest(range(4)) AS k FROM part))"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name beside a misread one, its type, its words in another order, and more words."""
+    name, kind = F.lower("p_name"), F.lower("p_type")
+    words = F.split(name, " ")
+    others = F.array(F.concat(F.substring(name, 1, 2), F.substring(name, 4, 2**31 - 1)), kind, F.concat(F.get(words, F.lit(1)), F.lit(" "), F.get(words, F.lit(0))), F.concat(name, F.lit(" "), kind))
+    return load(spark, sf_dir, "part").select("p_partkey", name.alias("a"), F.posexplode(others).alias("k", "b"))
+
+
+@query(f"WITH {_PAIRS} SELECT p_partkey, CAST(k AS INT) AS k, CASE WHEN a = b THEN 1.0 ELSE (greatest(length(a), length(b)) - levenshtein(a, b)) / greatest(length(a), length(b)) END AS score FROM pairs")
 def f21_lev_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F20, F21 between all distinct part names."""
-    names = _names(spark, sf_dir)
-    pairs = names.select(F.col("name").alias("a")).crossJoin(F.broadcast(names.select(F.col("name").alias("b"))))
-    return pairs.select("a", "b", similarity.levenshtein_similarity(F.col("a"), F.col("b")).alias("score"))
+    """F20, F21 between part names and what they may be read as."""
+    return _pairs(spark, sf_dir).select("p_partkey", "k", similarity.levenshtein_similarity(F.col("a"), F.col("b")).alias("score"))
 
 
 _WORD = "CASE WHEN {p} = {e} THEN 1.0 ELSE (greatest(length({p}), length({e})) - levenshtein({p}, {e})) / greatest(length({p}), length({e})) END"
@@ -189,13 +196,15 @@ SELECT a, b, sum(best) / max(greatest(na, nb)) AS score FROM (
   WHERE b = bb GROUP BY a, b, na, nb, i) GROUP BY a, b"""
 
 
-@query(f"WITH {_NAMES}, pairs AS (SELECT x.name AS a, y.name AS b, string_split(x.name, ' ') AS pa, string_split(y.name, ' ') AS pb FROM names x, names y) SELECT a, b, round(score, 6) AS score FROM ({_PAIR_SCORES})")
+@query(
+    f"""WITH {_PAIRS}, w AS (SELECT p_partkey, k, len(string_split(a, ' ')) AS na, len(string_split(b, ' ')) AS nb, unnest(string_split(a, ' ')) AS pw, unnest(range(len(string_split(a, ' ')))) AS i, string_split(b, ' ') AS bs FROM pairs),
+    e AS (SELECT p_partkey, k, na, nb, i, pw, unnest(bs) AS ew FROM w), m AS (SELECT p_partkey, k, na, nb, i, max({_WORD.format(p="pw", e="ew")}) AS best FROM e GROUP BY ALL)
+    SELECT p_partkey, CAST(k AS INT) AS k, round(sum(best) / max(greatest(na, nb)), 6) AS score FROM m GROUP BY p_partkey, k"""
+)
 def f22_token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F22 between all distinct part names."""
-    names = _names(spark, sf_dir)
-    pairs = names.select(F.col("name").alias("a")).crossJoin(F.broadcast(names.select(F.col("name").alias("b"))))
+    """F22 between part names and what they may be read as, whatever the order of words."""
     score = similarity.word_set_similarity(F.split("a", " "), F.split("b", " "))
-    return pairs.select("a", "b", F.round(score, 6).alias("score"))
+    return _pairs(spark, sf_dir).select("p_partkey", "k", F.round(score, 6).alias("score"))
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -530,3 +530,26 @@ def i12_rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules from blobs, short ones left out, near ones one."""
     blobs = boxes(spark, sf_dir).select("doc_id", F.lit("h").alias("axis"), "box_id", "x", "y", (20 + F.pmod("l_partkey", F.lit(60))).cast("int").alias("w"), F.lit(2).alias("h"))
     return grids.rule_lines(blobs).select("doc_id", "pos", "lo", "hi")
+
+
+def _inked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three boxes of ink for each supplier's page, of 160 x 100 pixels."""
+    k = F.col("s_suppkey")
+    shapes = F.array(*[F.struct((5 + k % 40 + 3 * i).cast("int").alias("x"), (5 + k % 9 + 30 * i).cast("int").alias("y"), (10 + k % 60 + 5 * i).cast("int").alias("w"), (4 + k % 15).cast("int").alias("h")) for i in range(3)])
+    return load(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.inline(shapes))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CAST(i AS BIGINT) AS box_id, CAST(5 + s_suppkey % 40 + 3 * i AS INT) AS x, CAST(5 + s_suppkey % 9 + 30 * i AS INT) AS y, CAST(10 + s_suppkey % 60 + 5 * i AS INT) AS w, CAST(4 + s_suppkey % 15 AS INT) AS h, NULL AS error FROM supplier, range(3) t(i)")
+def i12_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages drawn as PNG, read again, split into ink and paper, and boxed."""
+    from ..operators import pages
+
+    return pages.ink_boxes(pages.drawn(_inked(spark, sf_dir), 160, 100))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS doc_id, 230.0 AS paper, round(sum((10 + s_suppkey % 60 + 5 * i) * (4 + s_suppkey % 15)) / 16000, 9) AS ratio FROM supplier, range(3) t(i) GROUP BY s_suppkey")
+def a22_ink_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of the paper and the share of ink of drawn pages."""
+    from ..operators import pages
+
+    return pages.ink_ratios(pages.drawn(_inked(spark, sf_dir), 160, 100)).withColumn("ratio", F.round("ratio", 9))
