@@ -53,6 +53,8 @@ _BESIDE = set(
     "replies right row secondary section sections section site slot social space sticky stories story strip text the thread title to toggle "
     "top unit user view widget wrap wrapper zone".split()
 )
+#: Words of names of a page's own header; beside others a header may be an article's.
+_HEADERS = set("header site page top global bar inner left right wrap wrapper container area desktop mobile sticky fixed".split())
 _CONTENT = set("content main article post entry story articlebody maincontent postcontent entrycontent articlecontent postbody storybody".split())
 #: Which open elements a start tag ends, and beyond which elements it doesn't look for them.
 _CLOSES = {
@@ -63,14 +65,14 @@ _CLOSES = {name: (ends.split(), beyond.split()) for name, (ends, beyond) in _CLO
 _TABLE = set("table caption thead tbody tfoot tr td th".split())
 _CELLS = set("td th caption".split())
 
+_BODY, _MAIN, _ARTICLE = 0, 1, 2
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
 _BARE = re.compile(r"[^\s>]*")
 _CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
-_BODY, _MAIN, _ARTICLE = 0, 1, 2
-
 
 def _named(value: str) -> bool:
     """Whether a class list or id has a name that marks: all of a name's words have to fit, one of them has to mark."""
@@ -78,20 +80,29 @@ def _named(value: str) -> bool:
         words = [w.lower() for w in _PARTS.findall(token)]
         if any(w in _NAMES for w in words) and all(w in _NAMES or w in _BESIDE or w.isdigit() for w in words):
             return True
-        if token.lower() in _NAMES:
+        if token.lower() in _NAMES or "".join(words) in _NAMES:
             return True
     return False
 
 
-def _role(name: str, attributes: dict[str, str]) -> tuple[bool, int]:
-    """Whether an element is marked as no text, and what container it is."""
-    marked, container = name in _MARKED, _ARTICLE if name == "article" else _MAIN if name == "main" else _BODY
+def _heads(value: str) -> bool:
+    """Whether a class list or id has the name of a page's header."""
+    parts = [{w.lower() for w in _PARTS.findall(token)} for token in value.split()]
+    return any("header" in words and words <= _HEADERS for words in parts)
+
+
+def _role(name: str, attributes: dict[str, str], inside: int = _BODY) -> tuple[bool, int]:
+    """Whether an element is marked as no text, and what container it is; inside: the container that it stands in.
+
+    A header is the page's outside of an article, main or content element, else it belongs to the text.
+    """
+    marked, container = name in _MARKED or (name == "header" and inside == _BODY), _ARTICLE if name == "article" else _MAIN if name == "main" else _BODY
     for key, value in attributes.items():
         if key in ("class", "id"):
             if name in ("article", "main"):  # replies are marked up as articles too
                 marked = marked or bool({"comment", "comments"} & set(value.lower().split()))
             else:
-                marked = marked or _named(value)
+                marked = marked or _named(value) or (inside == _BODY and _heads(value))
             if name in ("div", "section", "td"):
                 tokens = value.lower().split()
                 words = set(re.split(r"[^a-z0-9]+", value.lower())) | {re.sub(r"[^a-z]", "", t) for t in tokens}
@@ -180,9 +191,7 @@ class _Page:
         if last > max(map(self._place, beyond), default=0):
             self._cut(min(p for p in map(self._place, ends) if p > max(map(self._place, beyond), default=0)))
         _, was_marked, container = self._stack[-1]
-        marked, own = _role(name, attributes)
-        if name == "header":
-            marked = marked or container == _BODY
+        marked, own = _role(name, attributes, container)
         if (marked and not was_marked) or own > container:
             self.flush()
         self._push(name, was_marked or marked, max(container, own))

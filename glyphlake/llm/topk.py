@@ -52,7 +52,7 @@ def _norms(q: np.ndarray) -> np.ndarray:
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as rows."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return flat.reshape(len(column), len(flat) // len(column)) if len(column) else np.zeros((0, 0))
 
 
 def _place(pivots: np.ndarray, longest: float) -> Callable:

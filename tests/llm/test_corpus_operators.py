@@ -123,13 +123,14 @@ def test_html_reader():
     assert kept('<div style="overflow:hidden">a</div>') == kept('<p title="The hidden valley">a</p>') == kept('<p data-id="menu">a</p>') == "a"
     assert kept('a<svg width="1"/>b') == "ab" and kept("<div><svg><text>no</text></div>b") == "b" and kept("<div><script>no</div>b") == "b"
     assert kept('<div class="notice-board-history">a</div><p id="share-prices">b</p>') == "a b"
-    for name in ("cookie-bar", "siteFooter", "ad-slot-3", "page__sidebar--left", "related-posts", "x comments", "notice"):
+    for name in ("cookie-bar", "siteFooter", "ad-slot-3", "page__sidebar--left", "related-posts", "x comments", "notice", "sideBar", "side-bar", "site-header", "header"):
         assert not kept(f'<div class="{name}">no</div>'), name
     assert kept("<p hidden>no</p><p hidden=''>no</p>a") == "a" and kept('<p data-hidden="x" aria-label="menu">a') == "a"
     assert kept("a < b &lt;i&gt; <3 <!-- x > y --> c") == "a < b <i> <3 c" and kept("a <!-- no") == "a" and kept("<p>a<br>b\n\tc<td>d") == "a b c d"
     assert kept('<a title="<nav>x">a</a> b') == "a b" and kept("<p title='a>b'>c") == "c" and kept('<p title="open>c</p>d') == "c d"
     assert kept("<article class='post'>a<article class='comment'>no</article></article>") == "a"
     assert kept("<nav><ul><li>no<li>no</ul></nav>a") == "a" and kept("<nav><table><tr><td></nav>no</table></nav>a") == "a" and kept("<i>a</div></b>b") == "ab"
+    assert kept("<main><div class='page-header'>a</div><header>b</header></main>") == "a b" and kept("<div class='article-header'>a</div><header>no</header>b") == "a b"
     assert read("<p>wo<b>r</b>d <i>a</i><span class='ad'>no</span>b</p>c") == [(False, "word a"), (True, "no"), (False, "b"), (False, "c")]
 
 
@@ -180,6 +181,8 @@ def test_topk(spark, monkeypatch, far):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).withColumn("cell", F.lit("clash"))
     assert sorted(tuple(r) for r in topk.search(frame, F.col("vec_id") % 20 == 0).collect()) == sorted(want)
     if not far:
+        empty = spark.createDataFrame([(i, []) for i in range(30)], "vec_id long, embedding array<float>")
+        assert {(r["query_id"], r["score"]) for r in topk.search(empty, F.col("vec_id") % 20 == 0).collect()} == {(0, 0), (20, 0)}
         assert topk.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
         assert topk.search(frame.where("vec_id in (0, 1)").dropDuplicates(["vec_id"]), F.col("vec_id") % 20 == 0).count() == 1
 
