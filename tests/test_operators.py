@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glyphlake.functions import numbers, text
 from glyphlake.operators import cells, cluster, forms, headers, lines, matching, parse, reconcile, spatial
 
 
@@ -193,3 +194,23 @@ def test_components_by_brute_force(spark):
         want |= {(d, i): c for i, c in root.items()}
     frame = spark.createDataFrame(rows, "doc_id long, box_id long, x int, y int, w int, h int")
     assert {(r["doc_id"], r["box_id"]): r["component"] for r in spatial.page_components(frame).collect()} == want
+
+
+def test_header_fields_in_one_pass(spark):
+    pick = random.Random(6)
+    parts = ["Invoice No: INV-2291", "رقم الفاتورة 00451", "Date 14/03/2026", "التاريخ ٢٠٢٦/٠٣/١٤", "01.02.2024", "Item Qty Price", "الصنف الكمية السعر", "Total 12.50", "subtotal 7", "الاجمالي ٣٥", "net", "vat 5", "tea 2 3", "plain", "grand total 3 9.75 x"]
+    rows = [(d, n, " ".join(pick.choice(parts) for _ in range(pick.randint(1, 2))), pick.choice([0.5, 0.9])) for d in range(80) for n in range(pick.randint(1, 18))]
+    page = spark.createDataFrame(rows, "doc_id long, line_no int, text string, confidence double")
+    page = page.withColumn("norm", text.normalize_text(F.col("text")))
+    found = F.filter(F.transform(F.split("text", " "), lambda w: numbers.strict(w, False)), lambda v: v.isNotNull())
+    want = {d: [None] * 6 for d in range(80)}
+    for r in lines.invoice_numbers(page).collect():
+        want[r["doc_id"]][0] = r["invoice_number"]
+    for r in lines.invoice_dates(page).collect():
+        want[r["doc_id"]][1:3] = [r["invoice_date"], r["confidence"]]
+    for r in lines.table_span(page).collect():
+        want[r["doc_id"]][3:5] = [r["start"], r["end"]]
+    for r in lines.grand_total(page.withColumn("numbers", found), F.col("numbers")).collect():
+        want[r["doc_id"]][5] = r["total"]
+    got = {r["doc_id"]: list(r)[1:] for r in lines.header_fields(page).collect()}
+    assert got == want and all(any(v[k] is not None for v in want.values()) for k in range(6))
