@@ -553,3 +553,14 @@ def a22_ink_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import pages
 
     return pages.ink_ratios(pages.drawn(_inked(spark, sf_dir), 160, 100)).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CAST(2 AS INT) AS step, CAST(4 AS BIGINT) AS snapshots FROM supplier")
+def w15_first_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of drawn pages before each of three steps and after them, and the first that is ink and paper alone."""
+    from ..operators import pages
+
+    steps = [("median", {"size": 3}), ("threshold", {}), ("morphology", {"how": "close"})]
+    shots = pages.preprocessed(pages.drawn(_inked(spark, sf_dir), 160, 100), steps, snapshots=True)
+    count = shots.groupBy("doc_id").agg(F.count(F.lit(1)).alias("snapshots"))
+    return pages.first_binary(shots).join(count, "doc_id")
