@@ -214,3 +214,16 @@ def test_header_fields_in_one_pass(spark):
         want[r["doc_id"]][5] = r["total"]
     got = {r["doc_id"]: list(r)[1:] for r in lines.header_fields(page).collect()}
     assert got == want and all(any(v[k] is not None for v in want.values()) for k in range(6))
+
+
+def test_missing_columns_without_a_join(spark):
+    pick = random.Random(16)
+    rows = [(pick.choice([1, 2, 3, None]), pick.choice([0, 1, 2, None]), pick.choice([-1, 0, 1, 2, 3, 4, None])) for _ in range(60)] + [(9, 0, c) for c in range(4)] + [(9, 1, 0), (9, 2, 3), (9, 2, 3)]
+    want = set()
+    for d, r in {x[:2] for x in rows}:
+        held = [c for *key, c in rows if key == [d, r]]
+        want |= {(d, r, c) for c in range(4) if len(held) >= 2 and (d is None or r is None or c not in held)}
+    found = spatial.missing_columns(spark.createDataFrame(rows, "doc_id long, row int, col int"), 4)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and found.columns == ["doc_id", "row", "col"]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a join broadcast all cells
