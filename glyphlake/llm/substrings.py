@@ -88,6 +88,7 @@ def _seeds(window: int, anchor: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("substrings")
         for batch in batches:
+            workers.release()
             ids, keys, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), []
             for s in slices(batch.column(2)):
                 a, c, at, n = anchors(s.hashes(), s.doc, window, anchor)
@@ -149,6 +150,7 @@ def _compare(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("substrings")
         for batch in batches:
+            workers.release()
             open_runs = batch.column(3)
             starts = open_runs.flatten().field("at").to_numpy(zero_copy_only=False).astype(np.int64)
             counts = open_runs.flatten().field("n").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -179,6 +181,7 @@ def _cut(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("substrings")
         for batch in batches:
+            workers.release()
             texts, found = batch.column(0), batch.column(1)
             flat, offsets = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
             starts = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -209,8 +212,8 @@ def _cut(window: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_chars: int = tables.BUCKET_CHARS) -> DataFrame:
-    """row (all columns of docs, whatever their names), n_words, n_removed and kept for each row of docs (doc_id, text, ...).
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_chars: int = tables.BUCKET_CHARS, carried: list[str] | None = None) -> DataFrame:
+    """row (the columns of docs in `carried`, or all, whatever their names), n_words, n_removed and kept for each row of docs (doc_id, text, ...).
 
     Words are runs of bytes other than space and U+0009-U+000D. A word is removed if it stands in a run of
     `window` words that also starts in a row with a smaller doc_id; what is left is joined by one space.
@@ -219,7 +222,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     whole; null and empty texts have no words; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    tables.bounded_batches(spark)
+    tables.bounded_bytes(spark)
     buckets = tables.buckets(docs, bucket_chars)
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")
@@ -242,7 +245,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # settled and compared are read by the result
     repeated = settled.where(F.col("kind") == _SETTLED).select("doc_id", "text_key", "at", "n").unionByName(later)
     by_text = repeated.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(as_runs)
-    whole = docs.select(tables.row_of(docs), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    columns = docs if carried is None else docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in carried])
+    whole = docs.select(tables.row_of(columns), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
     nothing = F.array().cast("array<struct<at:int,n:int>>")
     rows = whole.join(by_text, (F.col("id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("text", F.coalesce("runs", nothing).alias("runs"), "row")
     return rows.mapInArrow(_cut(window), StructType([rows.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))
@@ -250,12 +254,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row; rows as `remove_repeats` has them."""
-    cut = remove_repeats(docs.select("doc_id", "text"), window)
+    cut = remove_repeats(docs.select("doc_id", "text"), window, carried=["doc_id"])
     return cut.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def apply(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut out of text (null texts become empty), and n_chars, if any, counted anew."""
-    cut = remove_repeats(docs, window)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    cut = remove_repeats(docs, window, carried=[c for c in docs.columns if c not in new])  # the text itself goes once
     return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c.replace('`', '``')}`").alias(c) for c in docs.columns])

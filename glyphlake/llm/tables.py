@@ -64,6 +64,18 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Bytes of a batch, if no row alone is longer. Executor and worker each hold copies of it, outside the heap too.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_bytes(spark: SparkSession) -> None:
+    """`bounded_batches`, and no more than BATCH_BYTES a batch, however long the texts; lower settings stay."""
+    bounded_batches(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Characters of text whose shingles or anchors a bucket holds on average.
 BUCKET_CHARS = 6_000_000
 

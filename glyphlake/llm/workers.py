@@ -19,6 +19,11 @@ def enter(owner: str) -> None:
         _kept.clear()
         _owner[0] = owner
         gc.collect()
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back: else a worker keeps the most that any of its batches took."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -39,6 +39,26 @@ def test_substrings(docs, documents, monkeypatch, hot):
     assert substrings.digest(docs.limit(0)).count() == 0
 
 
+def largest_batch(spark):
+    """Bytes of the largest batch that a Python worker gets of 16 MB of long texts."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    return spark.range(0, 200, 1, 1).selectExpr("repeat('ab ', 27000)").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+
+def test_substrings_hold_texts_once(spark, docs, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows, whole = [], substrings.remove_repeats
+    monkeypatch.setattr(substrings, "remove_repeats", lambda *a, **b: rows.append(cut := whole(*a, **b)) or cut)
+    assert substrings.digest(docs).count() == substrings.apply(docs).count()
+    assert [r.schema["row"].dataType.names for r in rows] == [["doc_id"], ["doc_id", "lang", "source", "n", "words"]]
+    assert largest_batch(spark) < 5_000_000
+
+
 def shingles(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)
