@@ -27,10 +27,10 @@ CAPACITY = 2048
 END_ID = 1
 #: Documents in a group on average; a group is packed by one task.
 GROUP_DOCS = 4096
-#: Distinct words whose ids a Python worker keeps, about 50 bytes each.
-MEMO_WORDS = 1_500_000
-#: Distinct words without marks and capitals that are kept besides.
-MEMO_CORES = 200_000
+#: Distinct words whose ids a Python worker keeps, about 50 bytes each and twice that while the table grows.
+MEMO_WORDS = 500_000
+#: Distinct words without marks and capitals that are kept besides, as Python objects of some 200 bytes.
+MEMO_CORES = 60_000
 
 #: Words of letters that no Unicode normal form changes, perhaps with marks behind: one pre-token or two.
 _PLAIN = re.compile("([a-zA-ZßÀ-ÖØ-Þà-öø-ÿ]+)([.,!?%&*$#;:]*)").fullmatch
@@ -216,6 +216,7 @@ def _tokenise(path: str, capacity: int, end_id: int, groups: int) -> Callable:
         encoder, copies = workers.kept("packing", WordEncoder, path), Copies()
         task = np.uint64(TaskContext.get().partitionId())
         for batch in batches:
+            workers.release()
             docs = batch.column(0).to_pylist()
             whole = [ids + end for ids in encoder.encode(batch.column(1))]
             sizes = np.array([len(ids) // 4 for ids in whole], np.uint64)
@@ -279,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     empty text gives the end id alone; an empty table gives no rows; further columns are ignored. Returns
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset for each piece.
     """
-    tables.bounded_batches(docs.sparkSession)
+    tables.bounded_bytes(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(_tokenise(tokenizer, capacity, end_id, groups), _PIECES)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphlake.llm import bpe, counts, licenses, packing, quality
+from glyphlake.llm import bpe, counts, licenses, packing, quality, tables
 from glyphlake.llm.queries import vocabulary
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -126,6 +126,19 @@ def test_packing(docs, documents):
     assert packing.pack(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_memory(spark, docs):
+    table, rng = packing.IdTable(packing.MEMO_WORDS), np.random.default_rng(2)
+    for _ in range(12):
+        keys = np.unique(rng.integers(0, 2**63, 150_000).astype(np.uint64))
+        table.find(keys)
+        table.add(keys, [b"12345678"] * len(keys))
+        held = sum(a.nbytes for a in (table._keys, table._slots, table._seen, table.lengths, table.starts, table.pool))
+        assert held < 40_000_000
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    assert tables.BATCH_BYTES == 4 << 20 == int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+
+
 def test_token_trees():
     reference = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     reference.encode_special_tokens = True
