@@ -90,10 +90,56 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, h
 FROM d LEFT JOIN o USING (i)
 """
 
+INFILL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS toks, [CAST('0x' || substr(h, 8 * x + 1, 8) AS BIGINT) FOR x IN [0, 1, 2, 3]] AS hs FROM d),
+c AS (SELECT *, len(toks) AS n, least(hs[1] % (len(toks) + 1), hs[2] % (len(toks) + 1)) AS a, greatest(hs[1] % (len(toks) + 1), hs[2] % (len(toks) + 1)) AS b,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 90 AS plain FROM k),
+p AS (SELECT doc_id, t, n, CASE WHEN plain THEN 'plain' WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(toks[1:a], '') AS pre, array_to_string(toks[a + 1:b], '') AS mid, array_to_string(toks[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+AUDIT = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT i, count(*) AS n, count(DISTINCT word) AS k FROM (SELECT i, unnest({_words("t")}) AS word FROM d) GROUP BY i),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, [coalesce(n, 0) < 200, 100 * coalesce(k, 0) < 50 * coalesce(n, 0), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN w USING (i) LEFT JOIN l USING (doc_id)),
+c(x) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.x, b.x, c.x, e.x, g.x] AS o FROM c a, c b, c, c e, c g WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+s AS (SELECT o, x AS step FROM o, c),
+r AS (SELECT part, o, step, good, toxic, fails[o[step]] AS fails_it, len(list_filter(o[1:step - 1], lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda v: v)) = 1 AS alone FROM f, s),
+t AS (SELECT part, o, step, count(*) FILTER (NOT gone AND NOT fails_it) AS kept, count(*) FILTER (NOT gone AND fails_it) AS removed, count(*) FILTER (gone AND fails_it) AS redundant, count(*) FILTER (fails_it AND alone) AS unique_fails,
+    count(*) FILTER (NOT gone AND fails_it AND good) AS good_lost, count(*) FILTER (NOT gone AND fails_it AND toxic) AS toxic_lost FROM r GROUP BY part, o, step)
+SELECT part, array_to_string([substr('ABCDE', j, 1) FOR j IN o], '') AS filter_order, CAST(step AS INT) AS step, substr('ABCDE', o[step], 1) AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM t
+"""
+
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END))"
+_DRAWN = "(CAST(k AS UHUGEINT) * 2862933555777941757 + 1) % 18446744073709551616"
+SHARDS = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT i, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(t)), '..')] AS bytes FROM d),
+crc AS (SELECT i, len(bytes) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]))) AS crc FROM b, (SELECT {_CRC_TABLE} AS tab)),
+j AS (SELECT i, CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UHUGEINT) AS k, 0::BIGINT AS last, 0::BIGINT AS here, 0::BIGINT AS next FROM d
+  UNION ALL SELECT i, {_DRAWN}, CASE WHEN next < 16 THEN next ELSE last END, next, CAST(floor((next + 1) * (2147483648.0::DOUBLE / CAST({_DRAWN} // 8589934592 + 1 AS DOUBLE))) AS BIGINT) FROM j WHERE next <= 16),
+s AS (SELECT i, max(last) AS shard, max(here) AS grown_shard FROM j GROUP BY i),
+r AS (SELECT doc_id, n + 1 AS size, crc AS text_crc32, shard, grown_shard FROM d JOIN crc USING (i) JOIN s USING (i))
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard
+FROM r
+"""
+
 ORACLE = {
     "op3_substring_dedup": SUBSTRINGS,
     "op4_ngram_jaccard": JACCARD,
     "op7_exact_topk": TOPK,
     "op9_quality_rules": QUALITY,
     "op10_license_scans": LICENSES,
+    "op11_fill_in_middle": INFILL,
+    "op12_filter_audit": AUDIT,
+    "op13_sharding": SHARDS,
 }
