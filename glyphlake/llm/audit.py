@@ -1,7 +1,7 @@
 """Filter interaction audit (operator 12): what five filters do to a corpus in every order of applying them.
 
-A relational word pipeline: words are exploded, counted for each (row, word), then for each row, and joined to the
-flags that need no words. Each row then has a mask of the filters it fails. For each part, conditional counts over
+A relational word pipeline: words are exploded, counted for each (text, word), then for each text, and outer-joined to
+the flags that need no words. Each row then has a mask of the filters it fails. For each part, conditional counts over
 the 32 masks say all there is to know: every order's numbers are sums of them.
 """
 
@@ -24,13 +24,15 @@ _SYMBOLS = "[#$%&*|]"
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
-    """row, n_words and n_distinct of the rows (row, text) that have words.
+    """copy, n_words and n_distinct of each text that has words; rows: copy (a text's hash) and text.
 
-    Texts are dealt out by row once; both aggregates keep that partitioning, so words are never shuffled.
+    Each text counts once, however many rows have it. Texts are dealt out by copy; the two aggregates of
+    words keep that partitioning, so words are never shuffled.
     """
-    words = rows.repartition("row").select("row", F.explode(F.split("text", _SPACE)).alias("word")).where(F.col("word") != "")
-    per_word = words.groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
-    return per_word.groupBy("row").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"))
+    once = rows.groupBy("copy").agg(F.first("text").alias("text"))
+    words = once.select("copy", F.explode(F.split("text", _SPACE)).alias("word")).where(F.col("word") != "")
+    per_word = words.groupBy("copy", "word").agg(F.count(F.lit(1)).alias("n"))
+    return per_word.groupBy("copy").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 def failures(docs: DataFrame) -> DataFrame:
@@ -38,26 +40,24 @@ def failures(docs: DataFrame) -> DataFrame:
 
     A null text is empty. A row fails E if a row of smaller doc_id has the same text; rows of equal doc_id don't
     make each other fail, and a null doc_id is neither smaller nor larger than others. A null lang is the part "".
+    All but E and the part follow from the text alone, so texts are judged and rows look their text's verdict up.
     """
-    spark = docs.sparkSession
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    ).withColumn("copy", F.unhex(F.sha2("text", 256)))
     capitals = F.length("text") - F.length(F.translate("text", string.ascii_uppercase, ""))
-    flags = rows.select(
-        "row", "doc_id", "part", F.unhex(F.sha2("text", 256)).alias("copy"), (100 * capitals > 3 * F.length("text")).alias("c"), F.col("text").rlike(_SYMBOLS).alias("d")
-    )
+    told = lambda flag: F.max(flag.cast("int"))
+    flags = rows.groupBy("copy").agg(F.min("doc_id").alias("least"), told(100 * capitals > 3 * F.length("text")).alias("c"), told(F.col("text").rlike(_SYMBOLS)).alias("d"))
     n, k = F.coalesce("n_words", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
     bits = [n < 200, 100 * k < 50 * n, F.col("c"), F.col("d")]
-    mask = sum((b.cast("int") * (1 << i) for i, b in enumerate(bits)), F.lit(0))
-    alone = tables.written(spark, flags.join(word_totals(rows.select("row", "text")), "row", "left").select("doc_id", "part", "copy", mask.alias("alone")))
+    alone = sum((b.cast("int") * (1 << i) for i, b in enumerate(bits)), F.lit(0))
     # written, so that the join below has a plain exchange on either side and a hot text's rows can be split
-    least = tables.written(spark, alone.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1").drop("n"))
+    judged = tables.written(docs.sparkSession, flags.join(word_totals(rows.select("copy", "text")), "copy", "left").select("copy", "least", alone.alias("alone")))
     fails_e = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
-    return alone.join(least, "copy", "left").select("doc_id", "part", (F.col("alone") + fails_e.cast("int") * (1 << FILTERS.index("E"))).alias("mask"))
+    mask = F.col("alone") + fails_e.cast("int") * (1 << FILTERS.index("E"))
+    return rows.drop("text").join(judged, "copy").select("doc_id", "part", mask.alias("mask"))
 
 
 def _labelled(labels: DataFrame) -> DataFrame:

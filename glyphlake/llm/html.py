@@ -37,7 +37,7 @@ _BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-_MARKED = set("nav footer aside form menu dialog head search fieldset svg math object canvas video audio select button datalist".split()) | _RAW
+_MARKED = set("nav footer aside menu dialog head search fieldset svg object canvas video audio select button datalist".split()) | _RAW
 _MARKED_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what isn't an article, and words that may stand beside these.
 _NAMES = set(
@@ -55,6 +55,9 @@ _BESIDE = set(
 )
 #: Words of names of a page's own header; beside others a header may be an article's.
 _HEADERS = set("header site page top global bar inner left right wrap wrapper container area desktop mobile sticky fixed".split())
+#: What may be the name of a section of an article, too.
+_TOPICS = {"social"}
+_HIDDEN = re.compile(r"(^|;)\s*(display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _CONTENT = set("content main article post entry story articlebody maincontent postcontent entrycontent articlecontent postbody storybody".split())
 #: Which open elements a start tag ends, and beyond which elements it doesn't look for them.
 _CLOSES = {
@@ -66,6 +69,8 @@ _TABLE = set("table caption thead tbody tfoot tr td th".split())
 _CELLS = set("td th caption".split())
 
 _BODY, _MAIN, _ARTICLE = 0, 1, 2
+#: Marks: text; a form, which an article may stand in; what is never text.
+_TEXT, _FORM, _NEVER = 0, 1, 2
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
@@ -91,8 +96,8 @@ def _heads(value: str) -> bool:
     return any("header" in words and words <= _HEADERS for words in parts)
 
 
-def _role(name: str, attributes: dict[str, str], inside: int = _BODY) -> tuple[bool, int]:
-    """Whether an element is marked as no text, and what container it is; inside: the container that it stands in.
+def _role(name: str, attributes: dict[str, str], inside: int = _BODY) -> tuple[int, int]:
+    """An element's mark, and what container it is; inside: the container that it stands in.
 
     A header is the page's outside of an article, main or content element, else it belongs to the text.
     """
@@ -101,7 +106,7 @@ def _role(name: str, attributes: dict[str, str], inside: int = _BODY) -> tuple[b
         if key in ("class", "id"):
             if name in ("article", "main"):  # replies are marked up as articles too
                 marked = marked or bool({"comment", "comments"} & set(value.lower().split()))
-            else:
+            elif not (name == "section" and inside != _BODY and value.lower() in _TOPICS):
                 marked = marked or _named(value) or (inside == _BODY and _heads(value))
             if name in ("div", "section", "td"):
                 tokens = value.lower().split()
@@ -110,9 +115,11 @@ def _role(name: str, attributes: dict[str, str], inside: int = _BODY) -> tuple[b
         elif key == "role":
             marked = marked or value.lower() in _MARKED_ROLES
             container = max(container, {"article": _ARTICLE, "main": _MAIN}.get(value.lower(), _BODY))
-        elif key == "hidden":
+        elif key == "hidden" or (key == "style" and _HIDDEN.search(value)):
             marked = True
-    return marked and name not in ("html", "body"), container
+    if name in ("html", "body"):
+        return _TEXT, container
+    return _NEVER if marked else _FORM if name == "form" else _TEXT, container
 
 
 class _Page:
@@ -122,7 +129,8 @@ class _Page:
         self.page = page
         self.out: list[tuple[int, bool, str]] = []
         self._parts: list[str] = []
-        self._stack: list[tuple[str, bool, int]] = [("", False, _BODY)]
+        # name, mark, container, and whether it is dropped within its block of text, which then goes on after it
+        self._stack: list[tuple[str, int, int, bool]] = [("", _TEXT, _BODY, False)]
         self._places: dict[str, list[int]] = {}  # where elements of a name are on the stack
         self._blocks, self._cells = [0], [0]  # where blocks and table cells are
         self._last_quote = {q: page.rfind(q) for q in "\"'"}
@@ -135,24 +143,24 @@ class _Page:
             if "&" in text:
                 text = entities.unescape(text)
             if text := " ".join(text.split()):
-                _, marked, container = self._stack[-1]
-                self.out.append((container, marked, text))
+                _, mark, container, _ = self._stack[-1]
+                self.out.append((container, mark != _TEXT, text))
 
-    def _push(self, name: str, marked: bool, container: int) -> None:
+    def _push(self, name: str, mark: int, container: int, dropped: bool) -> None:
         at = len(self._stack)
         self._places.setdefault(name, []).append(at)
         if name in _BLOCKS:
             self._blocks.append(at)
         if name in _CELLS:
             self._cells.append(at)
-        self._stack.append((name, marked, container))
+        self._stack.append((name, mark, container, dropped))
 
     def _cut(self, at: int) -> None:
         """Ends the elements from a place on; a block of text ends with them if one is a block or has a role."""
-        if self._blocks[-1] >= at or self._stack[-1][1:] != self._stack[at - 1][1:]:
+        if not self._stack[at][3] and (self._blocks[-1] >= at or self._stack[-1][1:3] != self._stack[at - 1][1:3]):
             self.flush()
         while len(self._stack) > at:
-            name, _, _ = self._stack.pop()
+            name = self._stack.pop()[0]
             self._places[name].pop()
         for places in (self._blocks, self._cells):
             while places[-1] >= at and len(places) > 1:
@@ -182,6 +190,10 @@ class _Page:
             found.setdefault(m[1].lower(), value)
 
     def _open(self, name: str, attributes: dict[str, str]) -> None:
+        _, mark, container, dropped = self._stack[-1]
+        if dropped:  # what stands in it goes with it
+            self._push(name, mark, container, True)
+            return
         if name in _BLOCKS:
             self.flush()
             if self._place("p") > self._cells[-1]:
@@ -190,29 +202,45 @@ class _Page:
         last = max(map(self._place, ends), default=0)
         if last > max(map(self._place, beyond), default=0):
             self._cut(min(p for p in map(self._place, ends) if p > max(map(self._place, beyond), default=0)))
-        _, was_marked, container = self._stack[-1]
-        marked, own = _role(name, attributes, container)
-        if (marked and not was_marked) or own > container:
+        _, mark, container, _ = self._stack[-1]
+        own_mark, own = _role(name, attributes, container)
+        if own_mark == _NEVER and name not in _BLOCKS:
+            self._push(name, mark, container, True)
+            return
+        # a form around an article is no part of it
+        now = own_mark if mark == _FORM and container == _BODY and own > _BODY else max(mark, own_mark)
+        if now != mark or own > container:
             self.flush()
-        self._push(name, was_marked or marked, max(container, own))
+        self._push(name, now, max(container, own), False)
 
     def _close(self, name: str) -> None:
-        if name == "p":
+        dropped = self._stack[-1][3]
+        if name == "p" and not dropped:
             self.flush()
         at = self._place(name)
+        if dropped and at and self._stack[at][3]:
+            self._cut(at)
+            return
+        # an end tag of what stands around a dropped element ends it as well, if that is a block
+        if dropped and name not in _BLOCKS:
+            return
         # what isn't a block ends in its own block only, and what is no part of a table in its own cell only
         if at and at >= (self._cells[-1] if name in _BLOCKS else self._blocks[-1]) or at and name in _TABLE:
             self._cut(at)
 
+    def _say(self, text: str) -> None:
+        if not self._stack[-1][3]:
+            self._parts.append(text)
+
     def read(self) -> list[tuple[int, bool, str]]:
         page, at, size = self.page, 0, len(self.page)
         while at < size:
             start = page.find("<", at)
             if start < 0:
-                self._parts.append(page[at:])
+                self._say(page[at:])
                 break
             if start > at:
-                self._parts.append(page[at:start])
+                self._say(page[at:start])
             if page.startswith("<!--", start):
                 end = page.find("-->", start + 4)
                 at = size if end < 0 else end + 3
@@ -224,7 +252,7 @@ class _Page:
             closing = page.startswith("</", start)
             m = _NAME.match(page, start + 1 + closing)
             if not m:  # a sign, no tag
-                self._parts.append("<")
+                self._say("<")
                 at = start + 1
                 continue
             name = m[0].lower()
@@ -235,7 +263,7 @@ class _Page:
             if closing:
                 self._close(name)
             elif name == "br":
-                self._parts.append(" ")
+                self._say(" ")
             elif name in _VOID or (alone and name not in _BLOCKS and name not in _RAW):
                 if name in _BLOCKS:
                     self._open(name, {})
@@ -255,15 +283,27 @@ def blocks(page: str) -> list[tuple[int, bool, str]]:
     return _Page(page).read()
 
 
+def container_of(found: list[tuple[int, bool, str]]) -> int:
+    """The container whose unmarked blocks are a page's text, by amount: the innermost that has half of the text around it.
+
+    Articles that are teasers in a longer text, or one of its parts, don't stand for it. What stands outside
+    of articles, main and content elements never rules these out.
+    """
+    chars = [sum(len(t) for c, marked, t in found if c >= level and not marked) for level in (_BODY, _MAIN, _ARTICLE)]
+    if not chars[_MAIN]:
+        return _BODY
+    return _ARTICLE if 2 * chars[_ARTICLE] >= chars[_MAIN] else _MAIN
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text (null where the host's pages decide) and open blocks of pages (page_id, url, html, host, id)."""
     for batch in batches:
         texts, opens = [], []
         for page in batch.column(2).to_pylist():
             found = blocks(page or "")
-            best = max((c for c, marked, _ in found if not marked), default=_BODY)
+            best = container_of(found)
             unsure = not best and not all(marked for _, marked, _ in found)
-            texts.append(None if unsure else "\n".join(t for c, marked, t in found if c == best and not marked) if best else "")
+            texts.append(None if unsure else "\n".join(t for c, marked, t in found if c >= best and not marked) if best else "")
             # what the host's pages are compared on: everything outside the article
             opens.append([("" if marked or best else "?") + "\t" + t for c, marked, t in found if marked or c < best or not best])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], ["page_id", "url", "host", "id", "text", "open"])

@@ -431,8 +431,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: that of the smallest (doc_id, text_key), null ids last. Rows without shingles stay.
 
-    docs keeps its own columns, whatever their names; what repeats the chosen id and text is one row too, any
-    of these if they differ in further columns.
+    docs keeps its own columns, whatever their names; what repeats the chosen id and text is one row too, that
+    of the smallest hash if they differ in further columns.
     """
     rows = _classes_of(docs, shingle, percent)
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("of"))
@@ -441,5 +441,5 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     keyed = docs.select(tables.row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
     kept = keyed.join(chosen.unionByName(bare), F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     # repeated rows of the chosen id and text are one too
-    bare_rows, repeated = kept.where(~F.col("first")), kept.where("first").dropDuplicates(["id", "key"])
-    return bare_rows.unionByName(repeated).select("row.*")
+    repeated = kept.where("first").groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.where(~F.col("first")).select("row").unionByName(repeated.select("row")).select("row.*")

@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +220,9 @@ def _tokenise(path: str, capacity: int, end_id: int, groups: int) -> Callable:
             whole = [ids + end for ids in encoder.encode(batch.column(1))]
             sizes = np.array([len(ids) // 4 for ids in whole], np.uint64)
             sums = np.array([zlib.crc32(ids) for ids in whole], np.uint64)
-            key = mix(batch.column(0).fill_null(-1).to_numpy().view(np.uint64) + mix(sums * np.uint64(1 << 32) + sizes))
+            absent = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
+            key = mix(ids + mix(sums * np.uint64(1 << 32) + sizes) + mix(absent.astype(np.uint64)))
             group = mix(key + mix(copies.number(key).view(np.uint64) * np.uint64(1 << 32) + task)) % np.uint64(groups)
             out: list[tuple] = []
             for doc_id, ids, n, sum_, own in zip(docs, whole, sizes.tolist(), sums.tolist(), group.tolist(), strict=True):
@@ -262,13 +263,18 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def _pack(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True], ignore_index=True)
-        bins, offsets = first_fit_decreasing(pieces["length"].tolist(), capacity)
-        pieces["sequence_id"] = pieces["group"] * (1 << 32) + np.array(bins, np.int64)
-        pieces["offset"] = np.array(offsets, np.int64)
-        return pieces.drop(columns="group")
+def _pack(capacity: int) -> Callable[[pa.Table], pa.Table]:
+    """Sequences of a group's pieces; Arrow columns keep a long beside nulls, where a pandas frame would make it a double."""
+
+    def run(pieces: pa.Table) -> pa.Table:
+        ids = pieces["doc_id"].combine_chunks()
+        number = {c: pieces[c].to_numpy() for c in ("start", "length", "ids_crc32", "doc_tokens", "group")}
+        absent, known = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        order = np.lexsort((number["doc_tokens"], number["ids_crc32"], number["start"], known, absent, -number["length"]))
+        bins, offsets = first_fit_decreasing(number["length"][order].tolist(), capacity)
+        packed = pieces.take(pa.array(order)).drop_columns("group")
+        packed = packed.append_column("sequence_id", pa.array(number["group"][order] * (1 << 32) + np.array(bins, np.int64)))
+        return packed.append_column("offset", pa.array(offsets, pa.int64()))
 
     return run
 
@@ -285,4 +291,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(_tokenise(tokenizer, capacity, end_id, groups), _PIECES)
     schema = _PIECES.replace("group long", "sequence_id long, offset long")
-    return pieces.groupBy("group").applyInPandas(_pack(capacity), schema)
+    return pieces.groupBy("group").applyInArrow(_pack(capacity), schema)

@@ -151,7 +151,7 @@ def test_html_reader():
     assert kept("<article class='post'>a<article class='comment'>no</article></article>") == "a"
     assert kept("<nav><ul><li>no<li>no</ul></nav>a") == "a" and kept("<nav><table><tr><td></nav>no</table></nav>a") == "a" and kept("<i>a</div></b>b") == "ab"
     assert kept("<main><div class='page-header'>a</div><header>b</header></main>") == "a b" and kept("<div class='article-header'>a</div><header>no</header>b") == "a b"
-    assert read("<p>wo<b>r</b>d <i>a</i><span class='ad'>no</span>b</p>c") == [(False, "word a"), (True, "no"), (False, "b"), (False, "c")]
+    assert read("<p>wo<b>r</b>d <i>a</i><span class='ad'>no</span>b</p>c") == [(False, "word a b"), (False, "c")]
 
 
 def test_html_of_any_length(spark):
@@ -276,14 +276,14 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
 
 
-@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_ngram_jaccard", "op7_exact_topk", "op9_quality_rules", "op10_license_scans"])
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_ngram_jaccard", "op7_exact_topk", "op9_quality_rules", "op10_license_scans", "op11_fill_in_middle", "op12_filter_audit", "op13_sharding"])
 def test_against_sql(spark, name):
     import duckdb
 
     from glyphlake.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     found = con.execute(ORACLE[name])
