@@ -97,13 +97,6 @@ def test_catalog(spark):
     assert matching.top_matches(probes, names, "levenshtein").where("probe = ''").count() == 0
     with pytest.raises(KeyError):
         matching.top_matches(probes, names, "nothing")
-    matching_blocks = matching.BROADCAST_NAMES
-    try:
-        matching.BROADCAST_NAMES = 0
-        again = matching.top_matches(probes, names, "levenshtein").where("rank = 1 and score > 99").collect()
-        assert [r["entry_id"] for r in again] == [12]
-    finally:
-        matching.BROADCAST_NAMES = matching_blocks
 
 
 def test_header_lines(spark):
