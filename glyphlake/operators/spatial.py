@@ -1,4 +1,9 @@
-"""Joins of boxes on pages (J01-J03, J10-J16, A03, A04, A15, A17, I14). Every join has doc_id among its keys, so a page meets itself only."""
+"""Joins of boxes on pages (J01-J03, J10-J16, A03, A04, A15, A17, I14). Every join has doc_id among its keys, so a page meets itself only.
+
+A page's boxes are dealt into tiles, as many as its boxes call for (`meeting`), and meet within a tile: a page of few boxes
+is one tile, and on a crowded one a box meets its surroundings instead of the page. Tiles are keys beside
+doc_id, so tables that are dealt out by doc_id stay where they are.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,36 @@ IOA_WEIGHT, IOU_WEIGHT, DISTANCE_WEIGHT, LEAST_SCORE = 0.3, 0.7, 0.0, 0.25
 _XYWH = ("x", "y", "w", "h")
 
 
-def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
+#: Boxes in a tile, on average.
+PER_TILE = 32
+
+
+def _tiles(boxes: DataFrame, keys: tuple[str, ...], reach: float) -> DataFrame:
+    """keys, tile_w and tile_h of each page: about PER_TILE boxes a tile, and no tile smaller than two average boxes."""
+    per_side = F.sqrt(F.greatest(F.count(F.lit(1)) / PER_TILE, F.lit(1.0)))
+    side = lambda at, size: F.greatest((F.max(F.col(at) + F.col(size)) - F.min(at) + 2 * reach + 1) / per_side, 2 * F.avg(size) + 2 * reach + 1)
+    return boxes.groupBy(*keys).agg(side("x", "w").alias("tile_w"), side("y", "h").alias("tile_h"))
+
+
+def _dealt(boxes: DataFrame, tiles: DataFrame, keys: tuple[str, ...], prefix: str, reach: float) -> DataFrame:
+    """A row of each box for each tile that it meets when grown by reach: keys, tile_x, tile_y, tile_w, tile_h and the prefixed columns."""
+    reached = lambda at, size, tile: F.sequence(F.floor((F.col(at) - reach) / F.col(tile)).cast("int"), F.floor((F.col(at) + F.col(size) + reach) / F.col(tile)).cast("int"))
+    placed = boxes.join(tiles, list(keys)).withColumn("tile_x", F.explode(reached("x", "w", "tile_w"))).withColumn("tile_y", F.explode(reached("y", "h", "tile_h")))
+    own = [c for c in boxes.columns if c not in keys]
+    return placed.select(*keys, "tile_x", "tile_y", "tile_w", "tile_h", *[F.col(c).alias(prefix + c) for c in own])
+
+
+def meeting(left: DataFrame, right: DataFrame, reach: float = 0, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys and the columns (a_..., b_...) of pairs of boxes of a page that meet when both are grown by reach, and touch at least.
+
+    A pair that meets in several tiles is reported in that of its corner: the larger left and the larger top.
+    """
+    tiles = _tiles(right, keys, reach)
+    a = _dealt(left, tiles, keys, "a_", reach)
+    b = _dealt(right, tiles, keys, "b_", reach).drop("tile_w", "tile_h")
+    pairs = a.join(b, [*keys, "tile_x", "tile_y"])
+    corner = lambda at, tile: F.floor((F.greatest(f"a_{at}", f"b_{at}") - reach) / F.col(tile))
+    return pairs.where((F.col("tile_x") == corner("x", "tile_w")) & (F.col("tile_y") == corner("y", "tile_h"))).drop("tile_x", "tile_y", "tile_w", "tile_h")
 
 
 def identity_join(fragments: DataFrame, regions: DataFrame) -> DataFrame:
@@ -35,11 +68,11 @@ def best_region(fragments: DataFrame, regions: DataFrame, least: float = LEAST_S
     Only overlapping regions can score while the distance has no weight, so others aren't paired. Ties go
     to the smaller, then the earlier region.
     """
-    probes = _renamed(fragments.where(F.col("source_id").isNull()).select("doc_id", "frag_id", *_XYWH), "f_", ("doc_id", "frag_id"))
-    targets = _renamed(regions.select("doc_id", "region_id", "ord", *_XYWH), "r_", ("doc_id", "region_id", "ord"))
-    f, r = Box.of("f_"), Box.of("r_")
+    probes = fragments.where(F.col("source_id").isNull()).select("doc_id", "frag_id", *_XYWH)
+    targets = regions.select("doc_id", "region_id", "ord", *_XYWH)
+    f, r = Box.of("a_"), Box.of("b_")
     score = IOA_WEIGHT * ioa(f, r) + IOU_WEIGHT * iou(f, r) + DISTANCE_WEIGHT * closeness(f, r)
-    pairs = probes.join(targets, "doc_id").where(overlaps(f, r)).select("doc_id", "frag_id", "region_id", "ord", r.area.alias("area"), score.alias("score"))
+    pairs = meeting(probes, targets).where(overlaps(f, r)).select("doc_id", F.col("a_frag_id").alias("frag_id"), F.col("b_region_id").alias("region_id"), F.col("b_ord").alias("ord"), r.area.alias("area"), score.alias("score"))
     best = Window.partitionBy("doc_id", "frag_id").orderBy(F.desc("score"), "area", "ord")
     return pairs.where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("doc_id", "frag_id", "region_id", "score")
 
@@ -65,23 +98,25 @@ def assemble(fragments: DataFrame, regions: DataFrame) -> DataFrame:
 
 def innermost(boxes: DataFrame) -> DataFrame:
     """Boxes that contain no other box of their page; equal boxes drop each other."""
-    other = _renamed(boxes.select("doc_id", "box_id", *_XYWH), "o_")
-    a, b = Box(*(boxes[c] for c in _XYWH)), Box.of("o_")
-    return boxes.join(other, (boxes["doc_id"] == other["doc_id"]) & (boxes["box_id"] != other["o_box_id"]) & contains(a, b), "left_anti")
+    own = boxes.select("doc_id", "box_id", *_XYWH)
+    outer = meeting(own, own).where((F.col("a_box_id") != F.col("b_box_id")) & contains(Box.of("a_"), Box.of("b_")))
+    return boxes.join(outer.select("doc_id", F.col("a_box_id").alias("box_id")), ["doc_id", "box_id"], "left_anti").select(*boxes.columns)
 
 
 def crossing_lines(lines: DataFrame, tolerance: int = 3) -> DataFrame:
     """Horizontal lines (doc_id, line_id, axis h or v, x, y, w, h) that meet a vertical one and the reverse, both of the unfiltered input."""
-    other = _renamed(lines.select("doc_id", "axis", *_XYWH), "o_")
-    a, b = Box(*(lines[c] for c in _XYWH)), Box.of("o_")
+    a, b = Box.of("a_"), Box.of("b_")
     meets = (a.x - tolerance <= b.x2) & (b.x <= a.x2 + tolerance) & (a.y - tolerance <= b.y2) & (b.y <= a.y2 + tolerance)
-    return lines.join(other, (lines["doc_id"] == other["doc_id"]) & (lines["axis"] != other["o_axis"]) & meets, "left_semi")
+    own = lines.select("doc_id", "line_id", "axis", *_XYWH)
+    met = meeting(own, own, tolerance / 2).where((F.col("a_axis") != F.col("b_axis")) & meets)
+    return lines.join(met.select("doc_id", F.col("a_line_id").alias("line_id"), F.col("a_axis").alias("axis")), ["doc_id", "line_id", "axis"], "left_semi").select(*lines.columns)
 
 
 def overlap_edges(boxes: DataFrame, margin: int = 1) -> DataFrame:
-    """Pairs of boxes of a page that overlap when grown by margin, the smaller id first."""
-    left, right = _renamed(boxes.select("doc_id", "box_id", *_XYWH), "a_"), _renamed(boxes.select("doc_id", "box_id", *_XYWH), "b_")
-    return left.join(right, "doc_id").where((F.col("a_box_id") < F.col("b_box_id")) & overlaps(Box.of("a_"), Box.of("b_"), margin)).select("doc_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
+    """Pairs of boxes of a page that overlap when both are grown by margin, the smaller id first."""
+    own = boxes.select("doc_id", "box_id", *_XYWH)
+    met = meeting(own, own, margin).where((F.col("a_box_id") < F.col("b_box_id")) & overlaps(Box.of("a_"), Box.of("b_"), margin))
+    return met.select("doc_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
 
 
 def _label_pages(margin: int):
@@ -92,14 +127,15 @@ def _label_pages(margin: int):
         page, x, y, w, h = page[order], x[order], y[order], w[order], h[order]
         n, left, right = len(page), [], []
         alive, step = np.arange(n), 1
-        stop = x + w + margin  # boxes that start there or later don't overlap
+        both = 2 * margin  # both boxes grow
+        stop = x + w + both  # boxes that start there or later don't overlap
         while len(alive):
             other = alive + step
             near = other < n
             alive, other = alive[near], other[near]
             ahead = (page[other] == page[alive]) & (x[other] < stop[alive])
             alive, other = alive[ahead], other[ahead]
-            meets = (y[other] - margin < y[alive] + h[alive]) & (y[alive] < y[other] + h[other] + margin) & (x[alive] - margin < x[other] + w[other])
+            meets = (y[other] < y[alive] + h[alive] + both) & (y[alive] < y[other] + h[other] + both) & (x[alive] < x[other] + w[other] + both)
             left.append(alive[meets])
             right.append(other[meets])
             step += 1
@@ -143,16 +179,18 @@ def page_components(boxes: DataFrame, margin: int = 1) -> DataFrame:
 
 def stacked_overlap(blobs: DataFrame, share: float = 0.5) -> DataFrame:
     """Blobs (doc_id, cluster, box_id, x, w) whose width overlaps another one of their cluster by a share of the shorter or more."""
-    other = blobs.select(F.col("doc_id").alias("o_doc"), F.col("cluster").alias("o_cluster"), F.col("box_id").alias("o_id"), F.col("x").alias("o_x"), F.col("w").alias("o_w"))
-    both = F.least(F.col("x") + F.col("w"), F.col("o_x") + F.col("o_w")) - F.greatest("x", "o_x")
-    same = (F.col("doc_id") == F.col("o_doc")) & (F.col("cluster") == F.col("o_cluster")) & (F.col("box_id") != F.col("o_id"))
-    return blobs.join(other, same & (both >= share * F.least("w", "o_w")), "left_semi")
+    keys = ("doc_id", "cluster")
+    flat = blobs.select(*keys, "box_id", "x", "w", F.lit(0).alias("y"), F.lit(0).alias("h"))
+    a, b = Box.of("a_"), Box.of("b_")
+    both = F.least(a.x2, b.x2) - F.greatest(a.x, b.x)
+    met = meeting(flat, flat, keys=keys).where((F.col("a_box_id") != F.col("b_box_id")) & (both >= share * F.least(a.w, b.w)))
+    return blobs.join(met.select(*keys, F.col("a_box_id").alias("box_id")), [*keys, "box_id"], "left_semi").select(*blobs.columns)
 
 
 def crossing_rules(blobs: DataFrame, rules: DataFrame) -> DataFrame:
     """Blobs (doc_id, box_id, x, y, w, h) that a vertical rule (doc_id, x, y, w, h) of their page crosses."""
-    lines = _renamed(rules.select("doc_id", *_XYWH), "r_").withColumnRenamed("doc_id", "r_doc")
-    return blobs.join(lines, (F.col("doc_id") == F.col("r_doc")) & overlaps(Box.of(), Box.of("r_")), "left_semi")
+    met = meeting(blobs.select("doc_id", "box_id", *_XYWH), rules.select("doc_id", *_XYWH)).where(overlaps(Box.of("a_"), Box.of("b_")))
+    return blobs.join(met.select("doc_id", F.col("a_box_id").alias("box_id")), ["doc_id", "box_id"], "left_semi").select(*blobs.columns)
 
 
 def largest_component(components: DataFrame) -> DataFrame:

@@ -367,7 +367,7 @@ def j11_crossing_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_NESTED}, edges AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b FROM nested a JOIN nested b ON a.doc_id = b.doc_id AND a.x - 1 < b.x + b.w AND b.x < a.x + a.w + 1 AND a.y - 1 < b.y + b.h AND b.y < a.y + a.h + 1),
+    f"""WITH RECURSIVE {_NESTED}, edges AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b FROM nested a JOIN nested b ON a.doc_id = b.doc_id AND a.x - 1 < b.x + b.w + 1 AND b.x - 1 < a.x + a.w + 1 AND a.y - 1 < b.y + b.h + 1 AND b.y - 1 < a.y + a.h + 1),
     reach AS (SELECT DISTINCT doc_id, a, b FROM edges UNION SELECT r.doc_id, r.a, e.b FROM reach r JOIN edges e ON r.doc_id = e.doc_id AND r.b = e.a),
     labels AS (SELECT doc_id, a AS box_id, min(b) AS component FROM reach GROUP BY doc_id, a),
     sizes AS (SELECT doc_id, component, count(*) AS n FROM labels GROUP BY doc_id, component)

@@ -119,10 +119,10 @@ def s11_crop_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_NESTED}, n AS (SELECT * FROM nested), bands AS (SELECT *, unnest(range(CAST((y - 1) // 60 AS INT), CAST((y + h + 1) // 60 AS INT) + 1)) AS band FROM n)
     SELECT DISTINCT a.doc_id, a.box_id AS a, b.box_id AS b FROM bands a JOIN bands b ON a.doc_id = b.doc_id AND a.band = b.band
-    WHERE a.box_id < b.box_id AND a.x - 1 < b.x + b.w AND b.x < a.x + a.w + 1 AND a.y - 1 < b.y + b.h AND b.y < a.y + a.h + 1"""
+    WHERE a.box_id < b.box_id AND a.x - 1 < b.x + b.w + 1 AND b.x - 1 < a.x + a.w + 1 AND a.y - 1 < b.y + b.h + 1 AND b.y - 1 < a.y + a.h + 1"""
 )
 def j12_overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of boxes that overlap when grown by a pixel."""
+    """Pairs of boxes that overlap when both are grown by a pixel."""
     return spatial.overlap_edges(_nested(spark, sf_dir))
 
 

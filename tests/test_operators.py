@@ -182,7 +182,7 @@ def test_components_by_brute_force(spark):
         for _ in page:
             for a in page:
                 for b in page:
-                    if a[2] - 1 < b[2] + b[4] and b[2] < a[2] + a[4] + 1 and a[3] - 1 < b[3] + b[5] and b[3] < a[3] + a[5] + 1 and root[a[1]] != root[b[1]]:
+                    if a[2] - 1 < b[2] + b[4] + 1 and b[2] - 1 < a[2] + a[4] + 1 and a[3] - 1 < b[3] + b[5] + 1 and b[3] - 1 < a[3] + a[5] + 1 and root[a[1]] != root[b[1]]:
                         root[a[1]] = root[b[1]] = min(root[a[1]], root[b[1]])
         want |= {(d, i): c for i, c in root.items()}
     frame = spark.createDataFrame(rows, "doc_id long, box_id long, x int, y int, w int, h int")
