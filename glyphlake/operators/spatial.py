@@ -83,9 +83,10 @@ def assemble(fragments: DataFrame, regions: DataFrame) -> DataFrame:
     doc_id, element_id, kind (region, free), ord, n_fragments and text (the merged text of A07).
     """
     read = fragments.where(~blank(F.col("text")))
-    named = identity_join(read, regions)
-    placed = named.unionByName(best_region(read, regions).select("doc_id", "frag_id", "region_id"))
-    whole = read.join(placed, ["doc_id", "frag_id"], "left")
+    ids = regions.select("doc_id", F.col("region_id").alias("source_id"), F.col("region_id").alias("_named"))
+    best = best_region(read, regions).select("doc_id", "frag_id", F.col("region_id").alias("_best"))
+    # a fragment with a source_id has no best region, so one of both at most is there
+    whole = read.join(ids, ["doc_id", "source_id"], "left").join(best, ["doc_id", "frag_id"], "left").withColumn("region_id", F.coalesce("_named", "_best")).drop("_named", "_best")
     held = merged_texts(whole.where(F.col("region_id").isNotNull()), "doc_id", "region_id")
     filled = regions.select("doc_id", "region_id", "ord").join(held, ["doc_id", "region_id"], "left")
     kept = filled.select("doc_id", F.col("region_id").alias("element_id"), F.lit("region").alias("kind"), "ord", F.coalesce("n", F.lit(0)).cast("long").alias("n_fragments"), F.coalesce("text", F.lit("")).alias("text"))

@@ -401,7 +401,7 @@ def w01_mean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a page by the running mean of the last line."""
     rows = boxes(spark, sf_dir).withColumn("cy", F.col("y") + F.col("h") / 2)
     height = F.median("h")
-    lines = cluster.mean_clusters(rows, ["doc_id"], "cy", "box_id", F.when(height > 0, 0.6 * height).otherwise(10.0))
+    lines = cluster.mean_clusters(rows, ["doc_id"], "cy", "box_id", F.when(height > 0, 0.6 * height).otherwise(6.0))
     return lines.select("doc_id", F.col("id").alias("box_id"), "cluster")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,31 @@ def written(df: DataFrame) -> DataFrame:
     name = spark._jvm.org.apache.hadoop.fs.Path(path)
     name.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(name)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+    """df written in buckets by keys and read again: joins, groups and windows that begin with keys don't move its rows any more.
+
+    dealt: its rows come from such tables and still lie by keys, so they are written where they are. The files go when
+    the driver ends; the table's name stays in the session's catalog until `DROP TABLE`.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"glyphlake_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}"
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.table(name)
+
+
+@contextlib.contextmanager
+def kept_in_place(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, tables that lie by their first key are also joined on further keys where they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
