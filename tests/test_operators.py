@@ -156,9 +156,17 @@ def test_merged_texts(spark):
 
 def test_zipped(spark):
     row = spark.range(1)
-    assert row.select(cells.zipped(F.array(F.lit(1), F.lit(2)), F.array(F.lit("a"), F.lit("b")))).first()[0][1] == (2, "b")
-    with pytest.raises(Exception, match="as many texts"):
-        row.select(cells.zipped(F.array(F.lit(1)), F.array(F.lit("a"), F.lit("b")))).collect()
+    read = lambda crops, texts: row.select(cells.zipped(crops, texts).alias("z")).select("z.*").first()
+    two = F.array(F.lit("a"), F.lit("b"))
+    assert read(F.array(F.lit(1), F.lit(2)), two) == ([(1, "a"), (2, "b")], None)
+    assert read(F.array(F.lit(1)), two) == (None, "2 texts for 1 crops")
+    assert read(F.lit(None).cast("array<int>"), two) == (None, "2 texts for 0 crops")
+
+
+def test_crop_window(spark):
+    boxes = spark.createDataFrame([(1, 5, 50, 40, 20, 500, 400, 0.5), (2, 495, 50, 40, 20, 500, 400, 0.1), (3, 496, 396, 40, 20, 500, 400, 0.5), (4, 515, 50, 40, 20, 500, 400, 0.5)], "box_id int, x int, y int, w int, h int, page_w int, page_h int, ratio double")
+    assert [tuple(r) for r in cells.crop_window(boxes).select("box_id", "x", "y", "w", "h").orderBy("box_id").collect()] == [(1, 0, 40, 55, 40), (2, 485, 40, 15, 40), (3, 486, 386, 14, 14)]
+    assert [r["box_id"] for r in cells.crop_window(boxes, least_ink=0.2).orderBy("box_id").collect()] == [1, 3]
 
 
 def test_refined(spark):
