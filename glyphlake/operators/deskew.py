@@ -57,10 +57,9 @@ def tilts(runs: DataFrame, pages: DataFrame, most: float = MOST_ANGLE, least: fl
     return joined.withColumn("skipped", F.when(F.col("n") == 0, "no_lines").when(size > most, "too_large").when(size < least, "level"))
 
 
-def turned(matrix: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """the box around what a 2x3 matrix makes of a box: x, y, w, h in whole pixels."""
-    whole = F.concat(matrix, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    points = F.array(*[apply_matrix(whole, a, b) for a in (x, x + w) for b in (y, y + h)])
+def mapped(matrix: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """the box around what a homography makes of a box: x, y, w, h in whole pixels."""
+    points = F.array(*[apply_matrix(matrix, a, b) for a in (x, x + w) for b in (y, y + h)])
     edge = lambda pick, c: pick(F.transform(points, lambda p: p[c]))
     left, top = F.floor(edge(F.array_min, "x") + 1e-9).cast("int"), F.floor(edge(F.array_min, "y") + 1e-9).cast("int")
     right, bottom = F.ceil(edge(F.array_max, "x") - 1e-9).cast("int"), F.ceil(edge(F.array_max, "y") - 1e-9).cast("int")
@@ -70,5 +69,6 @@ def turned(matrix: Column, x: Column, y: Column, w: Column, h: Column) -> Column
 def levelled(boxes: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
     """boxes (doc_id, x, y, w, h, ...) of pages (doc_id, page_w, page_h) where they are once the page is turned by its tilt (F55); skipped pages stay."""
     canvas = found.where("skipped is null").join(pages, "doc_id").select("doc_id", rotated_canvas(F.col("page_w"), F.col("page_h"), F.col("angle")).alias("canvas"))
-    moved = boxes.join(canvas, "doc_id", "left").withColumn("to", F.when(F.col("canvas").isNotNull(), turned(F.col("canvas.matrix"), *(F.col(c) for c in "xywh"))))
+    whole = F.concat("canvas.matrix", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    moved = boxes.join(canvas, "doc_id", "left").withColumn("to", F.when(F.col("canvas").isNotNull(), mapped(whole, *(F.col(c) for c in "xywh"))))
     return moved.select(*[F.coalesce(F.col(f"to.{c}"), F.col(c)).alias(c) if c in set("xywh") else F.col(c) for c in boxes.columns])
