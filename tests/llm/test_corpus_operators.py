@@ -151,7 +151,7 @@ def test_html_reader():
     assert kept("<article class='post'>a<article class='comment'>no</article></article>") == "a"
     assert kept("<nav><ul><li>no<li>no</ul></nav>a") == "a" and kept("<nav><table><tr><td></nav>no</table></nav>a") == "a" and kept("<i>a</div></b>b") == "ab"
     assert kept("<main><div class='page-header'>a</div><header>b</header></main>") == "a b" and kept("<div class='article-header'>a</div><header>no</header>b") == "a b"
-    assert read("<p>wo<b>r</b>d <i>a</i><span class='ad'>no</span>b</p>c") == [(False, "word a b"), (False, "c")]
+    assert read("<p>wo<b>r</b>d <i>a</i><span class='ad'>no</span>b</p>c") == [(False, "word ab"), (False, "c")]
 
 
 def test_html_of_any_length(spark):
