@@ -33,3 +33,16 @@ def test_levelled(spark):
     assert (got[1]["w"], got[1]["h"]) == (math.ceil(max(p[0] for p in points)) - left, math.ceil(max(p[1] for p in points)) - top)
     assert tuple(got[2]) == (2, 8, 1, 2, 3, 4)
     assert deskew.levelled(boxes, found, pages).where(F.col("box_id").isNull()).count() == 0
+
+
+def test_level_rules_beside_writing(spark):
+    # a long run is gathered at its own degree alone, so short runs of writing near it don't turn the page; failed before
+    pages = spark.createDataFrame([(i, 0.0, False) for i in (152, 274, 823)], "doc_id long, a double, bare boolean")
+    assert [r["skipped"] for r in deskew.tilts(tilted_runs(pages), pages).collect()] == ["level"] * 3
+
+
+def test_votes_stay_in_their_task(spark):
+    # 182 rows for each run went into a shuffle before
+    pages = spark.createDataFrame([(1, 3.0, False)], "doc_id long, a double, bare boolean")
+    plan = deskew.segments(tilted_runs(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert "-45" not in plan and "MapInArrow" in plan
