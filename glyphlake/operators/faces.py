@@ -28,20 +28,20 @@ def free_intervals(ink: DataFrame, pages: DataFrame) -> DataFrame:
     """
     edges = ink.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.col("y"), F.col("y") + F.col("h")))))).alias("ys"))
     at = lambda edge: F.array_position("ys", edge).cast("int") - 1
-    held = ink.join(edges, "doc_id").where("w > 0 and h > 0").withColumn("slab", F.explode(F.sequence(at(F.col("y")), at(F.col("y") + F.col("h")) - 1)))
+    held = ink.join(edges.hint("merge"), "doc_id").where("w > 0 and h > 0").withColumn("slab", F.explode(F.sequence(at(F.col("y")), at(F.col("y") + F.col("h")) - 1)))
     covered = held.select("doc_id", "slab", F.col("x").alias("lo"), (F.col("x") + F.col("w")).alias("hi"))
-    slabs = edges.join(pages, "doc_id").select("doc_id", "ys", "page_w", "page_h", F.explode(F.sequence(F.lit(-1), F.size("ys") - 1)).alias("slab"))
+    slabs = edges.join(pages.hint("merge"), "doc_id").select("doc_id", "ys", "page_w", "page_h", F.explode(F.sequence(F.lit(-1), F.size("ys") - 1)).alias("slab"))
     top = F.when(F.col("slab") < 0, F.least(F.lit(-1), F.get("ys", F.lit(0)) - 1)).otherwise(F.get("ys", F.col("slab")))
     bottom = F.when(F.col("slab") < F.size("ys") - 1, F.get("ys", F.col("slab") + 1)).otherwise(F.greatest(F.col("page_h"), F.get("ys", F.col("slab"))) + 1)
     slabs = slabs.withColumns({"top": top, "bottom": bottom}).drop("ys")
     # ink beyond the page's sides covers them; what is outside goes around it
     sides = slabs.select("doc_id", "slab", F.explode(F.array(F.struct(F.lit(-(2**30)).alias("lo"), F.lit(-1).alias("hi")), F.struct((F.col("page_w") + 1).alias("lo"), F.lit(2**30).alias("hi")))).alias("s")).select("doc_id", "slab", "s.lo", "s.hi")
-    inside = covered.select("doc_id", "slab", F.greatest("lo", F.lit(0)).alias("lo"), "hi").join(pages, "doc_id").select("doc_id", "slab", "lo", F.least("hi", "page_w").alias("hi")).where("lo < hi")
+    inside = covered.select("doc_id", "slab", F.greatest("lo", F.lit(0)).alias("lo"), "hi").join(pages.hint("merge"), "doc_id").select("doc_id", "slab", "lo", F.least("hi", "page_w").alias("hi")).where("lo < hi")
     order = Window.partitionBy("doc_id", "slab").orderBy("lo", "hi")
     reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gaps = inside.unionByName(sides).withColumn("from", reached).where(F.col("lo") > F.col("from"))
     number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("slab", "from")) - 1).cast("bigint")
-    found = gaps.join(slabs, ["doc_id", "slab"]).withColumn("box_id", number)
+    found = gaps.join(slabs.hint("merge"), ["doc_id", "slab"]).withColumn("box_id", number)
     return found.select("doc_id", "box_id", F.col("from").alias("x"), F.col("top").alias("y"), (F.col("lo") - F.col("from")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"))
 
 
@@ -50,7 +50,7 @@ def faces(ink: DataFrame, pages: DataFrame) -> DataFrame:
     free = free_intervals(ink, pages)
     # a pixel longer, so that an interval overlaps those of the next slab, and of no other
     regions = page_components(free.withColumn("h", F.col("h") + 1), 0)
-    closed = free.join(regions.where("component > 0"), ["doc_id", "box_id"])
+    closed = free.join(regions.where("component > 0").hint("merge"), ["doc_id", "box_id"])
     boxes = hull(closed, "doc_id", "component")
     return boxes.select("doc_id", *[(F.col(c) + d).cast("int").alias(c) for c, d in (("x", -1), ("y", -1), ("w", 2), ("h", 2))])
 
@@ -60,7 +60,7 @@ def outlines(ink: DataFrame) -> DataFrame:
     number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("y", "x", "w", "h")) - 1).cast("bigint")
     numbered = ink.select("doc_id", "x", "y", "w", "h", number.alias("box_id"))
     # grown by half a pixel each, boxes without a gap overlap
-    groups = numbered.join(page_components(numbered, 0.5), ["doc_id", "box_id"])
+    groups = numbered.join(page_components(numbered, 0.5).hint("merge"), ["doc_id", "box_id"])
     return hull(groups, "doc_id", "component").select("doc_id", *[F.col(c).cast("int").alias(c) for c in "xywh"])
 
 
@@ -70,7 +70,7 @@ def contour_cells(ink: DataFrame, pages: DataFrame, tolerance: int = SAME) -> Da
     Faces and outlines that can be cells (P11), without those around others (J10), once each (A17); rows by
     the running mean of their middles (W01), columns from left to right.
     """
-    closed = faces(ink, pages).unionByName(outlines(ink)).join(pages, "doc_id")
+    closed = faces(ink, pages).unionByName(outlines(ink)).join(pages.hint("merge"), "doc_id")
     fit = closed.where(is_cell(F.col("w"), F.col("h"), F.col("page_w"), F.col("page_h")))
     number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("y", "x", "w", "h")) - 1).cast("bigint")
     cells = quantised_distinct(innermost(fit.select("doc_id", number.alias("box_id"), "x", "y", "w", "h")), tolerance)
@@ -84,4 +84,4 @@ def table_bounds(cells: DataFrame, proximity: int = PROXIMITY) -> DataFrame:
     """doc_id, x, y, w, h around the largest group of cells (doc_id, box_id, x, y, w, h) that lie near each other."""
     groups = page_components(cells, proximity)
     table = largest_component(groups).select("doc_id", "component")
-    return hull(cells.join(groups.join(table, ["doc_id", "component"]), ["doc_id", "box_id"]), "doc_id")
+    return hull(cells.join(groups.join(table.hint("merge"), ["doc_id", "component"]).hint("merge"), ["doc_id", "box_id"]), "doc_id")
