@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import gap_clusters
-from .spatial import crossing_lines, crossing_rules, stacked_overlap
+from .spatial import crossing_lines, with_crossed, with_stacked
 
 MIN_LENGTH, FLATTEN_GAP, MERGE_GAP, STACK_GAP = 40, 10, 15, 25
 SIMILAR, STACKED, CROSSING, BAND = 0.35, 2, 4, 3
@@ -21,16 +21,15 @@ def without_stacked_text(blobs: DataFrame, rules: DataFrame) -> DataFrame:
     that a rule crosses.
     """
     middle = blobs.withColumn("_cy", F.col("y") + F.col("h") / 2)
-    clusters = gap_clusters(middle, ["doc_id"], "_cy", "box_id", F.lit(STACK_GAP))
+    clusters = gap_clusters(middle, ["doc_id"], "_cy", "box_id", F.lit(STACK_GAP)).drop("_cy")
     own = Window.partitionBy("doc_id", "cluster")
-    sized = clusters.withColumn("_median", F.median("w").over(own))
-    alike = sized.where(F.abs(F.col("w") - F.col("_median")) / F.greatest(F.col("_median"), F.lit(1)) <= SIMILAR).select("doc_id", "cluster", "box_id")
-    stacked = stacked_overlap(clusters.select("doc_id", "cluster", "box_id", "x", "w")).select("doc_id", "cluster", "box_id")
-    writing = alike.join(stacked, ["doc_id", "cluster", "box_id"]).groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= STACKED)
-    band = blobs.select("doc_id", "box_id", "x", (F.floor(F.col("y") + F.col("h") / 2) - CROSSING).alias("y"), "w", F.lit(2 * CROSSING + 1).alias("h"))
-    crossed = crossing_rules(band, rules).select("doc_id", "box_id", F.lit(True).alias("_crossed"))
-    judged = clusters.join(writing, ["doc_id", "cluster"], "left").join(crossed, ["doc_id", "box_id"], "left")
-    return judged.where(F.col("_n").isNull() | F.coalesce("_crossed", F.lit(False))).select(*blobs.columns)
+    median = F.median("w").over(own)
+    alike = F.abs(F.col("w") - F.col("_median")) / F.greatest(F.col("_median"), F.lit(1)) <= SIMILAR
+    judged = with_stacked(clusters.withColumn("_median", median).withColumn("_alike", F.coalesce(alike, F.lit(False))).drop("_median"))
+    judged = judged.withColumn("_writing", F.count_if(F.col("_alike") & F.col("stacked")).over(own) >= STACKED).drop("cluster", "_alike", "stacked")
+    band = judged.withColumns({"_y0": F.col("y"), "_h0": F.col("h"), "y": F.floor(F.col("y") + F.col("h") / 2) - CROSSING, "h": F.lit(2 * CROSSING + 1)})
+    kept = with_crossed(band, rules).where(~F.col("_writing") | F.col("crossed"))
+    return kept.withColumns({"y": F.col("_y0"), "h": F.col("_h0")}).select(*blobs.columns)
 
 
 def _flattened(lines: DataFrame, gap: int) -> DataFrame:
@@ -87,7 +86,7 @@ def separated(places: DataFrame, ink: DataFrame, axis: str, share: float = COVER
     )
     near = (F.col("doc_id") == F.col("_doc")) & (F.col("_a") <= F.col("pos") + BAND) & (F.col("_b") > F.col("pos") - BAND) & (F.col("_lo") < F.col("hi")) & (F.col("_hi") > F.col("lo"))
     span = F.when(F.col("_lo").isNotNull(), F.struct(F.greatest("_lo", "lo").alias("lo"), F.least("_hi", "hi").alias("hi")))
-    held = places.join(marks, near, "left").groupBy(*places.columns).agg(F.collect_list(span).alias("_spans"))
+    held = places.join(marks.hint("merge"), near, "left").groupBy(*places.columns).agg(F.collect_list(span).alias("_spans"))
     return held.withColumn("drawn", _covered(F.col("_spans")) >= share * F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).drop("_spans")
 
 
@@ -102,12 +101,12 @@ def cells_of(lines: DataFrame, ink: DataFrame, min_cell: int = MIN_CELL) -> Data
     ).where((F.size("xs") >= 2) & (F.size("ys") >= 2))
     rows = places.select("doc_id", "xs", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("ys") - 2), lambda i: F.struct(F.get("ys", i).alias("y1"), F.get("ys", i + 1).alias("y2")))).alias("r", "b"))
     rows = rows.where(F.col("b.y2") - F.col("b.y1") >= min_cell).select("doc_id", "xs", "r", "b.y1", "b.y2")
-    slots = rows.select("doc_id", "r", "y1", "y2", F.size("xs").alias("n"), F.posexplode("xs").alias("c", "pos")).where(F.col("c") < F.col("n") - 1)
-    walls = separated(slots.select("doc_id", "r", "c", "pos", F.col("y1").alias("lo"), F.col("y2").alias("hi"), "n"), ink, "v")
+    slots = rows.select("doc_id", "r", "y1", "y2", "xs", F.posexplode("xs").alias("c", "pos")).withColumn("x2", F.get("xs", F.col("c") + 1)).where("x2 is not null")
+    walls = separated(slots.select("doc_id", "r", "c", "pos", F.col("y1").alias("lo"), F.col("y2").alias("hi"), "x2"), ink, "v")
     in_row = Window.partitionBy("doc_id", "r").orderBy("c")
     cut = walls.withColumn("cell", F.sum(F.when((F.col("c") == 0) | F.col("drawn"), 1).otherwise(0)).over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
-    wide = cut.groupBy("doc_id", "r", "cell").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.first("lo").alias("y1"), F.first("hi").alias("y2"))
-    wide = wide.join(places.select("doc_id", "xs"), "doc_id").withColumns({"x1": F.get("xs", F.col("c1")), "x2": F.get("xs", F.col("c2") + 1)}).where(F.col("x2") - F.col("x1") >= min_cell)
+    wide = cut.groupBy("doc_id", "r", "cell").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.first("lo").alias("y1"), F.first("hi").alias("y2"), F.min("pos").alias("x1"), F.max("x2").alias("x2"))
+    wide = wide.where(F.col("x2") - F.col("x1") >= min_cell)
     floors = separated(wide.select("doc_id", "r", "c1", "c2", F.col("y1").alias("pos"), F.col("x1").alias("lo"), F.col("x2").alias("hi"), "y2"), ink, "h")
     down = Window.partitionBy("doc_id", "c1", "c2").orderBy("r")
     starts = F.when(F.coalesce(F.col("r") == F.lag("r").over(down) + 1, F.lit(False)) & ~F.col("drawn"), 0).otherwise(1)
