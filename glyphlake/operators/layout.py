@@ -39,7 +39,7 @@ def label_columns(cells: DataFrame, template: DataFrame, roles: list[str], reach
     order = Window.partitionBy("doc_id").orderBy("ordinal")
     spacing = template.withColumn("_d", F.col("center") - F.lag("center").over(order)).groupBy("doc_id").agg(F.avg("_d").alias("spacing"))
     names = F.create_map(*[F.lit(x) for i, r in enumerate(roles) for x in (i, r)])
-    pairs = cells.join(template, "doc_id").withColumn("far", F.abs(F.col("x") + F.col("w") / 2 - F.col("center")))
+    pairs = cells.join(template.hint("merge"), "doc_id").withColumn("far", F.abs(F.col("x") + F.col("w") / 2 - F.col("center")))
     best = pairs.groupBy("doc_id", "row", "cell_id").agg(F.min(F.struct("far", "ordinal")).alias("b"))
-    near = best.join(spacing, "doc_id").withColumn("_in", F.col("b.far") <= reach * F.coalesce("spacing", F.lit(float("inf"))))
+    near = best.join(spacing.hint("merge"), "doc_id").withColumn("_in", F.col("b.far") <= reach * F.coalesce("spacing", F.lit(float("inf"))))
     return near.select("doc_id", "row", "cell_id", F.when(F.col("_in"), F.coalesce(F.try_element_at(names, F.col("b.ordinal")), F.lit("unknown"))).otherwise("unknown").alias("role"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, roles, text
 from ..operators import aggregates, cluster, items, layout, lines, matching, spatial
-from ..session import load
+from ..session import dealt, load
 from ..sources import records, wire
 from .catalog import _BOXES, _NESTED, _nested, boxes, query
 
@@ -271,7 +271,11 @@ _CELLS = """cells AS (SELECT l_orderkey AS doc_id, rk AS row, CAST(CAST(l_quanti
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of order pages from right to left: name, quantity, price, total; pages of even orders have roles."""
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    rows = load(spark, sf_dir, "lineitem").withColumn("row", rank).join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    table = load(spark, sf_dir, "lineitem")
+    ranked = dealt(table.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), table, "l_orderkey").withColumn("row", rank)
+    priced = ranked.join(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    # dealt again by page before lines become cells
+    rows = dealt(priced.select("l_orderkey", "row", "l_quantity", "p_name", "p_retailprice"), table, "l_orderkey")
     shown = (
         ("product_name", 700, F.col("p_name")),
         ("quantity", 500, F.col("l_quantity").cast("bigint").cast("string")),
