@@ -49,7 +49,9 @@ class Lately:
         if len(self.new) + len(keys) > self._half:
             self._old, self.new = self.new, {}
         out = []
-        for key in keys - self.new.keys():
+        for key in keys:  # a difference of sets would go through all of `new`
+            if key in self.new:
+                continue
             if (value := self._old.get(key)) is None:
                 out.append(key)
             else:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -241,3 +242,37 @@ def test_licenses(docs, documents):
         want.append((d, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(every)), score))
     assert sorted((tuple(r) for r in licenses.scan(frame).collect()), key=str) == sorted(want, key=str)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_texts_are_encoded_together(monkeypatch):
+    path, rng = vocabulary("byte_bpe_50k.json"), random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) + "\n7,  8. It's Über <|endoftext|>" for _ in range(60)] + [None, ""]
+    reference, codec, calls = Tokenizer.from_file(path), bpe.ChunkCodec(path), []
+
+    class Counting:
+        def encode_batch_fast(self, *args, **options):
+            calls.append(1)
+            return reference.encode_batch_fast(*args, **options)
+
+    codec._tokenizer = Counting()
+    monkeypatch.setattr(bpe, "chunk_codec", lambda *_: codec)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = next(bpe._round_trip(path, 512)(iter([batch])))
+    want = [np.array(reference.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got.column(2).to_pylist() == [hashlib.sha256(w).hexdigest() for w in want]
+    assert len(calls) <= 4  # not once or twice for each chunk
+
+
+def test_characters_of_every_version():
+    reference, codec = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), bpe.ChunkCodec(vocabulary("byte_bpe_50k.json"), 2)
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2" for c in [*range(0xD800), *range(0xE000, 0x10000), 0x1D7CE, 0x1F600, 0x20000]]
+    for text, want in zip(texts, reference.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codec.pieces(text) == [text[a:b] for _, (a, b) in reference.pre_tokenizer.pre_tokenize_str(text)], ascii(text)
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == want.ids, ascii(text)
+
+
+def test_cuts_of_long_runs():
+    reference, codec = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), bpe.ChunkCodec(vocabulary("byte_bpe_50k.json"), 16)
+    for text in ("a" * 5000, " \n" * 5000, "#-" * 5000, "1234567890 " * 900, "x" * 3000 + " " + "é" * 3000, "字、" * 2000, "don't'll" * 800):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
