@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paged
 from .cluster import gap_clusters
-from .spatial import crossing_lines, with_crossed, with_stacked
+from .spatial import crossing_lines
 
 MIN_LENGTH, FLATTEN_GAP, MERGE_GAP, STACK_GAP = 40, 10, 15, 25
 SIMILAR, STACKED, CROSSING, BAND = 0.35, 2, 4, 3
@@ -18,18 +21,41 @@ def without_stacked_text(blobs: DataFrame, rules: DataFrame) -> DataFrame:
 
     Blobs whose middles follow each other within STACK_GAP form a cluster. A cluster is writing if STACKED of its
     members or more are about as long as its median and lie above another member; its blobs go, but for those
-    that a rule crosses.
+    that a rule crosses. Pages are judged by `paged`: one sort of their blobs and rules instead of five groups.
     """
-    middle = blobs.withColumn("_cy", F.col("y") + F.col("h") / 2)
-    clusters = gap_clusters(middle, ["doc_id"], "_cy", "box_id", F.lit(STACK_GAP)).drop("_cy")
-    own = Window.partitionBy("doc_id", "cluster")
-    median = F.median("w").over(own)
-    alike = F.abs(F.col("w") - F.col("_median")) / F.greatest(F.col("_median"), F.lit(1)) <= SIMILAR
-    judged = with_stacked(clusters.withColumn("_median", median).withColumn("_alike", F.coalesce(alike, F.lit(False))).drop("_median"))
-    judged = judged.withColumn("_writing", F.count_if(F.col("_alike") & F.col("stacked")).over(own) >= STACKED).drop("cluster", "_alike", "stacked")
-    band = judged.withColumns({"_y0": F.col("y"), "_h0": F.col("h"), "y": F.floor(F.col("y") + F.col("h") / 2) - CROSSING, "h": F.lit(2 * CROSSING + 1)})
-    kept = with_crossed(band, rules).where(~F.col("_writing") | F.col("crossed"))
-    return kept.withColumns({"y": F.col("_y0"), "h": F.col("_h0")}).select(*blobs.columns)
+    box = lambda rows: rows.select("doc_id", *[F.col(c).cast("double").alias(f"_{c}") for c in "xywh"])
+    whole = blobs.select(*blobs.columns, *[F.col(c).cast("double").alias(f"_{c}") for c in "xywh"], F.lit(False).alias("_rule"))
+    both = whole.unionByName(box(rules).withColumn("_rule", F.lit(True)), allowMissingColumns=True)
+    names = blobs.columns
+
+    def kernel(table: pa.Table, page: np.ndarray, docs: pa.ChunkedArray) -> pa.Table:
+        rule = table["_rule"].to_numpy()
+        at = np.flatnonzero(~rule)
+        boxes = paged.numbers(table, "_x", "_y", "_w", "_h")
+        ids = table["box_id"].take(pa.array(at)).to_numpy()
+        kept = not_writing(page[at], ids, [c[at] for c in boxes], page[rule], [c[rule] for c in boxes])
+        return table.select(names).take(pa.array(at[kept]))
+
+    return paged.by_page(both, kernel, blobs.schema)
+
+
+def not_writing(page: np.ndarray, ids: np.ndarray, boxes: list[np.ndarray], rule_page: np.ndarray, rules: list[np.ndarray]) -> np.ndarray:
+    """I13 on arrays: whether a horizontal blob (page, box_id, and x, y, w, h) stays, beside the vertical ones of rules."""
+    x, y, w, h = boxes
+    order, cluster = paged.gap_groups(page, y + h / 2, ids, STACK_GAP)
+    median = paged.medians(cluster, w[order])[cluster] if len(order) else np.zeros(0)
+    alike = np.abs(w[order] - median) / np.fmax(median, 1) <= SIMILAR
+    lines = alike & paged.stacked(cluster, ids[order], x[order], w[order])
+    kept = np.ones(len(order), bool)
+    kept[order] = (np.bincount(cluster, lines) < STACKED)[cluster] if len(order) else True
+    # of writing, what a rule crosses stays
+    lost = np.flatnonzero(~kept)
+    band = paged.sides(x[lost], np.floor(y[lost] + h[lost] / 2) - CROSSING, w[lost], np.full(len(lost), 2.0 * CROSSING + 1))
+    rule = paged.sides(*rules)
+    for i, j in paged.meeting(page[lost], band, rule_page, rule):
+        met = (band[0][i] < rule[1][j]) & (rule[0][j] < band[1][i]) & (band[2][i] < rule[3][j]) & (rule[2][j] < band[3][i])
+        kept[lost[i[met]]] = True
+    return kept
 
 
 def _flattened(lines: DataFrame, gap: int) -> DataFrame:
