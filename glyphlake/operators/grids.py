@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +144,121 @@ def cells_of(lines: DataFrame, ink: DataFrame, min_cell: int = MIN_CELL) -> Data
 
 def grid_cells(blobs: DataFrame) -> DataFrame:
     """Cells of pages from their blobs (doc_id, axis, box_id, x, y, w, h): writing removed, rules found, drawn out, cut into cells."""
-    upright, flat = blobs.where("axis = 'v'"), blobs.where("axis = 'h'")
-    clean = without_stacked_text(flat, upright).unionByName(upright)
-    return cells_of(extended(meeting(rule_lines(clean))), clean)
+
+    def kernel(table: pa.Table, page: np.ndarray, docs: pa.ChunkedArray) -> pa.Table:
+        axis = table["axis"]
+        ids = table["box_id"].to_numpy()
+        boxes = paged.numbers(table, "x", "y", "w", "h")
+        found = cells_on_pages(page, pc.fill_null(pc.equal(axis, "h"), False).to_numpy(), pc.fill_null(pc.equal(axis, "v"), False).to_numpy(), ids, boxes)
+        at = found.pop("page")
+        return pa.table({"doc_id": docs.take(pa.array(at)), **{k: pa.array(v.astype(np.int32)) for k, v in found.items()}})
+
+    doc = blobs.schema["doc_id"].dataType.simpleString()
+    return paged.by_page(blobs, kernel, f"doc_id {doc}, " + ", ".join(f"{c} int" for c in CELL))
+
+
+#: What is known of a cell besides its page.
+CELL = ("row", "col", "row_span", "col_span", "x", "y", "w", "h")
+
+
+def _merged(page: np.ndarray, along: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
+    """`_flattened` on arrays: page, along, pos, lo, hi and line_id, in order of the places of both axes."""
+    order, group = paged.gap_groups(page * 2 + along, at, ids, gap)
+    if not len(order):
+        return page, along, at, lo, hi, ids
+    first = np.flatnonzero(paged.starts_of(group))
+    pick = order[first]
+    count = np.add.reduceat(~np.isnan(at[order]), first, dtype=float)
+    place = np.floor(np.add.reduceat(np.nan_to_num(at[order]), first) / np.where(count > 0, count, np.nan))
+    own = (page * 2 + along)[pick]
+    number = np.arange(len(pick)) - np.flatnonzero(paged.starts_of(own))[np.cumsum(paged.starts_of(own)) - 1]
+    return page[pick], along[pick], place, np.fmin.reduceat(lo[order], first), np.fmax.reduceat(hi[order], first), number
+
+
+def _drawn(page: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, ink_page: np.ndarray, ink: paged.Sides, share: float = COVERAGE) -> np.ndarray:
+    """`separated` on arrays: whether ink (its two sides across, its two ends) covers a share of lo..hi within BAND of pos."""
+    a, b, start, end = ink
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    for i, j in paged.meeting(page, (pos - BAND, pos + BAND, lo, hi), ink_page, ink):
+        near = (a[j] <= pos[i] + BAND) & (b[j] > pos[i] - BAND) & (start[j] < hi[i]) & (end[j] > lo[i])
+        found.append((i[near], j[near]))
+    i, j = (np.concatenate(part) for part in zip(*found, strict=True))
+    s, e = np.maximum(start[j], lo[i]), np.minimum(end[j], hi[i])
+    order = np.lexsort((e, s, i))
+    i, s, e = i[order], s[order], e[order]
+    covered = np.zeros(len(page))
+    if len(i):
+        # the furthest end before each span; places lie apart from each other by more than all spans
+        apart = (e.max() - s.min() + 1) * i
+        before = np.concatenate([[-np.inf], np.maximum.accumulate(e + apart)[:-1]]) - apart
+        before[paged.starts_of(i)] = -np.inf
+        covered = np.bincount(i, np.maximum(e - np.maximum(before, s), 0), len(page))
+    return covered >= share * np.maximum(hi - lo, 1)
+
+
+def cells_on_pages(page: np.ndarray, flat: np.ndarray, upright: np.ndarray, ids: np.ndarray, boxes: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """I18 on arrays: page and CELL of the cells of pages from their blobs (page, axis h, axis v, box_id, and x, y, w, h); the steps are those of the functions above."""
+    keep = upright.copy()
+    keep[flat] = not_writing(page[flat], ids[flat], [c[flat] for c in boxes], page[upright], [c[upright] for c in boxes])
+    page, along, ids, (x, y, w, h) = page[keep], flat[keep], ids[keep], [c[keep] for c in boxes]
+    # rules
+    long = np.where(along, w, h) >= MIN_LENGTH
+    pos = np.where(along, y + np.floor(h / 2), x + np.floor(w / 2))
+    lines = (page, along, pos, np.where(along, x, y), np.where(along, x + w, y + h), ids)
+    lpage, lalong, pos, lo, hi, _ = _merged(*_merged(*(c[long] for c in lines), FLATTEN_GAP), MERGE_GAP)
+    # Rules that meet one of the other axis
+    box = (np.where(lalong, lo, pos), np.where(lalong, hi, pos), np.where(lalong, pos, lo), np.where(lalong, pos, hi))
+    crossing = np.zeros(len(pos), bool)
+    across, down = np.flatnonzero(lalong), np.flatnonzero(~lalong)
+    wide = lambda at: (box[0][at] - MEETING, box[1][at] + MEETING, box[2][at] - MEETING, box[3][at] + MEETING)
+    for i, j in paged.meeting(lpage[across], wide(across), lpage[down], wide(down)):
+        p, q = across[i], down[j]
+        near = np.ones(len(p), bool)
+        for lo_, hi_ in ((box[0], box[1]), (box[2], box[3])):
+            near &= (lo_[p] - MEETING <= hi_[q]) & (lo_[q] - MEETING <= hi_[p])
+        crossing[p[near]] = crossing[q[near]] = True
+    lpage, lalong, pos, lo, hi = (c[crossing] for c in (lpage, lalong, pos, lo, hi))
+    # Short ones go; places of rules are all that cells need of them, and a crossing rule's page has both axes
+    n = int(lpage.max()) + 1 if len(lpage) else 0
+    left, right, top, bottom = np.full(n, np.inf), np.full(n, -np.inf), np.full(n, np.inf), np.full(n, -np.inf)
+    np.fmin.at(left, lpage, np.where(lalong, lo, pos))
+    np.fmax.at(right, lpage, np.where(lalong, hi, pos))
+    np.fmin.at(top, lpage, np.where(lalong, pos, lo))
+    np.fmax.at(bottom, lpage, np.where(lalong, pos, hi))
+    extent = np.where(lalong, (right - left)[lpage], (bottom - top)[lpage])
+    kept = hi - lo >= EXTENT * np.maximum(extent, 1)
+    lpage, lalong, pos = lpage[kept], lalong[kept], pos[kept]
+    # Places between distinct rules
+    sorted_ = []
+    for own in (~lalong, lalong):
+        p, at = lpage[own], pos[own]
+        order = np.lexsort((at, p))
+        p, at = p[order], at[order]
+        once = paged.starts_of(p, at)
+        sorted_.append((p[once], at[once]))
+    (xp, xs), (yp, ys) = sorted_
+    many, first = np.bincount(xp, minlength=n), np.searchsorted(xp, np.arange(n))
+    same = yp[1:] == yp[:-1]
+    row = np.arange(len(ys)) - np.searchsorted(yp, yp)
+    rp, r, y1, y2 = yp[:-1][same], row[:-1][same], ys[:-1][same], ys[1:][same]
+    high = (y2 - y1 >= MIN_CELL) & (many[rp] >= 2)
+    rp, r, y1, y2 = rp[high], r[high], y1[high], y2[high]
+    slots = many[rp] - 1
+    of = np.repeat(np.arange(len(rp)), slots)
+    c = np.arange(len(of)) - np.repeat(np.cumsum(slots) - slots, slots)
+    at = first[rp[of]] + c
+    ink = lambda own, axis: (page[own], (y[own], (y + h)[own], x[own], (x + w)[own]) if axis == "h" else (x[own], (x + w)[own], y[own], (y + h)[own]))
+    wall = _drawn(rp[of], xs[at], y1[of], y2[of], *ink(~along, "v")) if len(of) else np.zeros(0, bool)
+    start = np.flatnonzero((c == 0) | wall)
+    last = np.append(start[1:], len(c)) - 1 if len(start) else start
+    cp, cr, c1, c2, x1, x2, y1, y2 = rp[of][start], r[of][start], c[start], c[last], xs[at[start]], xs[at[last] + 1] if len(last) else xs[:0], y1[of][start], y2[of][start]
+    broad = x2 - x1 >= MIN_CELL
+    cp, cr, c1, c2, x1, x2, y1, y2 = (v[broad] for v in (cp, cr, c1, c2, x1, x2, y1, y2))
+    floor = _drawn(cp, y1, x1, x2, *ink(along, "h")) if len(cp) else np.zeros(0, bool)
+    order = np.lexsort((cr, c2, c1, cp))
+    cp, cr, c1, c2, x1, x2, y1, y2, floor = (v[order] for v in (cp, cr, c1, c2, x1, x2, y1, y2, floor))
+    begins = paged.starts_of(cp, c1, c2) | floor
+    begins[1:] |= cr[1:] != cr[:-1] + 1
+    start = np.flatnonzero(begins)
+    last = np.append(start[1:], len(cp)) - 1 if len(start) else start
+    return {"page": cp[start], "row": cr[start], "col": c1[start], "row_span": last - start + 1, "col_span": c2[start] - c1[start] + 1, "x": x1[start], "y": y1[start], "w": x2[start] - x1[start], "h": y2[last] - y1[start]}
