@@ -8,12 +8,14 @@ components of boxes (I14).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import mean_clusters
+from . import paged
 from .layout import is_cell
-from .spatial import hull, innermost, largest_component, page_components, quantised_distinct
+from .spatial import hull, largest_component, page_components
 
 #: Cells whose gap is under twice this belong to one table; boxes are the same within so many pixels.
 PROXIMITY, SAME = 3, 5
@@ -68,16 +70,132 @@ def contour_cells(ink: DataFrame, pages: DataFrame, tolerance: int = SAME) -> Da
     """doc_id, row, col, box_id, x, y, w, h of the cells of pages (doc_id, page_w, page_h) from their ink (doc_id, x, y, w, h).
 
     Faces and outlines that can be cells (P11), without those around others (J10), once each (A17); rows by
-    the running mean of their middles (W01), columns from left to right.
+    the running mean of their middles (W01), columns from left to right. All of it is done for whole pages side by
+    side (`paged`): by `faces` and `outlines` slabs and intervals moved seven times.
     """
-    closed = faces(ink, pages).unionByName(outlines(ink)).join(pages.hint("merge"), "doc_id")
-    fit = closed.where(is_cell(F.col("w"), F.col("h"), F.col("page_w"), F.col("page_h")))
-    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("y", "x", "w", "h")) - 1).cast("bigint")
-    cells = quantised_distinct(innermost(fit.select("doc_id", number.alias("box_id"), "x", "y", "w", "h")), tolerance)
-    reach = F.greatest(F.lit(LEAST_REACH), ROW_REACH * F.median("h"))
-    rows = mean_clusters(cells.withColumn("cy", F.col("y") + F.col("h") / 2), ["doc_id"], "cy", "box_id", reach, ("x", "y", "w", "h"))
-    col = F.row_number().over(Window.partitionBy("doc_id", "cluster").orderBy(F.col("x") + F.col("w") / 2, "y", "id")) - 1
-    return rows.select("doc_id", F.col("cluster").alias("row"), col.cast("int").alias("col"), F.col("id").alias("box_id"), "x", "y", "w", "h")
+    sizes = pages.select("doc_id", F.col("page_w").cast("double").alias("w"), F.col("page_h").cast("double").alias("h"), F.lit(True).alias("_page"))
+    both = ink.select("doc_id", *[F.col(c).cast("double").alias(c) for c in "xywh"], F.lit(False).alias("_page")).unionByName(sizes, allowMissingColumns=True)
+
+    def kernel(table: pa.Table, page: np.ndarray, docs: pa.ChunkedArray) -> pa.Table:
+        size = table["_page"].to_numpy()
+        x, y, w, h = paged.numbers(table, *"xywh")
+        page_w, page_h = np.full(len(docs), np.nan), np.full(len(docs), np.nan)
+        page_w[page[size]], page_h[page[size]] = w[size], h[size]
+        known = ~size & ~np.isnan(x + y + w + h + page_w[page] + page_h[page])
+        found = cells_on_pages(page[known], [c[known] for c in (x, y, w, h)], page_w, page_h, tolerance)
+        at = found.pop("page")
+        return pa.table({"doc_id": docs.take(pa.array(at)), **{k: pa.array(v.astype(np.int64 if k == "box_id" else np.int32)) for k, v in found.items()}})
+
+    doc = ink.schema["doc_id"].dataType.simpleString()
+    return paged.by_page(both, kernel, f"doc_id {doc}, row int, col int, box_id long, x int, y int, w int, h int")
+
+
+def _hulls(page: np.ndarray, group: np.ndarray, boxes: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Page and box around each group, which has a number of its own over all pages."""
+    order = np.argsort(group, kind="stable")
+    x, y, w, h = (c[order] for c in boxes)
+    first = np.flatnonzero(paged.starts_of(group[order]))
+    if not len(first):
+        return page[:0], [c[:0] for c in boxes]
+    left, top = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first)
+    return page[order][first], [left, top, np.maximum.reduceat(x + w, first) - left, np.maximum.reduceat(y + h, first) - top]
+
+
+def _apart(page_w: np.ndarray) -> float:
+    """What keeps places of one slab apart from those of the next: more than any page's width and what lies beside it."""
+    return float(np.nanmax(page_w, initial=0)) + 8
+
+
+def _free(page: np.ndarray, ink: list[np.ndarray], page_w: np.ndarray, page_h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """`free_intervals` on arrays: page, slab (numbers over all pages, of which each leaves one out) and box of the intervals, in order."""
+    x, y, w, h = ink
+    n = len(page_w)
+    ep, ey = np.concatenate([page, page]), np.concatenate([y, y + h])
+    order = np.lexsort((ey, ep))
+    ep, ey = ep[order], ey[order]
+    once = paged.starts_of(ep, ey)
+    place = np.empty(len(ep), int)
+    place[order] = np.cumsum(once) - 1
+    ep, ey = ep[once], ey[once]
+    # slab k of an edge lies below it; one more lies above the first edge of a page, and one is left out between pages
+    own = paged.numbered(ep)
+    slab = np.arange(len(ep)) + 2 * ep + 1
+    last = np.append(ep[1:] != ep[:-1], True)[: len(ep)]
+    low = np.where(last, np.maximum(page_h[ep], ey) + 1, np.append(ey[1:], 0)[: len(ep)])
+    above = own == 0
+    sp, sn = np.concatenate([ep, ep[above]]), np.concatenate([slab, slab[above] - 1])
+    top, bottom = np.concatenate([ey, np.minimum(-1, ey[above] - 1)]), np.concatenate([low, ey[above]])
+    tops, bottoms, owners = (np.zeros(len(ep) + 2 * n + 1) for _ in range(3))
+    tops[sn], bottoms[sn], owners[sn] = top, bottom, sp
+    # what ink covers of each slab, and what lies beside the page
+    drawn = (w > 0) & (h > 0) & (np.maximum(x, 0) < np.minimum(x + w, page_w[page]))
+    a, b = place[: len(page)][drawn], place[len(page) :][drawn]
+    many = b - a
+    of = np.repeat(np.flatnonzero(drawn), many)
+    held = np.repeat(slab[a], many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    right = page_w[sp]
+    at = np.concatenate([held, sn, sn])
+    lo = np.concatenate([np.maximum(x[of], 0), np.full(len(sn), -(2.0**30)), right + 1])
+    hi = np.concatenate([np.minimum((x + w)[of], page_w[page[of]]), np.full(len(sn), -1.0), right + 2])
+    order = np.lexsort((lo, at))
+    at, lo, hi = at[order], lo[order], hi[order]
+    # the furthest end before: slabs lie apart from each other by more than any width
+    apart = at * _apart(page_w)
+    before = (np.concatenate([[-np.inf], np.maximum.accumulate(hi + apart)[:-1]]) - apart)[: len(at)]
+    gap = (lo > before) & ~paged.starts_of(at)
+    at, lo, before = at[gap], lo[gap], before[gap]
+    return owners[at].astype(int), at, [before, tops[at], lo - before, bottoms[at] - tops[at]]
+
+
+def cells_on_pages(page: np.ndarray, ink: list[np.ndarray], page_w: np.ndarray, page_h: np.ndarray, tolerance: int) -> dict[str, np.ndarray]:
+    """I18 on arrays: page, row, col, box_id, x, y, w, h of the cells of pages from their ink (page, and x, y, w, h); the steps are those of the functions above."""
+    fp, slab, free = _free(page, ink, page_w, page_h)
+    # regions: intervals of neighbouring slabs that overlap; those of a slab are in order and apart
+    apart = _apart(page_w)
+    start, end = free[0] + slab * apart, free[0] + free[2] + slab * apart
+    first = np.searchsorted(end, start + apart, "right")
+    many = np.maximum(np.searchsorted(start, end + apart, "left") - first, 0)
+    a = np.repeat(np.arange(len(fp)), many)
+    region = paged.components(len(fp), a, np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(a)))
+    outside = np.flatnonzero(paged.starts_of(fp))[np.cumsum(paged.starts_of(fp)) - 1] if len(fp) else region
+    closed = region != outside
+    p, (x, y, w, h) = _hulls(fp[closed], region[closed], [c[closed] for c in free])
+    # outlines: boxes of ink that touch
+    edges = paged.sides(*ink)
+    pairs = [(np.zeros(0, int), np.zeros(0, int))]
+    for i, j in paged.near(page, edges):
+        met = (edges[0][i] < edges[1][j] + 1) & (edges[0][j] < edges[1][i] + 1) & (edges[2][i] < edges[3][j] + 1) & (edges[2][j] < edges[3][i] + 1)
+        pairs.append((i[met], j[met]))
+    q, solid = _hulls(page, paged.components(len(page), *(np.concatenate(c) for c in zip(*pairs, strict=True))), ink)
+    p = np.concatenate([p, q])
+    x, y, w, h = (np.concatenate(c) for c in zip((x - 1, y - 1, w + 2, h + 2), solid, strict=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fit = is_cell(w, h, page_w[p], page_h[p])
+    p, x, y, w, h = (c[fit] for c in (p, x, y, w, h))
+    order = np.lexsort((h, w, x, y, p))
+    p, x, y, w, h = (c[order] for c in (p, x, y, w, h))
+    number = paged.numbered(p)
+    # Without those around others
+    inner = np.ones(len(p), bool)
+    boxes = paged.sides(x, y, w, h)
+    for i, j in paged.near(p, boxes):
+        for a, b in ((i, j), (j, i)):
+            around = (boxes[0][a] <= boxes[0][b]) & (boxes[2][a] <= boxes[2][b]) & (boxes[1][a] >= boxes[1][b]) & (boxes[3][a] >= boxes[3][b])
+            inner[a[around]] = False
+    p, x, y, w, h, number = (c[inner] for c in (p, x, y, w, h, number))
+    # Once each
+    keys = [np.rint(c / float(tolerance)) for c in (x, y, w, h)]
+    order = np.lexsort((number, *keys, p))
+    single = np.sort(order[paged.starts_of(p[order], *[k[order] for k in keys])])
+    p, x, y, w, h, number = (c[single] for c in (p, x, y, w, h, number))
+    # Rows, and columns from left to right
+    own = np.cumsum(paged.starts_of(p)) - 1
+    reach = np.maximum(LEAST_REACH, ROW_REACH * paged.medians(own, h)[own]) if len(p) else h
+    order, row = paged.mean_groups(p, y + h / 2, number, reach)
+    p, x, y, w, h, number = (c[order] for c in (p, x, y, w, h, number))
+    order = np.lexsort((number, y, x + w / 2, row, p))
+    p, x, y, w, h, number, row = (c[order] for c in (p, x, y, w, h, number, row))
+    return {"page": p, "row": row, "col": paged.numbered(p, row), "box_id": number, "x": x, "y": y, "w": w, "h": h}
 
 
 def table_bounds(cells: DataFrame, proximity: int = PROXIMITY) -> DataFrame:

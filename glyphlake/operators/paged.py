@@ -110,14 +110,12 @@ def stacked(group: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray, sh
 Sides = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def meeting(page_a: np.ndarray, a: Sides, page_b: np.ndarray, b: Sides) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of boxes of a and of b (left, right, top, bottom) of one page that meet or touch along one axis: candidates for a test.
+def near(page: np.ndarray, boxes: Sides) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of two boxes (left, right, top, bottom) of one page that meet or touch along one axis, each pair once: candidates for a test.
 
     A sweep along the axis on which the boxes of a page overlap less.
     """
-    page, side = np.concatenate([page_a, page_b]), np.repeat([0, 1], [len(page_a), len(page_b)])
-    number = np.concatenate([np.arange(len(page_a)), np.arange(len(page_b))])
-    x0, x1, y0, y1 = (np.concatenate([p, q]) for p, q in zip(a, b, strict=True))
+    x0, x1, y0, y1 = boxes
     n = int(page.max()) + 1 if len(page) else 0
     crowd = []
     for lo, hi in ((x0, x1), (y0, y1)):
@@ -128,20 +126,75 @@ def meeting(page_a: np.ndarray, a: Sides, page_b: np.ndarray, b: Sides) -> Itera
     down = crowd[1][page] < crowd[0][page] if n else np.zeros(0, bool)
     lo, hi = np.where(down, y0, x0), np.where(down, y1, x1)
     order = np.lexsort((lo, page))
-    page, side, number, lo, hi = page[order], side[order], number[order], lo[order], hi[order]
+    page, lo, hi = page[order], lo[order], hi[order]
     alive, step = np.arange(len(page)), 1
     while len(alive):
         alive = alive[alive + step < len(page)]
         other = alive + step
         ahead = (page[other] == page[alive]) & (lo[other] <= hi[alive])
-        alive, other = alive[ahead], other[ahead]
-        differ = side[alive] != side[other]
-        p, q = alive[differ], other[differ]
-        first = side[p] == 0
-        if len(p):
-            yield number[np.where(first, p, q)], number[np.where(first, q, p)]
+        alive = alive[ahead]
+        if len(alive):
+            yield order[alive], order[alive + step]
         step += 1
 
 
+def meeting(page_a: np.ndarray, a: Sides, page_b: np.ndarray, b: Sides) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of boxes of a and of b of one page that meet or touch along one axis: candidates for a test."""
+    n = len(page_a)
+    for p, q in near(np.concatenate([page_a, page_b]), tuple(np.concatenate([c, d]) for c, d in zip(a, b, strict=True))):
+        differ = (p < n) != (q < n)
+        p, q = p[differ], q[differ]
+        yield np.minimum(p, q), np.maximum(p, q) - n
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that pairs (a, b) lead to from each of n."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        p, q = root[a], root[b]
+        np.minimum.at(least, p, q)
+        np.minimum.at(least, q, p)
+        least = least[least]
+        if np.array_equal(least, root):
+            return root
+        root = least
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+
+
+def mean_groups(page: np.ndarray, at: np.ndarray, tie: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by page and place, and in that order the cluster (from 0 on each page): a row joins the last one within reach of its mean.
+
+    As in `cluster.mean_clusters` a row further than reach from the row before it starts a cluster whatever the mean is;
+    the islands between are folded side by side.
+    """
+    order = np.lexsort((tie, at, ~np.isnan(at), page))
+    page, at, reach = page[order], at[order], reach[order]
+    first = starts_of(page)
+    begins = first.copy()
+    begins[1:] |= np.diff(at) > reach[1:] + 1e-6
+    start = np.flatnonzero(begins)
+    size = np.diff(np.append(start, len(at)))
+    long = np.argsort(-size, kind="stable")
+    start, size = start[long], size[long]
+    total, many = at[start], np.ones(len(start))
+    for k in range(1, int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -k))
+        i = start[:live] + k
+        total, many = total[:live], many[:live]
+        joins = np.abs(at[i] - total / many) <= reach[i]
+        begins[i] = ~joins
+        total, many = np.where(joins, total, 0) + at[i], np.where(joins, many, 0) + 1
+    cluster = np.cumsum(begins) - 1
+    return order, cluster - cluster[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else cluster
+
+
+def numbered(*keys: np.ndarray) -> np.ndarray:
+    """The place (from 0) of each row within its equal rows of keys, which are in order."""
+    first = starts_of(*keys)
+    return np.arange(len(first)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, int)
+
+
 def sides(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> Sides:
     return x, x + w, y, y + h
