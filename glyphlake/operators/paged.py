@@ -73,14 +73,15 @@ def gap_groups(page: np.ndarray, at: np.ndarray, tie: np.ndarray, gap: float) ->
     return order, np.cumsum(far) - 1
 
 
-def medians(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The median of the values of each group (ascending from 0) that aren't null; NaN without one."""
-    n = int(group[-1]) + 1 if len(group) else 0
+def medians(group: np.ndarray, value: np.ndarray, n: int = 0) -> np.ndarray:
+    """The median of the values of each group (from 0 to n at least) that aren't null; NaN without one."""
+    n = max(n, int(group.max(initial=-1)) + 1)
     ranked = value[np.lexsort((value, group))]  # NaN last
     many = np.bincount(group[~np.isnan(value)], minlength=n)
     first = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=n))])[:-1]
     some = np.maximum(many, 1)
-    return np.where(many > 0, (ranked[first + (some - 1) // 2] + ranked[first + some // 2]) / 2, np.nan)
+    at = lambda k: ranked[np.minimum(first + k, len(ranked) - 1)]
+    return np.where(many > 0, (at((some - 1) // 2) + at(some // 2)) / 2, np.nan) if len(ranked) else np.full(n, np.nan)
 
 
 def stacked(group: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray, share: float = 0.5) -> np.ndarray:
